@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerlight.llm.store import Scratch
 from ledgerlight.llm.tokens import coder
@@ -103,7 +104,7 @@ def pack(pieces: DataFrame, capacity: int, bunch: int = BUNCH) -> DataFrame:
         table = table.append_column("sequence_id", pa.array((part << 40) + where)).append_column("offset", pa.array(offset))
         yield from table.to_batches()
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return pieces.repartition(parts, *key).mapInArrow(place, schema)
 
 

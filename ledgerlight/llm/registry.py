@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import packing, token_records
+from ledgerlight.llm import packing, quality, sharding, substring, token_records, toxicity
 from ledgerlight.llm.store import Scratch, table
 
 
@@ -19,8 +19,40 @@ def op3_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def _held_out(folds, fold):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(~_held_out(4, 2)))
+    scored = toxicity.score_toxicity(docs, model, threshold=0.3)
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
+
+
+def op6_substring(spark, sf_dir):
+    found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where(~_held_out(3, 1) & (F.col("quality") == 1))
+    scored = quality.score_quality(docs, quality.fit_quality(docs, good), threshold=0.5)
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op10_sharding(spark, sf_dir):
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_tokens")
+
+
 QUERIES = {
     "op2_token_records": op2_token_records,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
+    "op6_substring": op6_substring,
+    "op7_quality": op7_quality,
+    "op10_sharding": op10_sharding,
 }
 ORACLE: dict[str, str] = {}

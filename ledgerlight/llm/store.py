@@ -51,3 +51,26 @@ class Scratch:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _murmur_of_int(x: int) -> int:
+    """Spark's hash of an int, by which it deals rows to partitions."""
+    full = 0xFFFFFFFF
+    turn = lambda v, n: ((v << n) | (v >> (32 - n))) & full
+    k = turn((x & full) * 0xCC9E2D51 & full, 15) * 0x1B873593 & full
+    h = (turn(42 ^ k, 13) * 5 + 0xE6546B64) & full
+    h ^= 4
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & full
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & full
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def homes(parts: int) -> list[int]:
+    """For each of parts partitions an int that repartition(parts, column) sends there."""
+    found: dict[int, int] = {}
+    x = 0
+    while len(found) < parts:
+        found.setdefault(_murmur_of_int(x) % parts, x)
+        x += 1
+    return [found[i] for i in range(parts)]
