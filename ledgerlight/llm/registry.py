@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import packing, quality, sharding, substring, token_records, toxicity
+from ledgerlight.llm import ngram_join, packing, quality, sharding, substring, token_records, toxicity
 from ledgerlight.llm.store import Scratch, table
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), words=3, part=90, whole=100)
+
+
 def op2_token_records(spark, sf_dir):
     path = Scratch(spark, "op2").path("records")
     token_records.write_token_records(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -48,6 +52,7 @@ def op10_sharding(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_records": op2_token_records,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
