@@ -185,3 +185,24 @@ for _query, _sql in (
     QUERIES[_query.__name__] = _query
     if _sql:
         ORACLE[_query.__name__] = _sql
+
+
+def anomaly_scores(spark, sf_dir):
+    """Half-space trees over all events, in time order."""
+    from ledgerlight.operators import anomaly, velocity
+
+    found = anomaly.score(velocity.features(transactions(spark, sf_dir)), anomaly.Shape(window=64))
+    return found.select("tx_id", F.round("score", 6).alias("score"), F.round("cut", 6).alias("cut"), "warm", "alert", F.array_join("causes.feature", ",").alias("causes"))
+
+
+def anomaly_search(spark, sf_dir):
+    from ledgerlight.operators import anomaly, velocity
+
+    tx = transactions(spark, sf_dir)
+    judged = tx.where("us % 3 = 0").select("tx_id", (F.col("usd") > 30000).alias("productive"))
+    found = anomaly.search(spark, velocity.features(tx), judged, anomaly.grid(trees=(10, 25), depth=(6, 8), window=(64,)))
+    return anomaly.ranked(found).select("trial", "separation", "alert_share", "drift", "nodes", "alerts")
+
+
+for _query in (anomaly_scores, anomaly_search):
+    QUERIES[_query.__name__] = _query
