@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -57,11 +57,15 @@ class Coder(dict):
             return None  # empty, or with other white space, runs of it, or some at an end
         return words if self.drops_space else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
-    def learn(self, new: Iterable[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         """Puts chunks into the cache, many with each call of the library."""
-        several, length = [], 0
+        several, length, stems = [], 0, {}
         for chunk in new:
-            if len(chunk) <= LONGEST and (_PLAIN.fullmatch(chunk) if self.drops_space else chunk[:1] in (" ", "\n") and len(chunk) > 1):
+            if chunk[-1:] in (".", ",") and chunk[-2:-1].isalpha():  # a stop after a letter is a token of its own
+                stems[chunk] = chunk[:-1]
+        new = {*new, *stems.values()}.difference(stems)
+        for chunk in new:
+            if chunk not in self and len(chunk) <= LONGEST and (_PLAIN.fullmatch(chunk) if self.drops_space else chunk[:1] in (" ", "\n") and len(chunk) > 1):
                 several.append(chunk)
                 length += len(chunk)
                 if length >= CALL:
@@ -69,6 +73,9 @@ class Coder(dict):
                     several, length = [], 0
         if several:
             self._learn(several)
+        for chunk, stem in stems.items():
+            if len(chunk) <= LONGEST:
+                self[chunk] = self[stem] + self[chunk[-1]]
 
     def _learn(self, several: list[str]) -> None:
         joined = " ".join(several) if self.drops_space else "".join(several)
@@ -84,23 +91,26 @@ class Coder(dict):
                 at = cut
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text."""
+        """Ids of each text. Equal texts that come close together are encoded once."""
         i = 0
         while i < len(texts):
-            cut, new, size, j = [], set(), 0, i
-            while j < len(texts) and (size < 4 * CALL or j == i):
-                cut.append(self.chunks(texts[j]))
-                if cut[-1] is not None:
-                    new.update(cut[-1])
-                size += len(texts[j])
+            cut, new, size, j, done = [], set(), 0, i, {}
+            while j < len(texts) and (size < 8 * CALL or j == i):
+                if texts[j] not in done:
+                    done[texts[j]] = None
+                    cut.append(self.chunks(texts[j]))
+                    if cut[-1] is not None:
+                        new.update(cut[-1])
+                    size += len(texts[j])
                 j += 1
             if len(self) >= MOST:
                 used = {x: self[x] for x in new if x in self}
                 self.clear()
                 self.update(used)
-            self.learn(x for x in new if x not in self)
-            for text, chunks in zip(texts[i:j], cut):
-                yield self.whole(text) if chunks is None else b"".join(map(self.__getitem__, chunks))
+            self.learn({x for x in new if x not in self})
+            for text, chunks in zip(done, cut):
+                done[text] = self.whole(text) if chunks is None else b"".join(map(self.__getitem__, chunks))
+            yield from map(done.__getitem__, texts[i:j])
             i = j
 
 
