@@ -297,7 +297,7 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
         few = large.groupBy("block").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(F.lit(5), "id"), F.col("spread") * LEADERS) == 0, F.col("id")))), 1, 4 * LEADERS).alias("some"), F.min("id").alias("least"), F.min("spread").alias("spread"))
         few = few.select("block", "spread", F.explode(F.array_union("some", F.array("least"))).alias("id"))
         first = scratch.save(search(small.unionByName(placed).unionByName(asked_everywhere(few))), "links-1")
-        joined = scratch.save(components(first, scratch, "joined"), "joined-1")
+        joined = scratch.save(components(first, scratch, "first"), "first-joined")
         label = large.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
         counts = label.groupBy("block", "label").agg(F.count("*").alias("c"))
         main = counts.groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
@@ -310,4 +310,4 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
     joined = components(found, scratch, "linked")
     of_class = classes.join(joined, classes["first"] == joined["node"], "left").select("n", "mark", "check", F.coalesce("component", "first").alias("component_id"))
     out = sets.join(of_class, ["n", "mark", "check"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
