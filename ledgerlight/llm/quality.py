@@ -129,6 +129,8 @@ def fit(good: np.ndarray, unlabelled: np.ndarray, steps: int = 1500) -> Model:
     clipped = np.clip(every, low, high)
     model = Model(low, high, clipped.mean(0), np.maximum(clipped.std(0), 1e-6), None, None)
     zp, zu = model.ready(good), model.ready(unlabelled)
+    mixed = np.random.default_rng(3)
+    zp, zu = zp[mixed.permutation(len(zp))], zu[mixed.permutation(len(zu))]
     half = lambda z, k: z[k::2] if len(z) > 1 else z
     first = _train(half(zp, 0), half(zu, 0), None, steps // 3, 1)
     model.prior = estimate_prior(_net(first, half(zp, 1))[0], _net(first, half(zu, 1))[0])

@@ -73,7 +73,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: f
     n1, n0 = int(y.sum()), int((~y).sum())
     bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not n1 or not n0:
-        return Model(np.zeros(0, T.U), np.zeros(0), bias if len(y) else -3.0)
+        return Model(np.zeros(0, T.U), np.zeros(0), bias if len(y) else -20.0)
     word, hashes = np.unique(np.concatenate(hashes), return_inverse=True)
     docs, sents, sent_doc = np.concatenate(docs), np.concatenate(sents), np.concatenate(sent_doc)
     pair = np.unique(docs * len(word) + hashes)
@@ -128,7 +128,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, label
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.words, model.weights, model.bias))], pa.binary())], ["model"])
 
     # the fit takes one task: its input is bounded by rows
-    return texts.select("id", "text", "y").coalesce(1).sortWithinPartitions("id").mapInArrow(train, "model binary").head()["model"]
+    got = texts.select("id", "text", "y").coalesce(1).sortWithinPartitions("id").mapInArrow(train, "model binary").head()
+    if got is None:  # Spark runs no task over a table that it knows to be empty
+        empty = fit([], np.zeros(0), prior)
+        return pickle.dumps((empty.words, empty.weights, empty.bias))
+    return got["model"]
 
 
 def score_toxicity(docs: DataFrame, model: bytes, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
