@@ -14,7 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-DOMAINS = ("person", "account", "device", "address", "document", "name")
+#: Kinds of identifiers that have a key of their own.
+DOMAINS = ("subject", "name", "account", "wallet", "device", "network")
 
 
 def hkdf(root: bytes, info: bytes, length: int = 32, salt: bytes = b"") -> bytes:

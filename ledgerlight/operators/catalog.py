@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.plans.library import ACTIONS
+from ledgerlight.plans.dsl import parse, walk
+from ledgerlight.plans.library import ACTIONS, LIBRARY
 
-#: Fixed value: rows of a page.
+#: Rows of a page, states of a case and how one ends.
 PAGE = 500
+STATES, RESOLUTIONS = ("open", "in_review", "escalated", "closed"), ("cleared", "sar_filed", "account_frozen", "false_positive")
 
 SUPPRESSIONS = "id string, org_id string, rule string, kind string, value string, from_us long, until_us long, lifted_us long, who string, why string"
 RUNGS = "id string, org_id string, rule string, kind string, count int, within_us long, to string, retired_us long, who string"
@@ -43,7 +45,7 @@ def cases(events: DataFrame) -> DataFrame:
     """Cases as their events left them: status, assignee, resolution, opened and updated. events: org_id, case_id, kind, body, author, at_us."""
     e = events.groupBy("org_id", "case_id").agg(
         F.min("at_us").alias("opened_us"), F.max("at_us").alias("updated_us"), F.count("*").alias("events"),
-        F.max_by(F.when(F.col("kind") == "status", F.col("body")), F.when(F.col("kind") == "status", F.col("at_us"))).alias("status"),
+        F.max_by(F.when(F.col("kind") == "status_change", F.col("body")), F.when(F.col("kind") == "status_change", F.col("at_us"))).alias("status"),
         F.max_by(F.when(F.col("kind") == "assign", F.col("body")), F.when(F.col("kind") == "assign", F.col("at_us"))).alias("assignee"),
         F.max_by(F.when(F.col("kind") == "resolve", F.col("body")), F.when(F.col("kind") == "resolve", F.col("at_us"))).alias("resolution"),
     )
@@ -59,3 +61,17 @@ def page(df: DataFrame, order: list[str], limit: int = PAGE) -> tuple[DataFrame,
     """The first rows, and whether there are more."""
     rows = df.orderBy(*order).limit(min(limit, PAGE) + 1)
     return rows.limit(min(limit, PAGE)), rows.count() > min(limit, PAGE)
+
+
+def coverage(spark, rules=LIBRARY) -> DataFrame:
+    """Each rule with its typology, the terms it uses and the providers that these need."""
+    needs = {"Screened": "screening", "Listed": "lists", "Tier": "jurisdictions", "USD": "rates", "Near": "rates"}
+    rows = []
+    for r in rules:
+        calls = sorted({n.value for n in walk(parse(r.dsl)) if n.kind == "call"})
+        rows.append((r.id, r.typology, r.severity, r.action, float(r.weight), calls, sorted({needs.get(c, "history") for c in calls if c[0].isupper()})))
+    return spark.createDataFrame(rows, "rule string, typology string, severity string, action string, weight double, terms array<string>, providers array<string>")
+
+
+#: What the starter rules don't look for.
+GAPS = ("beneficial ownership behind an account", "trade documents and prices of goods", "transfers between customers of different organisations", "cash deposits without a customer's reference", "the origin of crypto assets before the first transfer seen")

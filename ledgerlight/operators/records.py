@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.dates import expiry
 
 #: Why a record may be read, hours until a case must be handled, and days until it counts as left alone.
-PURPOSES = ("supervision", "investigation", "audit", "subject-access")
+PURPOSES = ("monitoring", "investigation", "disclosure", "retention")
+CLASSES = ("relationship", "transaction", "assessment", "refusal")
+TRIGGERS = ("relationship_end", "occasional_transaction", "refusal")
 SLA_HOURS = {"critical": 1, "high": 4, "medium": 24, "low": 72}
 STALE_DAYS = 30
 LOOKBACK_YEARS = 5
@@ -33,6 +35,16 @@ def permitted(records: DataFrame, purpose: str) -> DataFrame:
     return records
 
 
+def refused(records: DataFrame) -> DataFrame:
+    """records with errors: what keeps each from being retained."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    checks = {
+        "org": blank("org_id"), "class": ~F.coalesce(F.col("class").isin(*CLASSES), F.lit(False)), "trigger": ~F.coalesce(F.col("trigger").isin(*TRIGGERS), F.lit(False)), "parties": F.coalesce(F.size("parties"), F.lit(0)) < 1,
+        "ref": blank("ref"), "occurred": F.col("occurred").isNull(), "nature": (F.col("class") == "relationship") & blank("nature"), "reason": (F.col("class") == "refusal") & blank("reason"),
+    }
+    return records.withColumn("errors", F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in checks.items()))))
+
+
 def with_expiry(records: DataFrame) -> DataFrame:
     """records (class, start, occurred, extended_days) with expiry; without a start there is none."""
     return records.withColumn("expiry", expiry(F.col("class"), F.col("start"), F.col("occurred"), F.col("extended_days")))

@@ -90,3 +90,13 @@ def run(spark: SparkSession, stream: DataFrame, rules: RuleSet, folder: str, wid
     """A query that monitors a stream of transactions until it is stopped; alerts are in folder/alerts."""
     step = rules_on_batches(rules, f"{folder}/history", f"{folder}/alerts", widest_us)
     return once(stream, lateness).writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").start()
+
+
+def pressure(query) -> dict:
+    """How a running query keeps up: rows read and processed a second, rows and bytes of state, rows dropped as too late, and the watermark."""
+    p = query.lastProgress or {}
+    state = p.get("stateOperators") or []
+    return {
+        "batch": p.get("batchId"), "rows_in": p.get("inputRowsPerSecond"), "rows_done": p.get("processedRowsPerSecond"), "state_rows": sum(s.get("numRowsTotal", 0) for s in state),
+        "state_bytes": sum(s.get("memoryUsedBytes", 0) for s in state), "late": sum(s.get("numRowsDroppedByWatermark", 0) for s in state), "watermark": (p.get("eventTime") or {}).get("watermark"),
+    }

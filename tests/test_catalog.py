@@ -22,9 +22,9 @@ def test_suppressions_and_rungs(spark):
 def test_entries_and_cases(spark):
     e = spark.createDataFrame([("add", "o", "l", "v", 1), ("remove", "o", "l", "v", 2), ("add", "o", "l", "w", 1)], "op string, org_id string, list string, value string, at long")
     assert {r["value"]: r["removed"] for r in catalog.entries(e).collect()} == {"v": True, "w": False}
-    c = spark.createDataFrame([("o", "1", "note", "x", "a", 1), ("o", "1", "assign", "ann", "a", 2), ("o", "1", "status", "investigating", "a", 3), ("o", "1", "assign", "bob", "a", 4), ("o", "2", "resolve", "reported", "a", 5)], "org_id string, case_id string, kind string, body string, author string, at_us long")
+    c = spark.createDataFrame([("o", "1", "note", "x", "a", 1), ("o", "1", "assign", "ann", "a", 2), ("o", "1", "status_change", "in_review", "a", 3), ("o", "1", "assign", "bob", "a", 4), ("o", "2", "resolve", "sar_filed", "a", 5)], "org_id string, case_id string, kind string, body string, author string, at_us long")
     got = {r["case_id"]: r for r in catalog.cases(c).collect()}
-    assert (got["1"]["status"], got["1"]["assignee"], got["2"]["status"], got["2"]["resolution"]) == ("investigating", "bob", "closed", "reported")
+    assert (got["1"]["status"], got["1"]["assignee"], got["2"]["status"], got["2"]["resolution"]) == ("in_review", "bob", "closed", "sar_filed")
     assert [r["case_id"] for r in catalog.expired_cases(catalog.cases(c), F.lit(100), 50).collect()] == ["2"]
     rows, more = catalog.page(c, ["at_us"], 3)
     assert rows.count() == 3 and more
@@ -56,3 +56,12 @@ def test_chain_risk(spark):
     tx = spark.createDataFrame([("A1",), ("b2",), ("c3",)], "address string")
     risks = spark.createDataFrame([("a1", 0.8, None), ("B2", 0.1, "sanctions")], "address string, risk double, category string")
     assert [(r["high_risk"], r["blocked"]) for r in replay.chain_risk(tx, risks).orderBy("address").collect()] == [(True, False), (True, True), (False, False)]
+
+
+def test_coverage_and_refusals(spark):
+    from ledgerlight.operators import records
+
+    c = {r["rule"]: r for r in catalog.coverage(spark).collect()}
+    assert len(c) == 20 and c["exposure-political"]["providers"] == ["rates", "screening"] and c["structuring-day"]["terms"] == ["Structured"]
+    rows = spark.createDataFrame([("o", "relationship", "relationship_end", ["p"], "r", "2024-01-01", "loan", None), ("", "x", None, [], " ", None, None, None), ("o", "refusal", "refusal", ["p"], "r", "2024-01-01", None, "")], "org_id string, class string, trigger string, parties array<string>, ref string, occurred string, nature string, reason string")
+    assert [r["errors"] for r in records.refused(rows).collect()] == [[], ["org", "class", "trigger", "parties", "ref", "occurred"], ["reason"]]
