@@ -6,9 +6,12 @@ finds them: the longest lists are set aside; the short ones are merged with a he
 threshold any more, and the long ones are probed by binary search for the survivors only.
 
 Which documents meet in a block is decided so that no pair is missed and unrelated documents don't meet. The n-grams of
-documents of like size are dealt, by hash, to more cells than two similar sets may differ in n-grams. So similar sets
-agree entirely in one cell that isn't empty, and documents that agree in a cell get into one cluster. Sharing a passage
-doesn't suffice for that. Clusters are found as components of a graph with one edge for each document and cell.
+documents of like size are dealt, by hash, to twice as many cells as two similar sets may differ in n-grams. So similar
+sets agree entirely in half of their cells. Each leaves out the cells whose rarest n-gram is the most frequent, but so few
+of them that the rarest cell in which two similar sets agree is left to both. Documents that agree in a cell get into one
+cluster; sharing a passage doesn't suffice for that. Clusters are components of a graph with an edge for each document and
+cell. How frequent an n-gram is comes from a sketch of fixed size over all documents. It decides which cells are left out,
+in the same way for all, and so never what is found.
 
 A cluster too large for a block is spread over several. A few of its documents are searched in all of its blocks first;
 then only those documents that have not got into its largest component are, since any pair not yet joined has such a
@@ -34,8 +37,8 @@ from ledgerlight.llm.store import Scratch, homes, shuffle_width
 
 #: Documents in a block; documents of a large cluster that are searched in all its blocks at first.
 BLOCK_ROWS, LEADERS = 400, 12
-#: Growth of the sizes of a band, and cells beyond the differences that its sets may have.
-BAND, SPARE = 1.5, 1.15
+#: Growth of the sizes of a band, counters of the sketch, and bytes of text among which an n-gram must repeat to count.
+BAND, COUNTERS, AMONG = 1.5, 1 << 20, 16 << 20
 _MU = 0.01
 
 
@@ -47,10 +50,10 @@ def bands(part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
         least.append(max(least[-1] + 1, math.ceil(least[-1] * BAND)))
     # sets of sizes below m with that similarity differ in at most (whole - part) / (whole + part) of their sizes' sum
     differ = [(whole - part) * 2 * (m - 1) // (whole + part) for m in least[1:]]
-    return np.array(least), np.array([math.ceil(d * SPARE) + 2 if d else 1 for d in differ], np.int64)
+    return np.array(least), np.array([2 * d + 2 if d else 1 for d in differ], np.int64)
 
 
-def cells(grams: np.ndarray, part: int, whole: int) -> np.ndarray:
+def cells(grams: np.ndarray, part: int, whole: int, sketch: np.ndarray | None = None) -> np.ndarray:
     """Keys of a sorted set; two sets that are similar enough have one in common."""
     n = len(grams)
     if not n:
@@ -60,16 +63,21 @@ def cells(grams: np.ndarray, part: int, whole: int) -> np.ndarray:
     last = int(np.searchsorted(least, n * whole // part, "right")) - 1
     total = np.zeros(n + 1, T.U)
     np.cumsum(T.mix(grams), out=total[1:])
+    often = np.zeros(n, np.int64) if sketch is None else sketch[(grams >> T.U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)].astype(np.int64)
     out = []
     for b in range(band, last + 1):
         k = int(many[b])
-        edge = np.searchsorted(grams, (np.arange(1, k, dtype=object) * ((1 << 64) // k)).astype(T.U)) if k > 1 else np.zeros(0, np.int64)
+        differ = (whole - part) * 2 * (int(least[b + 1]) - 1) // (whole + part)
+        edge = np.searchsorted(grams, np.arange(1, k).astype(T.U) * T.U((1 << 64) // k)) if k > 1 else np.zeros(0, np.int64)
         edge = np.r_[0, edge, n]
         size = np.diff(edge)
         held = np.flatnonzero(size)
-        out.append(T.mix((total[edge[1:]] - total[edge[:-1]])[held] ^ T.mix((T.U(b << 40) + held.astype(T.U)) ^ (size[held].astype(T.U) << T.U(50)))))
-        differ = (whole - part) * 2 * (int(least[b + 1]) - 1) // (whole + part)
-        if k - len(held) >= k - differ:  # two such sets may agree in empty cells alone: they all meet under one key
+        rarest = np.minimum.reduceat(often, edge[:-1][held])
+        keys = T.mix((total[edge[1:]] - total[edge[:-1]])[held] ^ T.mix((T.U(b << 40) + held.astype(T.U)) ^ (size[held].astype(T.U) << T.U(50))))
+        # of k cells, at least k - differ of which agree, all but differ + 1 may go: empty ones first, then those of frequent n-grams
+        stay = min(len(held), differ + 1)
+        out.append(keys[np.lexsort((keys, rarest))[:stay]])
+        if len(held) < differ + 1:  # two such sets may agree in empty cells alone: they all meet under one key
             out.append(T.mix(np.array([b + (1 << 60)], T.U)))
     return np.concatenate(out)
 
@@ -174,30 +182,49 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = ["doc_id", "n", "mark", "check", "chunk", "counts"], np.zeros(COUNTERS, np.int32)
         for batch in batches:
             n, mark, check = [], [], []
-            for g in T.shingles(*T.column(batch, "text"), words):
-                n.append(len(g))
-                mark.append(int(np.add.reduce(T.mix(g)).astype(np.int64)))
-                check.append(int(np.bitwise_xor.reduce(T.mix(g ^ T.U(77))).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.int64()), pa.array(check, pa.int64())], ["doc_id", "n", "mark", "check"])
-
-    sets = rows.mapInArrow(outline, "doc_id long, n long, mark long, check long").groupBy("doc_id").agg(F.min(F.struct("mark", "check", "n")).alias("s")).select("doc_id", "s.*")
+            data, offsets = T.column(batch, "text")
+            for i, j in T.blocks(offsets, AMONG):
+                held = list(T.shingles(data, offsets[i : j + 1], words))
+                for g in held:
+                    n.append(len(g))
+                    mark.append(int(np.add.reduce(T.mix(g)).astype(np.int64)))
+                    check.append(int(np.bitwise_xor.reduce(T.mix(g ^ T.U(77))).astype(np.int64)))
+                every = np.sort(np.concatenate(held))
+                head = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+                times = np.diff(np.r_[head, len(every)])
+                again = times > 1
+                np.add.at(counts, (every[head[again]] >> T.U(64 - COUNTERS.bit_length() + 1)).astype(np.int64), times[again])
+            nulls = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.int64()), pa.array(check, pa.int64()), *nulls], names)
+        chunks = np.split(counts, 16)
+        none = [pa.nulls(16, pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(16), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], names)
+
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in table.column("counts").to_pylist())
+        level = np.ceil(np.log2(total + 1) * 4).astype(np.uint8)  # as fine as the order of cells needs
+        return pa.table({"chunk": table.column("chunk")[:1], "level": pa.array([level.tobytes()], pa.binary())})
+
+    outlined = scratch.save(rows.mapInArrow(outline, "doc_id long, n long, mark long, check long, chunk int, counts binary"), "outlined")
+    levels = outlined.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(added, "chunk int, level binary")
+    levels = {r["chunk"]: r["level"] for r in levels.collect()}  # a byte for each counter
+    sketch = spark.sparkContext.broadcast(np.frombuffer(b"".join(levels.get(i, bytes(COUNTERS // 16)) for i in range(16)), np.uint8))
+    sets = outlined.where("chunk is null").groupBy("doc_id").agg(F.min(F.struct("mark", "check", "n")).alias("s")).select("doc_id", "s.*")
     sets = scratch.save(sets, "sets")
     # equal sets are one class under its least id
     known = sets.where("n > 0 and doc_id is not null")
     classes = scratch.save(known.groupBy("n", "mark", "check").agg(F.min("doc_id").alias("first")), "classes")
 
-    def grams_of(some: DataFrame) -> DataFrame:
-        """The texts of some documents: id, and the columns of some."""
-        return rows.join(some.withColumnRenamed("id", "doc_id"), "doc_id")
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sketch.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = T.column(batch, "text")
             for i, j in T.blocks(offsets, 4 * T.BLOCK):
-                found = [cells(g, part, whole) for g in T.shingles(data, offsets[i : j + 1], words)]
+                found = [cells(g, part, whole, often) for g in T.shingles(data, offsets[i : j + 1], words)]
                 keys, docs = np.concatenate(found), np.repeat(ids[i:j], [len(k) for k in found])
                 order, head, least = _stars(keys, docs)
                 keys, docs = keys[order], docs[order]
@@ -230,14 +257,28 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
         order, head, least = _stars(keys, docs)
         yield _edges(np.concatenate([*a, docs[order][~head]]), np.concatenate([*b, least[~head]]))
 
-    firsts = classes.select(F.col("first").alias("id"))
-    met = grams_of(firsts).select("doc_id", "text").mapInArrow(deal, "home int, joined boolean, blob binary")
+    # copies are dealt like all others: they join the first of them in the task, without a shuffle of texts to leave them out
+    met = rows.where("doc_id is not null").mapInArrow(deal, "home int, joined boolean, blob binary")
     met = met.repartition(parts, "home").mapInArrow(meet, "a long, b long")
-    clusters = scratch.save(components(met, scratch, "clusters"), "clustered")
+    clusters = components(met, scratch, "clusters")
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("many"))
+    clusters = scratch.save(clusters.join(classes.select("first"), F.col("node") == F.col("first"), "left_semi"), "clustered")
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("many")).where("many > 1")
     clusters = scratch.save(clusters.join(sizes, "component"), "members")
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # of texts that share an id, the one that its class has
+            found = [(g.tobytes(), int(np.add.reduce(T.mix(g)).astype(np.int64))) for g in T.shingles(*T.column(batch, "text"), words)]
+            same = pa.array([m for _, m in found], pa.int64()).equals(batch.column(2)) or np.array([m for _, m in found]) == batch.column(2).to_numpy()
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([g for g, _ in found], pa.binary())], ["doc_id", "grams"])
+            yield out if same is True else out.filter(pa.array(same))
+
+    # the one shuffle of texts, and the plan that holds at any size: never a broadcast of ids, whose number grows with the input
+    wanted = clusters.join(classes, F.col("node") == F.col("first")).select(F.col("node").alias("doc_id"), "mark").hint("merge")
+    packed = rows.join(wanted, "doc_id").select("doc_id", "text", "mark").mapInArrow(pack, "doc_id long, grams binary")
+    packed = scratch.save(packed, "packed")
+
     # a block of small clusters has about BLOCK_ROWS documents; a larger cluster has blocks of its own
     small = clusters.where(F.col("many") <= BLOCK_ROWS)
     bins = max(1, math.ceil(small.count() / BLOCK_ROWS))
@@ -255,18 +296,12 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
     def search(seats: DataFrame) -> DataFrame:
         """Links found in blocks, as edges from a document to the least one that it is joined with there."""
 
-        def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.schema.get_field_index("text")
-                packed = pa.array([g.tobytes() for g in T.shingles(*T.column(batch, "text"), words)], pa.binary())
-                yield batch.set_column(at, "text", packed)
-
         def links(table: pa.Table) -> pa.Table:
             ids = table.column("doc_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             asks, held = (table.column(c).to_numpy()[order] for c in ("asks", "held"))
-            blobs = table.column("text").to_pylist()
+            blobs = table.column("grams").to_pylist()
             grams = [np.frombuffer(blobs[i], T.U) for i in order.tolist()]
             # a document that asks in its own block has two rows there
             once = np.r_[True, ids[1:] != ids[:-1]]
@@ -288,8 +323,7 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
             top = np.array([find(i) for i in range(len(ids))], np.int64) if len(ids) else np.zeros(0, np.int64)
             return pa.Table.from_batches([_edges(ids, ids[top] if len(ids) else ids)])
 
-        loaded = grams_of(seats).select("doc_id", "text", "block", "at", "asks", "held")
-        loaded = loaded.mapInArrow(load, "doc_id long, text binary, block long, at int, asks boolean, held boolean")
+        loaded = packed.join(seats.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
         return loaded.groupBy("block", "at").applyInArrow(links, "a long, b long")
 
     found = small
