@@ -109,7 +109,8 @@ def test_cells_meet():
             a, b = np.unique(a), np.unique(b)
             both = len(np.intersect1d(a, b))
             if whole * both >= part * (len(a) + len(b) - both):
-                assert set(ngram_join.cells(a, part, whole).tolist()) & set(ngram_join.cells(b, part, whole).tolist())
+                for sketch in (None, RNG.integers(0, 9, ngram_join.COUNTERS).astype(np.uint8)):
+                    assert set(ngram_join.cells(a, part, whole, sketch).tolist()) & set(ngram_join.cells(b, part, whole, sketch).tolist())
 
 
 def test_divide_skip():
@@ -404,7 +405,7 @@ def test_nearest(spark):
 def test_warc(spark):
     rows = [(i, f"http://h/{i}", f"<p>{prose(3)}</p>") for i in range(700)] + [(None, None, None), (701, None, ""), (701, None, "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"file": F.lit(1), "digest": F.lit(2), "place": F.lit(3)})
-    mine = warc.records(pages, 64)
+    mine = warc.records(pages, 64, with_body=True)
     for r in mine.where("page_id < 5").collect():
         assert hashlib.sha256(r["body"].encode()).hexdigest() == r["digest"] and len(r["body"].encode()) == r["length"] and r["body"].startswith("WARC/1.0\r\n")
     ends = mine.toPandas().sort_values(["file", "ordinal"])
