@@ -1,8 +1,10 @@
 """Nearest neighbours by a forest of random-projection trees.
 
 The trees are grown in the driver over a bounded sample of vectors; then every vector is put into a leaf of each tree. A
-query walks all trees through one priority queue, in which a subtree waits with the least margin by which the query lies
-on its other side, until the leaves it has reached hold enough candidates. Those are ranked by their exact inner products.
+query walks all trees through one priority queue, in which a subtree waits with the largest margin by which the query lies on
+its other side, until the leaves it has reached hold enough candidates. Those are ranked by their exact inner products.
+How many are enough is measured on the sample, against brute force there: few where vectors form groups, and a large part
+of all where they are spread evenly.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.store import Scratch
+from ledgerlight.llm.store import Scratch, shuffle_width
 
-#: Vectors that the trees are grown over, trees, vectors in a leaf, share of vectors that a query ranks and the least number, rows of a leaf in one task.
-SAMPLE, TREES, LEAF, SHARE, LEAST, TASK_ROWS = 20_000, 4, 128, 0.1, 4_000, 20_000
+#: Vectors that the trees are grown over, trees, the recall aimed at and the queries that it is measured with, rows of a leaf in one task.
+SAMPLE, TREES, RECALL, PROBES, TASK_ROWS = 20_000, 4, 0.96, 200, 20_000
+#: Budgets that are tried, as shares of all vectors; those seen in several trees count in each.
+SHARES = (0.01, 0.02, 0.04, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0, 3.0)
 
 
 class Tree:
@@ -91,7 +96,43 @@ def reached(trees: list[Tree], q: np.ndarray, wanted: float) -> list[tuple[int,
     return out
 
 
-def nearest(vectors: DataFrame, asks, k: int = 20, trees: int = TREES, share: float = SHARE, least: int = LEAST, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def lifted(v: np.ndarray, longest: float) -> np.ndarray:
+    """Rows on the unit sphere of one more dimension, where the nearest to a query's direction have the largest inner products with it."""
+    v = v / longest
+    return np.c_[v, np.sqrt(np.maximum(0, 1 - (v * v).sum(1)))]
+
+
+def direction(q: np.ndarray) -> np.ndarray:
+    return np.r_[q / np.linalg.norm(q), 0.0]
+
+
+def budget(forest: list[Tree], x: np.ndarray, k: int, recall: float) -> float:
+    """x: lifted. Vectors of the sample that a query has to reach, measured: the least share with which probes find enough of their k nearest in the sample."""
+    seats = [tree.leaves(x) for tree in forest]
+    probes = np.random.default_rng(23).choice(len(x), min(PROBES, len(x)), replace=False)
+    wanted = []
+    for q in probes.tolist():
+        scores = x[:, :-1] @ x[q, :-1]
+        scores[q] = -np.inf
+        wanted.append(np.argsort(-scores)[: min(k, len(x) - 1)])
+    every = [reached(forest, direction(x[q, :-1]), math.inf) for q in probes]
+    for share in SHARES:
+        hit = total = 0
+        for q, near, walk in zip(probes, wanted, every):
+            held, seen = 0, set()
+            for t, leaf in walk:
+                if held >= share * len(x):
+                    break
+                seen.add((t, leaf))
+                held += forest[t].sizes[leaf]
+            hit += sum(any((t, seats[t][i]) in seen for t in range(len(forest))) for i in near.tolist())
+            total += len(near)
+        if hit >= recall * total:
+            return share * len(x)
+    return math.inf
+
+
+def nearest(vectors: DataFrame, asks, k: int = 20, trees: int = TREES, recall: float = RECALL, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row where asks holds, the k others with the largest inner product.
 
     Ties go to the smaller id; a row isn't its own neighbour. Null ids, vectors that are null, zero, or hold null or
@@ -117,12 +158,14 @@ def nearest(vectors: DataFrame, asks, k: int = 20, trees: int = TREES, share: fl
     classes = scratch.save(classes, "classes")
     n = classes.count()
     drawn = classes.select("class", "v").orderBy(F.xxhash64(F.lit(9), "class"), "v").limit(sample).toArrow()
-    x = np.array(drawn.column("v").to_pylist(), float)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    longest = classes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).head()[0] ** 0.5
+    x = lifted(np.array(drawn.column("v").to_pylist(), float), longest)
     rng = np.random.default_rng(17)
-    size = max(8, math.ceil(LEAF * len(x) / n))
+    # leaves grow in number and in size with the input, so that neither a walk nor a leaf gets long
+    size = max(8, math.ceil(len(x) / (3 * n ** (1 / 3))))
     forest = [Tree(x, size, rng) for _ in range(trees)]
-    wanted = max(share * n, least) * len(x) / n
+    wanted = budget(forest, x, max(1, math.ceil(k * len(x) / n)), recall)
+    bins = max(shuffle_width(spark), math.ceil(n * trees / (4 * TASK_ROWS)))
     model = spark.sparkContext.broadcast(pickle.dumps(forest))  # at most sample / 4 splits a tree
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +174,15 @@ def nearest(vectors: DataFrame, asks, k: int = 20, trees: int = TREES, share: fl
             if not batch.num_rows:
                 continue
             v = _matrix(batch.column(0))
+            x = lifted(v, longest)
             for t, tree in enumerate(grown):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(tree.leaves(v).astype(np.int32)), *batch.columns], ["tree", "leaf", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(tree.leaves(x).astype(np.int32)), *batch.columns], ["tree", "leaf", *batch.schema.names])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grown = pickle.loads(model.value)
         for batch in batches:
             for i, q in enumerate(_matrix(batch.column(0)) if batch.num_rows else []):
-                found = reached(grown, q / np.linalg.norm(q), wanted)
+                found = reached(grown, direction(q), wanted)
                 take = pa.array([i] * len(found))
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int32()), pa.array([leaf for _, leaf in found], pa.int32()), *(c.take(take) for c in batch.columns)], ["tree", "leaf", *batch.schema.names])
 
@@ -151,30 +195,44 @@ def nearest(vectors: DataFrame, asks, k: int = 20, trees: int = TREES, share: fl
     walks = walks.join(crowded, ["tree", "leaf"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
     def rank(table: pa.Table) -> pa.Table:
+        """The k best of each query among all leaves of a bin."""
+        place = np.stack([table.column(c).to_numpy() for c in ("tree", "leaf", "part")], 1)
+        _, where = np.unique(place, axis=0, return_inverse=True)
         asked = table.column("query_id").is_valid().to_numpy(zero_copy_only=False)
-        v = _matrix(table.column("v").combine_chunks())
-        ids = table.column("ids").combine_chunks()
-        many = np.diff(ids.offsets.to_numpy())[~asked] if (~asked).any() else np.zeros(0, int)
-        flat = ids.filter(pa.array(~asked)).flatten().to_numpy()
-        base, queries = v[~asked], table.column("query_id").to_numpy()[asked].astype(np.int64)
-        first = np.r_[0, np.cumsum(many)]
-        out = [[], [], []]
-        for i in range(0, len(queries), 256):
-            scores = v[asked][i : i + 256] @ base.T
-            for q, s in zip(queries[i : i + 256].tolist(), scores):
-                best = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]) if len(s) > k + 1 else np.arange(len(s))
-                mine = np.concatenate([flat[first[c] : first[c + 1]] for c in best.tolist()]) if len(best) else np.zeros(0, np.int64)
-                worth = np.repeat(s[best], many[best])
-                other = mine != q
-                mine, worth = mine[other], worth[other]
-                top = np.lexsort((mine, -worth))[:k]
-                out[0].append(np.full(len(top), q))
-                out[1].append(mine[top])
-                out[2].append(worth[top])
-        joined = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"query_id": joined[0].astype(np.int64), "vec_id": joined[1].astype(np.int64), "score": joined[2].astype(float)})
-
-    found = seats.unionByName(walks).groupBy("tree", "leaf", "part").applyInArrow(rank, "query_id long, vec_id long, score double")
+        queries = table.column("query_id").fill_null(0).to_numpy()
+        v, ids = _matrix(table.column("v").combine_chunks()), table.column("ids").combine_chunks()
+        flat, first = ids.flatten().to_numpy(), np.r_[0, np.cumsum(pa.compute.list_value_length(ids).to_numpy())]
+        order = np.argsort(where, kind="stable")
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for rows in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+            base, mine = rows[~asked[rows]], rows[asked[rows]]
+            many = first[base + 1] - first[base]
+            members = np.concatenate([flat[first[i] : first[i + 1]] for i in base.tolist()]) if len(base) else np.zeros(0, np.int64)
+            of = np.repeat(np.arange(len(base)), many)
+            for i in range(0, len(mine) if len(base) else 0, 256):
+                some = mine[i : i + 256]
+                for i, s in zip(some.tolist(), v[some] @ v[base].T):
+                    q = int(queries[i])
+                    near_k = np.partition(s, len(s) - k - 1)[len(s) - k - 1] if len(s) > k + 1 else -np.inf
+                    best = np.flatnonzero(s >= near_k - 1e-9 * abs(near_k))
+                    s[best] = (v[base[best]] * v[i]).sum(1)  # the same to the last bit in whichever leaf the pair meets
+                    pick = np.flatnonzero(np.isin(of, best)) if len(members) > len(base) else best
+                    near, worth = members[pick], s[of[pick]]
+                    near, worth = near[near != q], worth[near != q]
+                    top = np.lexsort((near, -worth))[:k]
+                    for column, found in zip(out, (np.full(len(top), q), near[top], worth[top])):
+                        column.append(found)
+        q, near, worth = map(np.concatenate, out)
+        order = np.lexsort((near, -worth, q))
+        q, near, worth = q[order], near[order], worth[order]
+        once = np.r_[True, (q[1:] != q[:-1]) | (near[1:] != near[:-1])][: len(q)]
+        q, near, worth = q[once], near[once], worth[once]
+        head = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
+        number = np.arange(len(q)) - np.repeat(head, np.diff(np.r_[head, len(q)]))
+        return pa.table({"query_id": q[number < k], "vec_id": near[number < k], "score": worth[number < k]})
+
+    bin_of = F.pmod(F.xxhash64("tree", "leaf", "part"), F.lit(bins)).cast("int").alias("bin")
+    found = seats.unionByName(walks).select("*", bin_of).groupBy("bin").applyInArrow(rank, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
