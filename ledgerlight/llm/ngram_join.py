@@ -208,7 +208,7 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
         level = np.ceil(np.log2(total + 1) * 4).astype(np.uint8)  # as fine as the order of cells needs
         return pa.table({"chunk": table.column("chunk")[:1], "level": pa.array([level.tobytes()], pa.binary())})
 
-    outlined = scratch.save(rows.mapInArrow(outline, "doc_id long, n long, mark long, check long, chunk int, counts binary"), "outlined")
+    outlined = scratch.save(rows.mapInArrow(T.tidy(outline), "doc_id long, n long, mark long, check long, chunk int, counts binary"), "outlined")
     levels = outlined.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(added, "chunk int, level binary")
     levels = {r["chunk"]: r["level"] for r in levels.collect()}  # a byte for each counter
     sketch = spark.sparkContext.broadcast(np.frombuffer(b"".join(levels.get(i, bytes(COUNTERS // 16)) for i in range(16)), np.uint8))
@@ -258,8 +258,8 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
         yield _edges(np.concatenate([*a, docs[order][~head]]), np.concatenate([*b, least[~head]]))
 
     # copies are dealt like all others: they join the first of them in the task, without a shuffle of texts to leave them out
-    met = rows.where("doc_id is not null").mapInArrow(deal, "home int, joined boolean, blob binary")
-    met = met.repartition(parts, "home").mapInArrow(meet, "a long, b long")
+    met = rows.where("doc_id is not null").mapInArrow(T.tidy(deal), "home int, joined boolean, blob binary")
+    met = met.repartition(parts, "home").mapInArrow(T.tidy(meet), "a long, b long")
     clusters = components(met, scratch, "clusters")
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
     clusters = scratch.save(clusters.join(classes.select("first"), F.col("node") == F.col("first"), "left_semi"), "clustered")
@@ -276,7 +276,7 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
 
     # the one shuffle of texts, and the plan that holds at any size: never a broadcast of ids, whose number grows with the input
     wanted = clusters.join(classes, F.col("node") == F.col("first")).select(F.col("node").alias("doc_id"), "mark").hint("merge")
-    packed = rows.join(wanted, "doc_id").select("doc_id", "text", "mark").mapInArrow(pack, "doc_id long, grams binary")
+    packed = rows.join(wanted, "doc_id").select("doc_id", "text", "mark").mapInArrow(T.tidy(pack), "doc_id long, grams binary")
     packed = scratch.save(packed, "packed")
 
     # a block of small clusters has about BLOCK_ROWS documents; a larger cluster has blocks of its own

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerlight.llm.store import Scratch
+from ledgerlight.llm.text import tidy
 from ledgerlight.llm.tokens import coder
 
 #: Pieces that one task packs; each such bunch can leave one sequence that isn't full.
@@ -49,7 +50,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, w
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names[: 5 + with_ids])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, _PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(tidy(cut, tokens=True), _PIECES + (", ids binary" if with_ids else ""))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +106,7 @@ def pack(pieces: DataFrame, capacity: int, bunch: int = BUNCH) -> DataFrame:
         yield from table.to_batches()
 
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return pieces.repartition(parts, *key).mapInArrow(place, schema)
+    return pieces.repartition(parts, *key).mapInArrow(tidy(place), schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, what: str = "packing") -> DataFrame:

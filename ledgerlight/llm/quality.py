@@ -156,7 +156,7 @@ def fit_quality(docs: DataFrame, positives: DataFrame, rows: int = FIT_ROWS, id_
             x = features(*T.column(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "good", "x"])
 
-    got = texts.select("id", "good", "text").mapInArrow(measure, "id long, good int, x array<double>").toArrow()
+    got = texts.select("id", "good", "text").mapInArrow(T.tidy(measure), "id long, good int, x array<double>").toArrow()
     order = np.lexsort((got.column("id").to_numpy(), got.column("good").to_numpy()))
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, FEATURES)[order]
     y = got.column("good").to_numpy()[order]
@@ -178,4 +178,4 @@ def score_quality(docs: DataFrame, model: bytes, threshold: float = 0.5, id_col:
             p = judge.scores(features(*T.column(batch, text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return rest.mapInArrow(score, schema)
+    return rest.mapInArrow(T.tidy(score), schema)

@@ -187,8 +187,8 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array([home[p] for p in some], pa.int32()), pa.array([found[order[cuts[p] : cuts[p + 1]]].tobytes() for p in some], pa.binary())], ["home", "blob"])
 
     packed = "home int, blob binary"
-    found = docs.select(ident.alias("id"), key.alias("key"), text.alias("text")).mapInArrow(local, packed)
-    found = found.repartition(parts, "home").mapInArrow(shared, packed)
+    found = docs.select(ident.alias("id"), key.alias("key"), text.alias("text")).mapInArrow(T.tidy(local), packed)
+    found = found.repartition(parts, "home").mapInArrow(T.tidy(shared), packed)
     row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
     texts = docs.select(F.element_at(F.array(*map(F.lit, home)), (F.pmod(key, F.lit(parts)) + 1).cast("int")).alias("home"), F.lit(None).cast("binary").alias("blob"), key.alias("key"), row)
     spans = found.select("home", "blob", F.lit(None).cast("long").alias("key"), F.lit(None).cast(texts.schema["row"].dataType).alias("row"))
@@ -230,5 +230,5 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
                     c.append(v)
             yield pa.RecordBatch.from_arrays([rows, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()).cast(pa.string()), pa.array(columns[3], _FOUND_TYPE)], ["row", "n_words", "n_removed", "kept_text", "factors"])
 
-    done = both.mapInArrow(finish, StructType([StructField("row", texts.schema["row"].dataType), *StructType.fromDDL(_FOUND).fields]))
+    done = both.mapInArrow(T.tidy(finish), StructType([StructField("row", texts.schema["row"].dataType), *StructType.fromDDL(_FOUND).fields]))
     return done.select("row.*", "n_words", "n_removed", "kept_text", "factors")

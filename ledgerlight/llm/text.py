@@ -6,13 +6,15 @@ Python string is made for a word. Hashes have 64 bits; sequences of words get th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 U = np.uint64
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -132,3 +134,27 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarr
                 yield found[keep]
             else:
                 yield np.array([whole(words.hash[a:b])] if b > a else [], U)
+
+
+def tidy(work: Callable, tokens: bool = False) -> Callable:
+    """work over a task's batches, between two clearances: Python workers are reused, and what a task leaves adds up with what the next ones take.
+
+    Without tokens, the caches of tokenizers go as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear(tokens)
+        try:
+            yield from work(batches)
+        finally:
+            clear(tokens)
+
+    return run
+
+
+def clear(tokens: bool) -> None:
+    if not tokens and "ledgerlight.llm.tokens" in sys.modules:
+        sys.modules["ledgerlight.llm.tokens"]._coders.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.store import shuffle_width
+from ledgerlight.llm.text import tidy
 from ledgerlight.llm.tokens import coder
 
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("tokens_before", "<u8")])
@@ -105,7 +106,7 @@ def write_token_records(docs: DataFrame, path: str, vocabulary: str, end_id: int
         columns = list(zip(*report)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "file", "name", "records", "tokens"])
 
-    rows.mapInArrow(write, _MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
+    rows.mapInArrow(tidy(write, tokens=True), _MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -138,7 +139,7 @@ def read_token_records(spark: SparkSession, path: str) -> DataFrame:
                         yield _rows(data, index[i:j], base, row["before"])
                         i = j
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(data: bytes, index: np.ndarray, base: int, before: int) -> pa.RecordBatch:

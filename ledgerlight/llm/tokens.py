@@ -17,7 +17,7 @@ import numpy as np
 #: Characters whose lower case and normal form have a length that is known without the library.
 _PLAIN = re.compile(r"[\x21-\x7e¡-įı-ňŊ-ž]+")
 #: Longer chunks aren't kept; beyond so many the cache keeps those in use; so many characters are encoded in a call.
-LONGEST, MOST, CALL = 48, 800_000, 1 << 20
+LONGEST, MOST, CALL = 48, 400_000, 1 << 20
 
 _coders: dict[tuple[str, str], "Coder"] = {}
 
@@ -95,7 +95,7 @@ class Coder(dict):
         i = 0
         while i < len(texts):
             cut, new, size, j, done = [], set(), 0, i, {}
-            while j < len(texts) and (size < 8 * CALL or j == i):
+            while j < len(texts) and (size < 4 * CALL or j == i):
                 if texts[j] not in done:
                     done[texts[j]] = None
                     cut.append(self.chunks(texts[j]))

@@ -128,7 +128,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, label
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.words, model.weights, model.bias))], pa.binary())], ["model"])
 
     # the fit takes one task: its input is bounded by rows
-    got = texts.select("id", "text", "y").coalesce(1).sortWithinPartitions("id").mapInArrow(train, "model binary").head()
+    got = texts.select("id", "text", "y").coalesce(1).sortWithinPartitions("id").mapInArrow(T.tidy(train), "model binary").head()
     if got is None:  # Spark runs no task over a table that it knows to be empty
         empty = fit([], np.zeros(0), prior)
         return pickle.dumps((empty.words, empty.weights, empty.bias))
@@ -165,4 +165,4 @@ def score_toxicity(docs: DataFrame, model: bytes, threshold: float = 0.3, id_col
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(blame, kind)], ["doc_id", "score", "predicted", "offending"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(T.tidy(score), schema)
