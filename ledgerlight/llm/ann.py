@@ -20,10 +20,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.store import Scratch, shuffle_width
+from ledgerlight.llm.store import Scratch
 
-#: Vectors that the trees are grown over, trees, the recall aimed at and the queries that it is measured with, rows of a leaf in one task.
-SAMPLE, TREES, RECALL, PROBES, TASK_ROWS = 20_000, 4, 0.96, 200, 20_000
+#: Vectors that the trees are grown over, trees, the recall aimed at and the queries that it is measured with, rows of a leaf in one task, and least number of bins of leaves.
+SAMPLE, TREES, RECALL, PROBES, TASK_ROWS, BINS = 20_000, 4, 0.96, 200, 20_000, 16
 #: Budgets that are tried, as shares of all vectors; those seen in several trees count in each.
 SHARES = (0.01, 0.02, 0.04, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0, 3.0)
 
@@ -165,7 +165,8 @@ def nearest(vectors: DataFrame, asks, k: int = 20, trees: int = TREES, recall: f
     size = max(8, math.ceil(len(x) / (3 * n ** (1 / 3))))
     forest = [Tree(x, size, rng) for _ in range(trees)]
     wanted = budget(forest, x, max(1, math.ceil(k * len(x) / n)), recall)
-    bins = max(shuffle_width(spark), math.ceil(n * trees / (4 * TASK_ROWS)))
+    # by the number of rows alone: each query hands on its k best from every bin, however many partitions there are
+    bins = max(BINS, math.ceil(n * trees / TASK_ROWS))
     model = spark.sparkContext.broadcast(pickle.dumps(forest))  # at most sample / 4 splits a tree
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
