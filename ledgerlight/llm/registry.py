@@ -61,9 +61,10 @@ _DAMAGED = ("00", "3f", "a7", "c1")
 
 def op9_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    mine = warc.records(pages)
-    spoilt = F.when(F.substring("digest", 1, 2).isin(*_DAMAGED), F.sha2(F.overlay("body", F.lit("#"), F.lit(5)), 256)).otherwise(F.col("digest"))
-    replica = mine.where("not (file % 7 = 3 and ordinal >= 1000)").withColumn("digest", spoilt)
+    spoil = lambda body, digest: F.when(F.substring(digest, 1, 2).isin(*_DAMAGED), F.sha2(F.overlay(body, F.lit("#"), F.lit(5)), 256)).otherwise(digest)
+    both = Scratch(spark, "op9").save(warc.records(pages, more={"spoilt": spoil}), "records")
+    mine = both.drop("spoilt")
+    replica = both.where("not (file % 7 = 3 and ordinal >= 1000)").drop("digest").withColumnRenamed("spoilt", "digest")
     found = warc.audit(mine, replica)
     out = mine.join(found.withColumnsRenamed({"file": "f", "ordinal": "o"}), (F.col("file") == F.col("f")) & (F.col("ordinal") == F.col("o")), "left")
     return out.select("page_id", "file", "ordinal", "offset", "length", "digest", F.coalesce("status", F.lit("sound")).alias("status"))

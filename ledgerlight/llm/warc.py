@@ -7,6 +7,8 @@ leaves of one more tree. Two replicas are compared from the top, and only below
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,10 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head, html, F.lit("\r\n\r\n"))
 
 
-def records(pages: DataFrame, file_pages: int = FILE_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, file, ordinal, offset, length, digest and body of each page's record; file_pages successive ids share a file.
+def records(pages: DataFrame, file_pages: int = FILE_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", with_body: bool = False, more: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """page_id, file, ordinal, offset, length and digest of each page's record, and its body on demand; file_pages successive ids share a file.
+
+    more: columns to add, made of a record's body and digest; they are computed before records are moved, so that bodies needn't be.
 
     In a file, records stand by id, then by digest. A null id goes to file -1 (spread over files -1 to -256 by digest).
     Equal rows are records of their own. The window that numbers a file's records has no more rows than the file.
@@ -32,11 +36,13 @@ def records(pages: DataFrame, file_pages: int = FILE_PAGES, id_col: str = "page_
     page = F.col(id_col).cast("long")
     body = pages.select(page.alias("page_id"), record(page, F.col(url_col), F.col(html_col)).alias("body"))
     body = body.select("page_id", F.octet_length("body").cast("long").alias("length"), F.sha2("body", 256).alias("digest"), "body")
+    body = body.withColumns({name: make(F.col("body"), F.col("digest")) for name, make in (more or {}).items()})
+    rest = [*(more or {}), *(["body"] if with_body else [])]
     lost = -1 - F.pmod(F.xxhash64("digest"), F.lit(256))
     body = body.withColumn("file", F.when(F.col("page_id").isNull(), lost).otherwise(F.floor(F.col("page_id") / file_pages)).cast("long"))
     order = Window.partitionBy("file").orderBy("page_id", "digest")
     before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return body.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), F.coalesce(before, F.lit(0)).alias("offset"), "length", "digest", "body")
+    return body.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), F.coalesce(before, F.lit(0)).alias("offset"), "length", "digest", *rest)
 
 
 def leaves(found: DataFrame) -> DataFrame:
