@@ -1,9 +1,10 @@
 """Shards balanced in bytes, tokens and rows at once, by vector bin packing of groups.
 
 Rows with equal texts form a group, which stays together. Groups are hashed to small buckets, a fixed number whatever the
-input; a group too heavy for a bucket is split into pieces by its rows' ids. Buckets and pieces are packed on the driver,
-which sees a row for each of them and never one for each document: heaviest first, each goes where the dot product of its
-vector with the shard's residual capacity is highest.
+input; a group too heavy for a bucket is counted and numbered in slices by its rows' ids, but packed whole as long as it
+fits into a shard, and in quarters of a shard if it doesn't. The driver packs buckets and groups and sees a row for each
+bucket or slice, never one for each document: heaviest first, each goes where the dot product of its vector with the
+shard's residual capacity is highest.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets for each shard; a group heavier than a bucket should be is split.
+#: Buckets for each shard; a group heavier than a bucket should be is numbered in slices.
 BUCKETS = 256
+#: Parts of a shard's share in which a group that doesn't fit into a shard is packed.
+CHUNKS = 4
 
 _ROW_BYTES = 16
 
@@ -36,11 +39,33 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def units(sums: list[dict], shards: int) -> np.ndarray:
+    """What each of sums (sorted by bucket, then piece) is packed with: buckets alone, slices of a group together.
+
+    A group heavier than a shard's fair share in some dimension is cut into units of 1 / CHUNKS of that share.
+    """
+    sizes = np.array([[r["bytes"], r["tokens"], r["n"]] for r in sums], float).reshape(-1, 3)
+    total = sizes.sum(0)
+    share = sizes / np.where(total > 0, total / shards, 1)
+    out, n, i = np.zeros(len(sums), np.int64), 0, 0
+    while i < len(sums):
+        j = i + 1
+        while sums[i]["piece"] >= 0 and j < len(sums) and sums[j]["piece"] >= 0 and sums[j]["bucket"] == sums[i]["bucket"]:
+            j += 1
+        weight = share[i:j].sum(0).max()
+        cuts = 1 if weight <= 1 + 1e-9 else int(np.ceil(weight * CHUNKS))
+        before = np.cumsum(sizes[i:j, 2]) - sizes[i:j, 2]
+        out[i:j] = n + (before * cuts // sizes[i:j, 2].sum()).astype(np.int64)
+        n, i = n + cuts, j
+    return out
+
+
 def shard(docs: DataFrame, shards: int = 40, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes and 16), n_tokens (words), text_crc32, shard (0 to shards - 1), slot (gapless from 0 in each shard).
 
     A null text has no bytes, counts as a text of its own, and has the checksum of nothing. Null and repeated ids are kept
-    as rows. Equal texts share a shard unless their group is heavier than a bucket: then pieces of it do. No rows: no rows.
+    as rows. Equal texts share a shard unless their group is heavier than a shard's fair share in bytes, words or rows: then
+    quarters of a shard of it do. No rows: no rows.
 
     Texts are read twice and never moved. The first shuffle counts groups after a partial count in each task, the second
     counts buckets (a bounded number of rows leaves it), and the last one numbers the rows of each bucket.
@@ -68,9 +93,11 @@ def shard(docs: DataFrame, shards: int = 40, buckets: int = BUCKETS, id_col: str
     keyed = rows.join(F.broadcast(heavy), ["group_key", "group_check"], "left").withColumn("piece", piece)
     keyed = keyed.withColumn("bucket", F.when(F.col("piece") >= 0, F.col("group_key")).otherwise(F.pmod("group_key", F.lit(many)))).drop("pieces", "group_check")
     sums = keyed.groupBy("bucket", "piece").agg(F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).toArrow().to_pylist()
-    sums.sort(key=lambda r: (r["piece"], r["bucket"]))
-    vectors = np.array([[r["bytes"], r["tokens"], r["n"]] for r in sums], float).reshape(-1, 3)
-    where = place(vectors, shards).tolist()
+    sums.sort(key=lambda r: (r["piece"] >= 0, r["bucket"], r["piece"]))
+    unit = units(sums, shards)
+    vectors = np.zeros((int(unit.max(initial=-1)) + 1, 3))
+    np.add.at(vectors, unit, np.array([[r["bytes"], r["tokens"], r["n"]] for r in sums], float).reshape(-1, 3))
+    where = place(vectors, shards)[unit].tolist()
     begun, plan = [0] * shards, []
     for r, s in zip(sums, where):
         plan.append((r["bucket"], r["piece"], s, begun[s]))

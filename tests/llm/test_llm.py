@@ -377,6 +377,17 @@ def test_sharding(spark):
     assert sharding.shard(empty(spark), 8).count() == 0
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_sharding_keeps_groups(spark, size):
+    """A group that fits into a shard is in one, however small the table is."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    got = sharding.shard(docs, 40).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    by = got.groupby("text")
+    groups = by.agg(shards=("shard", "nunique"), n=("shard", "size"), size=("size", "sum"), n_tokens=("n_tokens", "sum"))
+    fits = (groups.n <= len(got) / 40) & (groups["size"] <= got["size"].sum() / 40) & (groups.n_tokens <= got.n_tokens.sum() / 40)
+    assert (fits & (groups.n > 1)).any() and set(groups[fits].shards) == {1}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(6, 16))
