@@ -55,16 +55,16 @@ def _factors(doc: np.ndarray, start: np.ndarray, source: np.ndarray, at: np.ndar
     return out
 
 
-def _repeats(window: np.ndarray, ident: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with an earlier place (by id, then start), and the index of each one's first place."""
+def _repeats(window: np.ndarray, name: np.ndarray, ident: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows with an earlier place (by id, then start), and the index of each one's first place. Equal ones agree in hash and name."""
     order = np.argsort(window, kind="stable")
     ordered = window[order]
     same = np.r_[False, ordered[1:] == ordered[:-1]]
     member = same.copy()
     member[:-1] |= same[1:]
     some = order[member]
-    some = some[np.lexsort((start[some], ident[some], window[some]))]
-    head = np.r_[True, window[some][1:] != window[some][:-1]] if len(some) else np.zeros(0, bool)
+    some = some[np.lexsort((start[some], ident[some], name[some], window[some]))]
+    head = np.r_[True, (window[some][1:] != window[some][:-1]) | (name[some][1:] != name[some][:-1])] if len(some) else np.zeros(0, bool)
     first = some[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(some) else some
     later = (ident[some] != ident[first]) | (start[some] != start[first])
     return some[later], first[later]
@@ -82,7 +82,7 @@ def parse_local(data, offsets, ids, keys, min_words: int, parts: int) -> Iterato
     doc, window, name = doc_of[valid], window[valid], name[valid]
     start = valid - first[doc]
     ident = ids[doc]
-    later, source = _repeats(window, ident, start)
+    later, source = _repeats(window, name, ident, start)
     known = _factors(keys[doc[later]], start[later], ident[source], start[source])
     fresh = np.ones(len(window), bool)
     fresh[later] = False
@@ -102,8 +102,7 @@ def parse_local(data, offsets, ids, keys, min_words: int, parts: int) -> Iterato
             used, which = np.unique(doc[head[mine]], return_inverse=True)
             many = size[mine]
             at = np.repeat(head[mine] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-            tail = np.ascontiguousarray((window[at] & T.U(0xFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :5])
-            yield p, _join(ids[used].astype("<i8"), keys[used].astype("<i8"), which.astype("<u4"), name[head[mine]], start[head[mine]].astype("<u4"), many.astype("<u2"), tail, old)
+            yield p, _join(ids[used].astype("<i8"), keys[used].astype("<i8"), which.astype("<u4"), name[head[mine]], start[head[mine]].astype("<u4"), many.astype("<u2"), window[at].astype("<u8"), old)
 
 
 def keys_part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -122,7 +121,7 @@ def _split(blob: bytes, n: int) -> list[bytes]:
 
 def parse_shared(blobs: list[bytes], min_words: int) -> np.ndarray:
     """Parses all windows of one content block against it."""
-    docs, keys, which, names, starts, sizes, tails, known, base = [], [], [], [], [], [], [], [], 0
+    docs, keys, which, names, starts, sizes, windows, known, base = [], [], [], [], [], [], [], [], 0
     for blob in blobs:
         a, b, c, d, e, f, g, h = _split(blob, 8)
         docs.append(np.frombuffer(a, "<i8"))
@@ -132,18 +131,16 @@ def parse_shared(blobs: list[bytes], min_words: int) -> np.ndarray:
         names.append(np.frombuffer(d, "<u8"))
         starts.append(np.frombuffer(e, "<u4"))
         sizes.append(np.frombuffer(f, "<u2"))
-        tails.append(np.frombuffer(g, np.uint8).reshape(-1, 5))
+        windows.append(np.frombuffer(g, "<u8"))
         known.append(np.frombuffer(h, _FACTORS))
     docs, keys, which, names, starts = map(np.concatenate, (docs, keys, which, names, starts))
     sizes = np.concatenate(sizes).astype(np.int64)
-    wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-    wide[:, :5] = np.concatenate(tails)
+    window = np.concatenate(windows)
+    del windows
     run = np.repeat(np.arange(len(sizes)), sizes)
     start = starts.astype(np.int64)[run] + np.arange(len(run)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-    window = T.mix(wide.view(np.uint64).ravel() ^ T.mix(names)[run])
-    del wide
     doc = which[run]
-    later, source = _repeats(window, docs[doc], start)
+    later, source = _repeats(window, names[run], docs[doc], start)
     return np.concatenate([*known, _factors(keys[doc[later]], start[later], docs[doc[source]], start[source])])
 
 
@@ -156,7 +153,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     blocks can meet or overlap. A null text has no words; null ids come before all others; rows that share an id count as
     one document, in which only a smaller start is earlier, so that equal rows don't remove each other.
 
-    Shuffles: the windows that are new to a task's block, a few bytes each; then the texts, once, with their factors.
+    Windows are equal if the 64 bits of their hash and those of their name are; both are shuffled whole.
+
+    Shuffles: the windows that are new to a task's block, some 10 bytes each; then the texts, once, with their factors.
     """
     if not 1 <= min_words <= 1000:
         raise ValueError("min_words must be from 1 to 1000")

@@ -265,6 +265,18 @@ def test_substring_repeated_rows(spark):
     assert [r["n_removed"] for r in substring.remove_repeats(alone).collect()] == [0, 0]
 
 
+def test_substring_compares_whole_hashes(monkeypatch):
+    """Windows of one name that differ in the high bits of their hash alone are not equal."""
+    real = text.runs
+    monkeypatch.setattr(text, "runs", lambda h, k: real(h, k) << np.uint64(40) if k == 20 else np.full(max(0, len(h) - k + 1), 7, np.uint64))
+    blobs = []
+    for i in range(3):
+        data = " ".join(f"{i % 2}x{k}" for k in range(24)).encode()
+        blobs += [b for _, b in substring.parse_local(np.frombuffer(data, np.uint8), np.array([0, len(data)]), np.array([i]), np.array([i]), 20, 1)]
+    assert len(blobs) == 3 and len(substring.parse_shared(blobs[:2], 20)) == 0
+    assert substring.parse_shared(blobs, 20)[["doc", "n", "source"]].tolist() == [(2, 5, 0)]
+
+
 def test_decontaminate(spark, docs, documents):
     items = [(i, prose(RNG.integers(13, 40))) for i in range(20)] + [(20, "too short to leak"), (21, None), (22, "")]
     planted = []
