@@ -1,6 +1,7 @@
 """Operators without an SQL equivalent, against small cases and brute force."""
 
 import datetime as dt
+import ipaddress
 
 import numpy as np
 import pytest
@@ -115,6 +116,30 @@ def test_lists(spark):
         assert spark.range(1).select(lists.normalise(klass, F.lit(value))).head()[0] == want, value
 
 
+def test_lists_of_both_families(spark):
+    forms = ["2001:db8::1", "2001:DB8:0:0:0:0:0:1", "::", "::1", "1::", "1:0:0:2:0:0:0:3", "1:0:0:2:3:0:0:4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "64:ff9b::10.0.0.1", "::ffff:10.0.0.1", "::FFFF:a00:1", "10.0.0.1", "fe80::1", "2001:db8:ffff:ffff:8000::"]
+    wrong = ["1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::8", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "12345::", "g::", "::10.0.0.256", "10.0.0.1::", ":::", ":", "", "::/64", "fe80::%"]
+    got = {r[0]: r[1:] for r in spark.createDataFrame([(x,) for x in forms + wrong], "v string").select("v", lists.normalise("ip", F.col("v")), lists.ip_bits(F.col("v"))).collect()}
+    for x in forms:
+        ip = ipaddress.ip_address(x)
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        assert got[x] == (str(ip), f"{int(ip):0{ip.max_prefixlen}b}"), x
+    assert all(got[x] == (None, None) for x in wrong), got
+    assert spark.range(1).select(lists.normalise("ip", F.lit("FE80:0::1%eth0")), lists.ip_bits(F.lit("fe80::1%eth0"))).head()[:] == ("fe80::1%eth0", None)
+    nets = ["2001:db8::/32", "2001:db8:ffff:ffff:8000::/65", "fe80::7/10", "::/0", "0.0.0.0/0", "10.0.0.7/8", "::1/128", "::ffff:10.0.0.0/104", "64:ff9b::/129", "2001:db8::/x"]
+    entries = [(n, "ip", n, True, None, None) for n in nets] + [("host", "ip", "2001:DB8:0::1", False, None, None)]
+    held = spark.createDataFrame(entries, "list string, class string, value string, range boolean, removed boolean, until timestamp")
+    found = lists.listed(spark.createDataFrame([(x,) for x in [*forms, *wrong, None]], "v string").withColumnRenamed("v", "address"), "address", held, F.lit(None).cast("timestamp")).collect()
+    assert len(found) == len(forms) + len(wrong) + 1
+    for r in found:
+        want = []
+        if r["address"] in forms:
+            ip = ipaddress.ip_address(r["address"])
+            ip = getattr(ip, "ipv4_mapped", None) or ip
+            want = [n for n in nets[:7] if ip in ipaddress.ip_network(n, strict=False)] + ["host"] * (str(ip) == "2001:db8::1")
+        assert r["lists"] == sorted(want), r
+
+
 def _obs(spark, rows):
     return spark.createDataFrame([(float(s), d, 1.0) for s, d in rows], "score double, disposition string, weight double")
 
