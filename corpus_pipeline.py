@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import decontaminate, ngram_join, packing, quality, substring
-from ledgerlight.llm.store import table
+from ledgerlight.llm.store import Scratch, table
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,19 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word n-grams are similar to 0.8 or more, directly or through others, the one with the least id stays."""
-    copies = ngram_join.similar_documents(docs, words=5, part=80, whole=100).where("doc_id != component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows whose five-word n-grams are similar to 0.8 or more, directly or through others, one with the least id stays.
+
+    Rows are told apart by id and text: texts that share an id are decided one by one, null ids come before all others, and
+    of rows equal in both one stays.
+    """
+    rows = Scratch(spark, "near-copies").save(ngram_join.similar_rows(docs, words=5, part=80, whole=100), "rows")
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    gone = rows.join(first, "component").where("key != first.key").select("key")
+    again = rows.where("n_rows > 1").select("key")
+    keyed = docs.withColumn("__key", ngram_join.row_key())
+    once = keyed.join(gone.unionByName(again).withColumnRenamed("key", "__key"), "__key", "left_anti")
+    more = keyed.join(again.join(gone, "key", "left_anti").withColumnRenamed("key", "__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(more).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +46,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document that holds 13 successive words of a benchmark item, two of them changed at most, goes."""
-    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked.withColumnRenamed("doc_id", "leaked"), F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti").select(*docs.columns)
+    """A row that holds 13 successive words of a benchmark item, two of them changed at most, goes; others of its id stay."""
+    keyed = docs.withColumn("__key", ngram_join.row_key())
+    leaked = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="__key").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(leaked, "__key", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

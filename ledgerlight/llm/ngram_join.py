@@ -15,7 +15,8 @@ in the same way for all, and so never what is found.
 
 A cluster too large for a block is spread over several. A few of its documents are searched in all of its blocks first;
 then only those documents that have not got into its largest component are, since any pair not yet joined has such a
-document at one end. Copies that differ in nothing are one document throughout.
+document at one end. Texts with equal sets are one node throughout, named by the hash of their set, so that neither null
+nor repeated ids matter for what is searched.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import text as T
@@ -152,6 +153,11 @@ def _merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (lists[i][at], i, at))
 
 
+def _mark(grams: np.ndarray) -> int:
+    """Hash of a set."""
+    return int(np.add.reduce(T.mix(grams)).astype(np.int64))
+
+
 def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows of (key, doc): the least doc of each key, which rows are one, and each row's least doc."""
     order = np.lexsort((docs, keys))
@@ -165,13 +171,32 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["a", "b"])
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows of different ids or texts apart, null ids and null texts too."""
+    ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return F.xxhash64(ident.isNull(), ident, text.isNull(), text)
+
+
 def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id for each distinct id of docs.
 
     A document's set has the distinct n-grams of its lower-cased words; shorter texts have their whole sequence, texts
     without words and null texts have nothing and are linked with nothing. Documents link if whole * intersection >= part *
-    union; component_id is the least id that links reach, the own one included. Of rows that share an id the one with the
-    least hash counts; rows with a null id come back with a null component. No rows: no rows.
+    union; component_id is the least id that links reach, the own one included. Of rows that share an id every text is
+    searched, and the id comes back once for each of their sizes and components. Rows with a null id link others, but come
+    back with a null component. No rows: no rows.
+    """
+    rows = similar_rows(docs, words, part, whole, id_col, text_col, scratch)
+    least = rows.where("doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "component", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).distinct()
+
+
+def similar_rows(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, key (row_key), n_rows, n_shingles and component for each distinct id and text of docs.
+
+    Rows link as in similar_documents, and those that links join have one component, a number without further meaning. It is
+    null for texts without words.
     """
     if not 0 < part <= whole or 2 * part <= whole:
         raise ValueError("the similarity must be above one half")
@@ -179,10 +204,10 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
     scratch = scratch or Scratch(spark, "ngram-join")
     parts = shuffle_width(spark)
     home = homes(parts)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = ["doc_id", "n", "mark", "check", "chunk", "counts"], np.zeros(COUNTERS, np.int32)
+        names, counts = ["doc_id", "key", "n", "mark", "check", "chunk", "counts"], np.zeros(COUNTERS, np.int32)
         for batch in batches:
             n, mark, check = [], [], []
             data, offsets = T.column(batch, "text")
@@ -190,7 +215,7 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
                 held = list(T.shingles(data, offsets[i : j + 1], words))
                 for g in held:
                     n.append(len(g))
-                    mark.append(int(np.add.reduce(T.mix(g)).astype(np.int64)))
+                    mark.append(_mark(g))
                     check.append(int(np.bitwise_xor.reduce(T.mix(g ^ T.U(77))).astype(np.int64)))
                 every = np.sort(np.concatenate(held))
                 head = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
@@ -198,9 +223,9 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
                 again = times > 1
                 np.add.at(counts, (every[head[again]] >> T.U(64 - COUNTERS.bit_length() + 1)).astype(np.int64), times[again])
             nulls = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.int64()), pa.array(check, pa.int64()), *nulls], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(mark, pa.int64()), pa.array(check, pa.int64()), *nulls], names)
         chunks = np.split(counts, 16)
-        none = [pa.nulls(16, pa.int64())] * 4
+        none = [pa.nulls(16, pa.int64())] * 5
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(16), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], names)
 
     def added(table: pa.Table) -> pa.Table:
@@ -208,31 +233,30 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
         level = np.ceil(np.log2(total + 1) * 4).astype(np.uint8)  # as fine as the order of cells needs
         return pa.table({"chunk": table.column("chunk")[:1], "level": pa.array([level.tobytes()], pa.binary())})
 
-    outlined = scratch.save(rows.mapInArrow(T.tidy(outline), "doc_id long, n long, mark long, check long, chunk int, counts binary"), "outlined")
+    outlined = scratch.save(rows.mapInArrow(T.tidy(outline), "doc_id long, key long, n long, mark long, check long, chunk int, counts binary"), "outlined")
     levels = outlined.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(added, "chunk int, level binary")
     levels = {r["chunk"]: r["level"] for r in levels.collect()}  # a byte for each counter
     sketch = spark.sparkContext.broadcast(np.frombuffer(b"".join(levels.get(i, bytes(COUNTERS // 16)) for i in range(16)), np.uint8))
-    sets = outlined.where("chunk is null").groupBy("doc_id").agg(F.min(F.struct("mark", "check", "n")).alias("s")).select("doc_id", "s.*")
+    sets = outlined.where("chunk is null").groupBy("doc_id", "key").agg(F.count("*").alias("n_rows"), F.min(F.struct("mark", "check", "n")).alias("s")).select("doc_id", "key", "n_rows", "s.*")
     sets = scratch.save(sets, "sets")
-    # equal sets are one class under its least id
-    known = sets.where("n > 0 and doc_id is not null")
-    classes = scratch.save(known.groupBy("n", "mark", "check").agg(F.min("doc_id").alias("first")), "classes")
+    # equal sets are one class, and any of its texts will do
+    classes = scratch.save(sets.where("n > 0").groupBy("n", "mark", "check").agg(F.min("key").alias("key")), "classes")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sketch.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             data, offsets = T.column(batch, "text")
             for i, j in T.blocks(offsets, 4 * T.BLOCK):
-                found = [cells(g, part, whole, often) for g in T.shingles(data, offsets[i : j + 1], words)]
-                keys, docs = np.concatenate(found), np.repeat(ids[i:j], [len(k) for k in found])
+                found = [(_mark(g), cells(g, part, whole, often)) for g in T.shingles(data, offsets[i : j + 1], words)]
+                keys = np.concatenate([k for _, k in found])
+                docs = np.repeat(np.array([m for m, _ in found], np.int64), [len(k) for _, k in found])
                 order, head, least = _stars(keys, docs)
                 keys, docs = keys[order], docs[order]
                 to = (keys % T.U(parts)).astype(np.int64)
                 yield _packed(np.full(int((~head).sum()), -1), docs[~head], least[~head], to[head], keys[head], docs[head])
 
     def _packed(_, a, b, to, keys, docs) -> pa.RecordBatch:
-        pair = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        pair = np.unique(np.stack([a, b], 1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(parts + 1))
         some = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
@@ -257,26 +281,28 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
         order, head, least = _stars(keys, docs)
         yield _edges(np.concatenate([*a, docs[order][~head]]), np.concatenate([*b, least[~head]]))
 
-    # copies are dealt like all others: they join the first of them in the task, without a shuffle of texts to leave them out
-    met = rows.where("doc_id is not null").mapInArrow(T.tidy(deal), "home int, joined boolean, blob binary")
+    # copies are dealt like all others, under one name: no shuffle of texts leaves them out
+    met = rows.select("text").mapInArrow(T.tidy(deal), "home int, joined boolean, blob binary")
     met = met.repartition(parts, "home").mapInArrow(T.tidy(meet), "a long, b long")
     clusters = components(met, scratch, "clusters")
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
-    clusters = scratch.save(clusters.join(classes.select("first"), F.col("node") == F.col("first"), "left_semi"), "clustered")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("many")).where("many > 1")
     clusters = scratch.save(clusters.join(sizes, "component"), "members")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            # of texts that share an id, the one that its class has
-            found = [(g.tobytes(), int(np.add.reduce(T.mix(g)).astype(np.int64))) for g in T.shingles(*T.column(batch, "text"), words)]
-            same = pa.array([m for _, m in found], pa.int64()).equals(batch.column(2)) or np.array([m for _, m in found]) == batch.column(2).to_numpy()
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([g for g, _ in found], pa.binary())], ["doc_id", "grams"])
-            yield out if same is True else out.filter(pa.array(same))
+            nodes = batch.column(0)
+            grams = pa.array([g.tobytes() for g in T.shingles(*T.column(batch, "text"), words)], pa.binary())
+            # equal rows follow each other
+            new = np.r_[True, np.diff(nodes.to_numpy()) != 0][: len(nodes)]
+            if len(new):
+                new[0], last = nodes[0].as_py() != last, nodes[-1].as_py()
+            yield pa.RecordBatch.from_arrays([nodes, grams], ["node", "grams"]).filter(pa.array(new))
 
     # the one shuffle of texts, and the plan that holds at any size: never a broadcast of ids, whose number grows with the input
-    wanted = clusters.join(classes, F.col("node") == F.col("first")).select(F.col("node").alias("doc_id"), "mark").hint("merge")
-    packed = rows.join(wanted, "doc_id").select("doc_id", "text", "mark").mapInArrow(T.tidy(pack), "doc_id long, grams binary")
+    wanted = clusters.join(classes, F.col("node") == F.col("mark")).select("node", "key").hint("merge")
+    packed = rows.select("key", "text").join(wanted, "key").select("node", "text").mapInArrow(T.tidy(pack), "node long, grams binary")
     packed = scratch.save(packed, "packed")
 
     # a block of small clusters has about BLOCK_ROWS documents; a larger cluster has blocks of its own
@@ -297,7 +323,7 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
         """Links found in blocks, as edges from a document to the least one that it is joined with there."""
 
         def links(table: pa.Table) -> pa.Table:
-            ids = table.column("doc_id").to_numpy()
+            ids = table.column("node").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             asks, held = (table.column(c).to_numpy()[order] for c in ("asks", "held"))
@@ -323,7 +349,7 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
             top = np.array([find(i) for i in range(len(ids))], np.int64) if len(ids) else np.zeros(0, np.int64)
             return pa.Table.from_batches([_edges(ids, ids[top] if len(ids) else ids)])
 
-        loaded = packed.join(seats.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
+        loaded = packed.join(seats.withColumnRenamed("id", "node").hint("merge"), "node")
         return loaded.groupBy("block", "at").applyInArrow(links, "a long, b long")
 
     found = small
@@ -342,6 +368,7 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
     else:
         found = scratch.save(search(small), "links")
     joined = components(found, scratch, "linked")
-    of_class = classes.join(joined, classes["first"] == joined["node"], "left").select("n", "mark", "check", F.coalesce("component", "first").alias("component_id"))
-    out = sets.join(of_class, ["n", "mark", "check"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
+    out = sets.join(joined, (F.col("n") > 0) & (F.col("mark") == F.col("node")), "left")
+    component = F.when(F.col("n") > 0, F.coalesce("component", "mark"))
+    return out.select("doc_id", "key", "n_rows", F.col("n").alias("n_shingles"), component.alias("component"))

@@ -98,6 +98,15 @@ def test_ngram_join_edges(spark):
         ngram_join.similar_documents(rows, part=40)
 
 
+def test_ngram_join_shared_ids(spark):
+    """Every text of an id is searched, and null ids link others."""
+    a, b, c = prose(60), prose(60), prose(60)
+    near = lambda t: t + " end"
+    rows = spark.createDataFrame([(1, a), (5, near(a)), (5, b), (7, near(b)), (None, c), (8, near(c)), (9, c + " stop")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.similar_documents(rows).collect()}
+    assert got == {(1, 1), (5, 1), (5, 5), (7, 5), (None, None), (8, 8), (9, 8)}
+
+
 def test_cells_meet():
     """Any two similar sets have a key in common."""
     for part, whole in ((90, 100), (80, 100)):

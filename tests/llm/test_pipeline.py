@@ -82,3 +82,18 @@ def test_empty_stages(spark, tmp_path):
     none = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, none, SMALL).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows are kept or dropped by id and text, whatever else has their id."""
+    words = lambda n, k: " ".join(f"{n}w{i}" for i in range(k))
+    a, b, c = words("a", 60), words("b", 60), words("c", 60)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    pick = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    docs = [(1, a), (5, a + " end"), (5, b), (5, b), (6, b + " end"), (None, c), (None, c), (None, a + " stop"), (7, c + " end"), (8, None), (9, "")]
+    kept = [(None, a + " stop"), (5, b), (None, c), (8, None), (9, "")]
+    assert pick(p.drop_near_copies(spark, make(docs), SMALL)) == sorted(kept, key=str)
+    leak = max((r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()), key=len)
+    docs = [(1, a), (5, leak), (5, b), (None, leak), (None, c), (None, None)]
+    assert pick(p.drop_benchmark_leaks(spark, make(docs), SMALL)) == sorted([(1, a), (5, b), (None, c), (None, None)], key=str)
