@@ -97,3 +97,11 @@ def test_rows_that_share_an_id(spark):
     leak = max((r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()), key=len)
     docs = [(1, a), (5, leak), (5, b), (None, leak), (None, c), (None, None)]
     assert pick(p.drop_benchmark_leaks(spark, make(docs), SMALL)) == sorted([(1, a), (5, b), (None, c), (None, None)], key=str)
+
+
+def test_run_cuts_lineage(spark):
+    """The result comes from the last stage's table alone."""
+    out = p.run(spark, SMALL)
+    files = out.inputFiles()
+    assert files and all("/pipeline-" in f and f"/stage-{len(p.STAGES) - 1}/" in f for f in files)
+    assert out.count()
