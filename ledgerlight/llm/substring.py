@@ -1,15 +1,14 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing.
+"""Removal of repeated passages by a join on hashes of word windows, which stands in for relative Lempel-Ziv parsing.
 
-Documents are parsed against reference blocks. A block's index knows every run of min_words words (a window) in it and
-the first place of each. Parsing extends a factor greedily as long as the next window continues at the next place of its
-source, and a factor ends where the source jumps; since the windows that straddle such a boundary are looked up too, no
-repeat hides between two short factors. Factors of at least min_words words become duplicate spans.
+Every run of min_words words (a window) is looked up, and the first place of each is its source. Neighbouring windows whose
+sources go along are strung together to a factor; a factor ends where the source jumps. So the words that duplicate spans
+cover are exact, but factors are neither greedy nor maximal: their source isn't that of the longest match.
 
 Where every document is parsed against every block, work grows with the square of the input. Here it doesn't: the
-documents that a task holds form a first block and are parsed against it in place. What no earlier place in that block
+documents that a task holds form a first block and are looked up in it in place. What no earlier place in that block
 explains is dealt out by content: a window goes to the block that the least of its five-word hashes names, as do all
-windows equal to it wherever they are. Such a block is the whole corpus' reference for its windows, and the factors found
-there are exact. A passage that a third of all documents share sends a window once from each task, not from each document.
+windows equal to it wherever they are. Such a block is the whole corpus' reference for its windows, and the first places
+found there are exact; a factor ends where the name changes. A passage that a third of all documents share sends a window once from each task, not from each document.
 """
 
 from __future__ import annotations
@@ -42,7 +41,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _factors(doc: np.ndarray, start: np.ndarray, source: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Greedy factors of duplicate windows: as long as possible with one window at each start and a source that goes along."""
+    """Factors of duplicate windows: as long as possible with one window at each start and a source that goes along."""
     out = np.zeros(0, _FACTORS)
     if len(doc):
         order = np.lexsort((start, doc))
