@@ -8,7 +8,8 @@ Where every document is parsed against every block, work grows with the square o
 documents that a task holds form a first block and are looked up in it in place. What no earlier place in that block
 explains is dealt out by content: a window goes to the block that the least of its five-word hashes names, as do all
 windows equal to it wherever they are. Such a block is the whole corpus' reference for its windows, and the first places
-found there are exact; a factor ends where the name changes. A passage that a third of all documents share sends a window once from each task, not from each document.
+found there are exact; a factor ends where the name changes. A passage that a third of all documents share sends a window
+once from each task, not from each document.
 """
 
 from __future__ import annotations
