@@ -1,7 +1,9 @@
 """Vectorised words and word sequences of Arrow string columns.
 
-A column's bytes are hashed in place: one prefix sum over a block of a few MB gives the hash of every word, so no
-Python string is made for a word. Hashes have 64 bits; sequences of words get theirs from their words'.
+A column's bytes are hashed in place, eight at a time, so no Python string is made for a word. Hashes have 64 bits: each
+eight bytes of a word are mixed with their place in it before they are added up, so that words of any pattern differ by
+chance alone. Sequences of words get theirs from their words'. A block of text takes some ten times its bytes while its
+words are found; a text longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -17,9 +19,8 @@ import pyarrow as pa
 BLOCK = 2 << 20
 
 U = np.uint64
-_STEP = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_STEP, -1, 1 << 64)
-_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Masks of the first i bytes of eight.
+_HEADS = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -30,18 +31,6 @@ for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, by in enumerate((_STEP, _BACK)):
-            x = np.full(max(n, BLOCK + 1), by, U)
-            x[0] = 1
-            _powers[i] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit."""
     h = h ^ (h >> U(32))
@@ -52,6 +41,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span; none is empty."""
+    if not len(start):
+        return np.zeros(0, U)
+    size = stop - start
+    eights = np.ndarray((len(data) + 1,), "<u8", np.r_[data, np.zeros(8, np.uint8)], strides=(1,))
+    h = mix((eights[start] & _HEADS[np.minimum(size, 8)]) ^ U(0x2545F4914F6CDD1D))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        head = np.cumsum(more) - more
+        turn = np.arange(int(more.sum())) - np.repeat(head, more) + 1
+        at = np.repeat(start[long], more) + 8 * turn
+        left = np.minimum(np.repeat(stop[long], more) - at, 8)
+        h[long] += np.add.reduceat(mix((eights[at] & _HEADS[left]) ^ mix(turn.astype(U))), head)
+    return mix(h ^ (size.astype(U) * U(0x9E3779B97F4A7C15)))
+
+
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string column; a null is an empty text."""
     array = batch.column(batch.schema.get_field_index(name))
@@ -91,10 +98,7 @@ class Words:
         self.start, self.stop = np.flatnonzero(starts), np.flatnonzero(stops) + 1
         self.data, self.ends = data, ends
         self.first = np.searchsorted(self.start, ends)
-        up, down = _tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum(_CODES[LOWER[data] if lower else data] * up[:-1], out=total[1:])
-        self.hash = mix((total[self.stop] - total[self.start]) * down[self.start])
+        self.hash = spans(LOWER[data] if lower else data, self.start, self.stop)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
