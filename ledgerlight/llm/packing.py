@@ -32,11 +32,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, w
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = coder(vocabulary, "<u2"), np.array([end_id], "<u2").tobytes()
+        encode, end = coder(vocabulary, "<u2"), np.array([end_id], "<u2")
         for batch in batches:
             rows = []
-            for doc, body in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1).to_pylist())):
-                ids = np.frombuffer(body + end, "<u2").astype("<u4")
+            for doc, body in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1))):
+                ids = np.r_[body, end].astype("<u4")
                 n, data = len(ids), memoryview(ids.tobytes())
                 at, k = 0, 0
                 while at < n:

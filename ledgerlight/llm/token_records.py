@@ -92,16 +92,16 @@ def write_token_records(docs: DataFrame, path: str, vocabulary: str, end_id: int
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc, body in zip(ids, encode.encode(batch.column(1).to_pylist())):
+            for doc, body in zip(ids, encode.encode(batch.column(1))):
                 if out is None or size >= ROLL:
                     close()
                     name, index, size, tokens = f"{part:06d}-{len(report):04d}-{uuid.uuid4().hex[:12]}", [], 0, 0
                     out = store.open_output_stream(f"{folder}/{name}.rec")
-                framed = frame(struct.pack(_HEAD, doc is not None, doc or 0, width) + body + end)
+                framed = frame(struct.pack(_HEAD, doc is not None, doc or 0, width) + body.tobytes() + end)
                 out.write(framed)
                 index.append((size, len(framed), tokens))
                 size += len(framed)
-                tokens += len(body) // width + 1
+                tokens += len(body) + 1
         close()
         columns = list(zip(*report)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "file", "name", "records", "tokens"])

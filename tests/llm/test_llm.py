@@ -2,12 +2,12 @@
 
 import collections
 import hashlib
-import struct
 import zlib
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -148,27 +148,55 @@ def test_words():
     assert w.counts().tolist() == [3, 0, 2, 1, 1] and w.hash[0] == w.hash[2] and w.hash[1] == w.hash[4] and len(set(w.hash.tolist())) == 5
     low = text.Words(data, offsets, lower=True)
     assert low.hash[0] == low.hash[6] != w.hash[0]
+    assert len(set(hashes(*thue_morse()))) == 2 and len(set(hashes("a" * 8, "a" * 16, "a" * 9, "a" * 7, "ab" * 8, "ba" * 8))) == 6
+
+
+def hashes(*words):
+    data = " ".join(words).encode()
+    return text.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hash.tolist()
+
+
+def thue_morse():
+    """Two words of 1,024 letters that any polynomial modulo a power of two gives one hash."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return one, one.translate({97: 98, 98: 97})
+
+
+def test_words_of_one_pattern(spark):
+    """Long words that differ link nothing and remove nothing."""
+    one, other = thue_morse()
+    rows = spark.createDataFrame([(1, " ".join([one] * 30)), (2, " ".join([other] * 30))], "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.similar_documents(rows).collect()} == {1, 2}
+    assert substring.remove_repeats(rows.where("doc_id = 2").union(spark.createDataFrame([(1, " ".join([one] * 20))], rows.schema)), 20).where("doc_id = 2").head()["n_removed"] == 30
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_token_cache(name, documents, monkeypatch):
+    """The same ids as the library as it comes, special tokens and odd white space in texts included."""
     monkeypatch.setattr(tokens, "MOST", 50)
+    monkeypatch.setattr(tokens, "BLOCK", 2000)
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = [t for _, t in documents if t is not None] + ["a  b\n\nc ", " x", "\n", "it's 12 <|endoftext|> it'd\n", "ab \n cd", "Σίσυφος ΟΔΟΣ é ́x", "x\0y z", "Wo. wo, é. 1. İx", "'s 's, don't."]
-    for text_, got in zip(texts, tokens.Coder(path, "<u2").encode(texts)):
-        assert np.frombuffer(got, "<u2").tolist() == plain.encode(text_, add_special_tokens=False).ids, text_[:50]
+    texts = [t for _, t in documents] + ["a  b\n\nc ", " x", "\n", "it's 12 <|endoftext|> it'd\n", "ab \n cd", "Σίσυφος ΟΔΟΣ é ́x", "x\0y z", "Wo. wo, é. 1. İx İ, İ.", "'s 's, don't."]
+    odd = ["a", "B", "é", "É", "İ", "ı", "ß", "Σ", "ς", " ", "  ", "\n", "\t", ".", ",", "'s", "'S", "1", "日", "́", "\xa0", "\u2003", "\u3000", "\u200b", "“", "<|endoftext|>", "<|", "|>", "<|startoftext|>", "\r", "\x1c", "\0", "ﬁ", "x.", "don't", "🙂", "ŉ", "Å", "ÿ."]
+    texts += ["".join(RNG.choice(odd, RNG.integers(0, 12))) for _ in range(3000)]
+    for text_, got in zip(texts, tokens.Coder(path, "<u2").encode(pa.array(texts))):
+        assert got.tolist() == plain.encode(text_ or "", add_special_tokens=False).ids, (text_ or "")[:50]
+
+
+def plain_ids(name, rows, end):
+    """Ids of each document with the end id, by the library alone."""
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    return {i: np.array(plain.encode(t or "", add_special_tokens=False).ids + [end], "<u4").tobytes() for i, t in rows}
 
 
 def test_token_records(spark, docs, documents, tmp_path):
     path, vocabulary = f"file://{tmp_path}/r", public_tokenizers.path("word_bpe_49k.json")
     token_records.write_token_records(docs, path, vocabulary, end_id=2)
-    coder, at, wanted = tokens.Coder(vocabulary, "<u4"), 0, {}
-    for i, t in sorted(documents):
-        ids = next(iter(coder.encode([t or ""]))) + struct.pack("<I", 2)
-        wanted[i] = (at, len(ids) // 4, ids)
-        at += len(ids) // 4
+    at, wanted, every = 0, {}, plain_ids("word_bpe_49k.json", documents, 2)
+    for i in sorted(every):
+        wanted[i] = (at, len(every[i]) // 4, every[i])
+        at += len(every[i]) // 4
     pick = lambda df: {r["doc_id"]: (r["start"], r["n_tokens"], bytes(r["ids"])) for r in df.collect()}
     assert pick(token_records.read_token_records(spark, path)) == wanted
     order = [r["doc_id"] for r in token_records.read_shuffled(spark, path, 5).orderBy("epoch_key").collect()]
@@ -199,10 +227,8 @@ def test_frames():
 def test_packing(spark, docs, documents):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack_documents(docs, vocabulary, 0, 256).toPandas()
-    coder = tokens.Coder(vocabulary, "<u4")
     total = 0
-    for i, t in documents:
-        ids = next(iter(coder.encode([t or ""]))) + struct.pack("<I", 0)
+    for i, ids in plain_ids("byte_bpe_50k.json", documents, 0).items():
         mine = got[got.doc_id == i].sort_values("piece")
         n = len(ids) // 4
         total += n
