@@ -6,12 +6,13 @@ finds them: the longest lists are set aside; the short ones are merged with a he
 threshold any more, and the long ones are probed by binary search for the survivors only.
 
 Which documents meet in a block is decided so that no pair is missed and unrelated documents don't meet. The n-grams of
-documents of like size are dealt, by hash, to twice as many cells as two similar sets may differ in n-grams. So similar
-sets agree entirely in half of their cells. Each leaves out the cells whose rarest n-gram is the most frequent, but so few
-of them that the rarest cell in which two similar sets agree is left to both. Documents that agree in a cell get into one
-cluster; sharing a passage doesn't suffice for that. Clusters are components of a graph with an edge for each document and
-cell. How frequent an n-gram is comes from a sketch of fixed size over all documents. It decides which cells are left out,
-in the same way for all, and so never what is found.
+documents of like size are dealt, by hash, to half as many cells again as two similar sets may differ in n-grams, and one.
+So similar sets agree entirely in a third of their cells. All cells are met by key first, which tells for each how many
+sets have it; a set most of whose cells are its own has no similar one and goes no further. Of the shared cells of the
+others those count that the fewest sets have, and so few of them that the rarest cell in which two similar sets agree is
+left to both. Sets that agree in such a cell get into one cluster; sharing a passage doesn't suffice for that. What is found
+doesn't depend on how many sets have a cell, as that orders a cell alike for all. Sets so small that they might agree in
+empty cells alone have the first n-grams, by hash, of every similar set as keys in addition.
 
 A cluster too large for a block is spread over several. A few of its documents are searched in all of its blocks first;
 then only those documents that have not got into its largest component are, since any pair not yet joined has such a
@@ -38,49 +39,57 @@ from ledgerlight.llm.store import Scratch, homes, shuffle_width
 
 #: Documents in a block; documents of a large cluster that are searched in all its blocks at first.
 BLOCK_ROWS, LEADERS = 400, 12
-#: Growth of the sizes of a band, counters of the sketch, and bytes of text among which an n-gram must repeat to count.
-BAND, COUNTERS, AMONG = 1.5, 1 << 20, 16 << 20
+#: Growth of the sizes of a band, keys that a task holds before it hands them on, and sets among them that make a key a frequent one.
+BAND, HOLD, HEAVY = 1.5, 1 << 21, 64
 _MU = 0.01
+#: Kinds of blobs: keys and sets, frequent keys, what sets need, frequent keys of sets, shared keys of sets, edges, keys and least sets.
+_LIGHT, _OFTEN, _NEEDS, _HEAVY, _SHARED, _EDGE, _STAR = range(7)
+_ENDLESS = 1 << 62
 
 
 @cache
 def bands(part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least size and number of cells of each band, for a similarity of part / whole. Sizes in a band are below the next one's least."""
+    """Least size of each band, and in how many n-grams similar sets may differ whose larger one is in it. Sizes in a band are below the next one's least."""
     least = [1]
     while least[-1] < 1 << 40:
         least.append(max(least[-1] + 1, math.ceil(least[-1] * BAND)))
     # sets of sizes below m with that similarity differ in at most (whole - part) / (whole + part) of their sizes' sum
-    differ = [(whole - part) * 2 * (m - 1) // (whole + part) for m in least[1:]]
-    return np.array(least), np.array([2 * d + 2 if d else 1 for d in differ], np.int64)
+    return np.array(least), np.array([(whole - part) * 2 * (m - 1) // (whole + part) for m in least[1:]], np.int64)
 
 
-def cells(grams: np.ndarray, part: int, whole: int, sketch: np.ndarray | None = None) -> np.ndarray:
-    """Keys of a sorted set; two sets that are similar enough have one in common."""
+def cells(grams: np.ndarray, part: int, whole: int) -> list[tuple[int, int, np.ndarray]]:
+    """Tag, need and keys of a sorted set in each of its bands; keys end in their tag.
+
+    Sets that are similar enough share need of the keys of one tag that both have; where the need is below one, a further
+    tag has keys of which they share one.
+    """
     n = len(grams)
     if not n:
-        return grams
-    least, many = bands(part, whole)
-    band = int(np.searchsorted(least, n, "right")) - 1
+        return []
+    least, differs = bands(part, whole)
+    first = int(np.searchsorted(least, n, "right")) - 1
     last = int(np.searchsorted(least, n * whole // part, "right")) - 1
     total = np.zeros(n + 1, T.U)
     np.cumsum(T.mix(grams), out=total[1:])
-    often = np.zeros(n, np.int64) if sketch is None else sketch[(grams >> T.U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)].astype(np.int64)
     out = []
-    for b in range(band, last + 1):
-        k = int(many[b])
-        differ = (whole - part) * 2 * (int(least[b + 1]) - 1) // (whole + part)
+    for b in range(first, last + 1):
+        differ = int(differs[b])
+        k = differ + 1 + (differ + 1) // 2
         edge = np.searchsorted(grams, np.arange(1, k).astype(T.U) * T.U((1 << 64) // k)) if k > 1 else np.zeros(0, np.int64)
         edge = np.r_[0, edge, n]
         size = np.diff(edge)
         held = np.flatnonzero(size)
-        rarest = np.minimum.reduceat(often, edge[:-1][held])
         keys = T.mix((total[edge[1:]] - total[edge[:-1]])[held] ^ T.mix((T.U(b << 40) + held.astype(T.U)) ^ (size[held].astype(T.U) << T.U(50))))
-        # of k cells, at least k - differ of which agree, all but differ + 1 may go: empty ones first, then those of frequent n-grams
-        stay = min(len(held), differ + 1)
-        out.append(keys[np.lexsort((keys, rarest))[:stay]])
-        if len(held) < differ + 1:  # two such sets may agree in empty cells alone: they all meet under one key
-            out.append(T.mix(np.array([b + (1 << 60)], T.U)))
-    return np.concatenate(out)
+        # of k cells at least k - differ agree, and k - len(held) of those may be empty in both
+        need = len(held) - differ
+        out.append((b, need, _tagged(keys, b)))
+        if need < 1:
+            out.append((b | 128, 1, _tagged(T.mix(grams[: n + part * n // -whole + 1] ^ T.U(b << 40)), b | 128)))
+    return out
+
+
+def _tagged(keys: np.ndarray, tag: int) -> np.ndarray:
+    return (keys & ~T.U(255)) | T.U(tag)
 
 
 def similar_in_block(grams: list[np.ndarray], asked: list[int], part: int, whole: int) -> Iterator[tuple[int, list[int]]]:
@@ -158,12 +167,160 @@ def _mark(grams: np.ndarray) -> int:
     return int(np.add.reduce(T.mix(grams)).astype(np.int64))
 
 
-def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of (key, doc): the least doc of each key, which rows are one, and each row's least doc."""
+def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of (key, doc): each key with its least doc, and each other doc of it with that one."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     head = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
-    return order, head, docs[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(keys) else docs
+    least = docs[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(keys) else docs
+    return keys[head], docs[head], docs[~head], least[~head]
+
+
+def _once(*columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows, by the last column first."""
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return [c[new] for c in columns]
+
+
+class _Mail:
+    """Blobs for the partitions of a shuffle: rows of several arrays, dealt by one of them."""
+
+    def __init__(self, home: list[int]):
+        self.home, self.sent = home, ([], [], [])
+
+    def send(self, kind: int, by: np.ndarray, *arrays: np.ndarray) -> None:
+        to = (by.view(T.U) % T.U(len(self.home))).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, arrays = to[order], [a[order] for a in arrays]
+        cuts = np.r_[np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)]), len(to)]
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            self.put(self.home[to[i]], kind, b"".join(a[i:j].tobytes() for a in arrays))
+
+    def put(self, home: int, kind: int, blob: bytes) -> None:
+        for column, value in zip(self.sent, (home, kind, blob)):
+            column.append(value)
+
+    def batch(self) -> pa.RecordBatch:
+        columns, self.sent = self.sent, ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], _MAIL)
+
+
+_MAIL = ["home", "kind", "blob"]
+_MAIL_TYPE = "home int, kind int, blob binary"
+
+
+def _opened(batches: Iterator[pa.RecordBatch], mail: _Mail | None, **wanted: tuple[int, int]) -> dict[str, np.ndarray]:
+    """Blobs by kind, given as name=(kind, columns): an array with a row for each column. Others are sent on."""
+    held: dict[int, list[bytes]] = {kind: [] for kind, _ in wanted.values()}
+    for batch in batches:
+        for home, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind in held:
+                held[kind].append(blob)
+            else:
+                mail.put(home, kind, blob)
+    out = {}
+    for name, (kind, columns) in wanted.items():
+        parts = [np.frombuffer(b, T.U).reshape(columns, -1) for b in held.pop(kind)]
+        out[name] = np.concatenate(parts, axis=1) if parts else np.zeros((columns, 0), T.U)
+    return out
+
+
+def deal(texts: Iterator[tuple[np.ndarray, np.ndarray]], words: int, part: int, whole: int, home: list[int]) -> Iterator[pa.RecordBatch]:
+    """Every key of every set goes to the key's partition, and what a set needs to its own. Equal sets of a task go once.
+
+    Keys that many sets of a task have are sent there once, and with each set to its partition.
+    """
+    mail, seen, keys, docs, needs, size = _Mail(home), set(), [], [], [], 0
+
+    def hand_on() -> pa.RecordBatch:
+        every = np.concatenate([np.zeros(0, T.U), *keys])
+        owner = np.repeat(np.array([d for d, _, _ in needs], np.int64), [len(k) for k in keys])
+        order = np.argsort(every)
+        every, owner = every[order], owner[order]
+        head = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+        many = np.diff(np.r_[head, len(every)])
+        often = np.repeat(many >= HEAVY, many)
+        mail.send(_LIGHT, every[~often], every[~often], owner[~often].view(T.U))
+        mail.send(_OFTEN, every[head[many >= HEAVY]], every[head[many >= HEAVY]])
+        mail.send(_HEAVY, owner[often], owner[often].view(T.U), every[often])
+        doc, tag, need = (np.array(c, np.int64) for c in zip(*needs)) if needs else (np.zeros(0, np.int64),) * 3
+        mail.send(_NEEDS, doc, doc.view(T.U), tag.view(T.U), need.view(T.U))
+        return mail.batch()
+
+    for data, offsets in texts:
+        for g in T.shingles(data, offsets, words):
+            mark = _mark(g)
+            if mark in seen or not len(g):
+                continue
+            seen.add(mark)
+            for tag, need, found in cells(g, part, whole):
+                keys.append(found)
+                needs.append((mark, tag, need))
+                size += len(found)
+            if size >= HOLD:
+                yield hand_on()
+                keys, needs, size = [], [], 0
+                if len(seen) > HOLD // 4:
+                    seen = set()
+    yield hand_on()
+
+
+def meet(batches: Iterator[pa.RecordBatch], home: list[int]) -> pa.RecordBatch:
+    """Keys that several sets have go to each of them, with the number of sets."""
+    mail = _Mail(home)
+    got = _opened(batches, mail, light=(_LIGHT, 2), often=(_OFTEN, 1))
+    keys, docs = got["light"]
+    order = np.argsort(keys)
+    keys, docs = keys[order], docs[order]
+    same = keys[1:] == keys[:-1]
+    often = np.isin(keys, got["often"][0])
+    some = often.copy()
+    some[1:] |= same
+    some[:-1] |= same
+    docs, keys, often = _once(docs[some], keys[some], often[some])[:3]
+    order = np.argsort(keys, kind="stable")
+    keys, docs, often = keys[order], docs[order], often[order]
+    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    many = np.diff(np.r_[head, len(keys)])
+    many = np.where(often, _ENDLESS, np.repeat(many, many))
+    shared = many > 1
+    mail.send(_SHARED, docs[shared].view(np.int64), docs[shared], keys[shared], many[shared].astype(T.U))
+    return mail.batch()
+
+
+def choose(batches: Iterator[pa.RecordBatch], home: list[int]) -> pa.RecordBatch:
+    """The rarest keys of each set, and edges between sets of this partition that have one in common."""
+    mail = _Mail(home)
+    got = _opened(batches, mail, needs=(_NEEDS, 3), heavy=(_HEAVY, 2), shared=(_SHARED, 3))
+    doc = np.concatenate([got["heavy"][0], got["shared"][0]])
+    keys = np.concatenate([got["heavy"][1], got["shared"][1]])
+    many = np.concatenate([np.full(got["heavy"].shape[1], _ENDLESS, np.int64), got["shared"][2].astype(np.int64)])
+    has = np.isin(got["needs"][0], doc)  # most sets share nothing
+    need_doc, need_tag, need = (c[has] for c in got["needs"])
+    # a set's need stands before its keys of that tag
+    keys, many, tag, doc = _once(np.r_[need, keys], np.r_[np.full(len(need), -1), many], np.r_[need_tag, keys & T.U(255)], np.r_[need_doc, doc])
+    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])][: len(doc)])
+    size = np.diff(np.r_[head, len(doc)]) - 1
+    rank = np.arange(len(doc)) - np.repeat(head, size + 1) - 1
+    stay = (rank >= 0) & (rank <= np.repeat(size - keys[head].view(np.int64), size + 1))
+    key, least, other, centre = _stars(keys[stay], doc[stay].view(np.int64))
+    pairs = _once(centre, other)
+    mail.send(_EDGE, pairs[1], pairs[0].view(T.U), pairs[1].view(T.U))
+    mail.send(_STAR, key, key, least.view(T.U))
+    return mail.batch()
+
+
+def join(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
+    """Edges between sets that have a key in common."""
+    got = _opened(batches, None, edge=(_EDGE, 2), star=(_STAR, 2))
+    _, _, other, centre = _stars(got["star"][0], got["star"][1].view(np.int64))
+    a, b = got["edge"].view(np.int64)
+    return _edges(np.r_[a, other], np.r_[b, centre])
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -207,83 +364,34 @@ def similar_rows(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = ["doc_id", "key", "n", "mark", "check", "chunk", "counts"], np.zeros(COUNTERS, np.int32)
         for batch in batches:
             n, mark, check = [], [], []
-            data, offsets = T.column(batch, "text")
-            for i, j in T.blocks(offsets, AMONG):
-                held = list(T.shingles(data, offsets[i : j + 1], words))
-                for g in held:
-                    n.append(len(g))
-                    mark.append(_mark(g))
-                    check.append(int(np.bitwise_xor.reduce(T.mix(g ^ T.U(77))).astype(np.int64)))
-                every = np.sort(np.concatenate(held))
-                head = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
-                times = np.diff(np.r_[head, len(every)])
-                again = times > 1
-                np.add.at(counts, (every[head[again]] >> T.U(64 - COUNTERS.bit_length() + 1)).astype(np.int64), times[again])
-            nulls = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(mark, pa.int64()), pa.array(check, pa.int64()), *nulls], names)
-        chunks = np.split(counts, 16)
-        none = [pa.nulls(16, pa.int64())] * 5
-        yield pa.RecordBatch.from_arrays([*none, pa.array(range(16), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], names)
-
-    def added(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in table.column("counts").to_pylist())
-        level = np.ceil(np.log2(total + 1) * 4).astype(np.uint8)  # as fine as the order of cells needs
-        return pa.table({"chunk": table.column("chunk")[:1], "level": pa.array([level.tobytes()], pa.binary())})
-
-    outlined = scratch.save(rows.mapInArrow(T.tidy(outline), "doc_id long, key long, n long, mark long, check long, chunk int, counts binary"), "outlined")
-    levels = outlined.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(added, "chunk int, level binary")
-    levels = {r["chunk"]: r["level"] for r in levels.collect()}  # a byte for each counter
-    sketch = spark.sparkContext.broadcast(np.frombuffer(b"".join(levels.get(i, bytes(COUNTERS // 16)) for i in range(16)), np.uint8))
-    sets = outlined.where("chunk is null").groupBy("doc_id", "key").agg(F.count("*").alias("n_rows"), F.min(F.struct("mark", "check", "n")).alias("s")).select("doc_id", "key", "n_rows", "s.*")
+            for g in T.shingles(*T.column(batch, "text"), words):
+                n.append(len(g))
+                mark.append(_mark(g))
+                check.append(int(np.bitwise_xor.reduce(T.mix(g ^ T.U(77))).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (n, mark, check))], ["doc_id", "key", "n", "mark", "check"])
+
+    sets = rows.mapInArrow(T.tidy(outline), "doc_id long, key long, n long, mark long, check long")
+    sets = sets.groupBy("doc_id", "key").agg(F.count("*").alias("n_rows"), F.min(F.struct("mark", "check", "n")).alias("s")).select("doc_id", "key", "n_rows", "s.*")
     sets = scratch.save(sets, "sets")
     # equal sets are one class, and any of its texts will do
     classes = scratch.save(sets.where("n > 0").groupBy("n", "mark", "check").agg(F.min("key").alias("key")), "classes")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sketch.value
-        for batch in batches:
-            data, offsets = T.column(batch, "text")
-            for i, j in T.blocks(offsets, 4 * T.BLOCK):
-                found = [(_mark(g), cells(g, part, whole, often)) for g in T.shingles(data, offsets[i : j + 1], words)]
-                keys = np.concatenate([k for _, k in found])
-                docs = np.repeat(np.array([m for m, _ in found], np.int64), [len(k) for _, k in found])
-                order, head, least = _stars(keys, docs)
-                keys, docs = keys[order], docs[order]
-                to = (keys % T.U(parts)).astype(np.int64)
-                yield _packed(np.full(int((~head).sum()), -1), docs[~head], least[~head], to[head], keys[head], docs[head])
-
-    def _packed(_, a, b, to, keys, docs) -> pa.RecordBatch:
-        pair = np.unique(np.stack([a, b], 1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(parts + 1))
-        some = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-        blobs = [keys[m].tobytes() + docs[m].tobytes() for m in (order[cuts[p] : cuts[p + 1]] for p in some)]
-        spread = np.unique(np.linspace(0, len(pair), min(parts, len(pair)) + 1).astype(int)) if len(pair) else [0]
-        local = [(home[i % parts], pair[a:b].tobytes()) for i, (a, b) in enumerate(zip(spread[:-1], spread[1:]))]
-        return pa.RecordBatch.from_arrays([pa.array([home[p] for p in some] + [h for h, _ in local], pa.int32()), pa.array([False] * len(some) + [True] * len(local)), pa.array(blobs + [x for _, x in local], pa.binary())], ["home", "joined", "blob"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, a, b = [np.zeros(0, T.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            for joined, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if joined:
-                    pair = np.frombuffer(blob, np.int64).reshape(-1, 2)
-                    a.append(pair[:, 0])
-                    b.append(pair[:, 1])
-                else:
-                    half = len(blob) // 2
-                    keys.append(np.frombuffer(blob[:half], T.U))
-                    docs.append(np.frombuffer(blob[half:], np.int64))
-        keys, docs = np.concatenate(keys), np.concatenate(docs)
-        order, head, least = _stars(keys, docs)
-        yield _edges(np.concatenate([*a, docs[order][~head]]), np.concatenate([*b, least[~head]]))
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return deal((T.column(batch, "text") for batch in batches), words, part, whole, home)
+
+    def each(work, *more):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield work(batches, *more)
+
+        return T.tidy(run)
 
     # copies are dealt like all others, under one name: no shuffle of texts leaves them out
-    met = rows.select("text").mapInArrow(T.tidy(deal), "home int, joined boolean, blob binary")
-    met = met.repartition(parts, "home").mapInArrow(T.tidy(meet), "a long, b long")
+    met = rows.select("text").mapInArrow(T.tidy(dealt), _MAIL_TYPE)
+    for work in (meet, choose):
+        met = met.repartition(parts, "home").mapInArrow(each(work, home), _MAIL_TYPE)
+    met = met.repartition(parts, "home").mapInArrow(each(join), "a long, b long")
     clusters = components(met, scratch, "clusters")
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
     sizes = clusters.groupBy("component").agg(F.count("*").alias("many")).where("many > 1")
