@@ -7,53 +7,36 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.store import Scratch
 
-#: At most so many nodes are broadcast, of at least so many edges each.
-HOT, LEAST_HOT = 512, 128
-
 
 def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node that edges reach) for each node that has an edge to another one.
 
     edges: a, b (long); direction, repeats, loops and nulls don't matter. Large-star and small-star steps alternate until
-    every component is a star around its least node. Each step is a grouped minimum, partly made before its shuffle, and a
-    join on nodes; nodes with more than one in HOT of all edges, at most twice HOT of them, are broadcast with their minimum
-    instead. The edges of each round are a table in the shared folder; the table before it is dropped. Raises RuntimeError if
-    rounds don't suffice, rather than returning half-joined components.
+    every component is a star around its least node. Each step is a grouped minimum, partly made before its shuffle and kept as
+    a table, and a join of the edges with that table. So Spark knows the table's size: it broadcasts it where it is small, and
+    can split the edges of a node that has very many where it isn't. The edges of each round are a table in the shared folder,
+    and tables before it are dropped. Raises RuntimeError if rounds don't suffice, rather than returning half-joined components.
     """
     now = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = scratch.save(now, f"{name}-0")
-    mark = _mark(now)
-    if mark[0] == 0:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for i in range(1, rounds + 1):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("many"))
-        large = _joined(both.where("v > u"), least, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = scratch.save(large, f"{name}-{i}-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many"))
-        small = _joined(large, least, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        after = scratch.save(small, f"{name}-{i}")
-        scratch.drop(f"{name}-{i - 1}")
-        scratch.drop(f"{name}-{i}-large")
-        was, mark, now = mark, _mark(after), after
-        if mark == was:
+        if _stars(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = scratch.save(both.groupBy(F.col("u").alias("w")).agg(F.least("u", F.min("v")).alias("m")), f"{name}-{i}-a")
+        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = scratch.save(large.distinct(), f"{name}-{i}-b")
+        least = scratch.save(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), f"{name}-{i}-c")
+        small = large.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        small = small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        now = scratch.save(small.distinct(), f"{name}-{i}")
+        for old in (f"{name}-{i - 1}", *(f"{name}-{i}-{x}" for x in "abc")):
+            scratch.drop(old)
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def _joined(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
-    """rows with m of their u. Rows of hot nodes aren't shuffled."""
-    hot = least.where(F.col("many") > max(LEAST_HOT, 2 * edges // HOT)).select("u", F.col("m").alias("hot")).toArrow()
-    cold = least.select(F.col("u").alias("w"), "m")
-    if not hot.num_rows:
-        return rows.join(cold, F.col("u") == F.col("w")).select("u", "v", "m")
-    hot = F.broadcast(rows.sparkSession.createDataFrame(hot.to_pylist(), "u long, hot long"))
-    near = rows.join(hot, "u").select("u", "v", F.col("hot").alias("m"))
-    far = rows.join(hot, "u", "left_anti").join(cold, F.col("u") == F.col("w")).select("u", "v", "m")
-    return near.unionByName(far)
-
-
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-    return row[0], int(row[1] or 0)
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or has one centre."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return not ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").limit(1).count()

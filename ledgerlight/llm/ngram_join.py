@@ -41,7 +41,10 @@ from ledgerlight.llm.store import Scratch, homes, shuffle_width
 BLOCK_ROWS, LEADERS = 400, 12
 #: Growth of the sizes of a band, keys that a task holds before it hands them on, and sets among them that make a key a frequent one.
 BAND, HOLD, HEAVY = 1.5, 1 << 21, 64
-_MU = 0.01
+#: DivideSkip's constant: low, as probing is cheap against merging.
+_MU = 0.001
+#: Candidates from which on a long list is probed for all of them at once.
+_MANY = 16
 #: Kinds of blobs: keys and sets, frequent keys, what sets need, frequent keys of sets, shared keys of sets, edges, keys and least sets.
 _LIGHT, _OFTEN, _NEEDS, _HEAVY, _SHARED, _EDGE, _STAR = range(7)
 _ENDLESS = 1 << 62
@@ -121,20 +124,32 @@ def similar_in_block(grams: list[np.ndarray], asked: list[int], part: int, whole
             lists.append(kept[i])
         longest = len(lists[-1])
         apart = min(need - 1, int(need / (_MU * math.log2(max(2, longest)) + 1)))
-        found = []
-        for d, c in _merge_skip(lists[: len(lists) - apart], need - apart):
-            if d != q:
-                m = sizes[d]
-                wanted = -(-part * (n + m) // (part + whole))  # the overlap that this pair needs
-                left = apart
-                for one in reversed(lists[len(lists) - apart :]):
-                    if c >= wanted or c + left < wanted:
+        found, longer = [], mine[len(lists) - apart :][::-1].tolist()
+        some = [(d, c) for d, c in _merge_skip(lists[: len(lists) - apart], need - apart) if d != q]
+        if len(some) < _MANY:
+            for d, c in some:
+                wanted = -(-part * (n + sizes[d]) // (part + whole))  # the overlap that this pair needs
+                for left, one in zip(range(apart - 1, -1, -1), reversed(lists)):
+                    if c >= wanted or c + left + 1 < wanted:
                         break
-                    left -= 1
                     at = bisect.bisect_left(one, d)
                     c += at < len(one) and one[at] == d
                 if c >= wanted:
                     found.append(d)
+        else:
+            d, c = np.array(some).T
+            wanted = -(-part * (n + np.array(sizes)[d]) // (part + whole))
+            for left, i in zip(range(apart - 1, -1, -1), longer):
+                one = owner[head[i] : head[i] + length[i]]
+                at = np.searchsorted(one, d)
+                at[at == len(one)] = 0
+                c = c + (one[at] == d)
+                stay = c + left >= wanted
+                if not stay.all():
+                    d, c, wanted = d[stay], c[stay], wanted[stay]
+                    if not len(d):
+                        break
+            found = d[c >= wanted].tolist()
         yield q, found
 
 
@@ -394,7 +409,7 @@ def similar_rows(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 1
     met = met.repartition(parts, "home").mapInArrow(each(join), "a long, b long")
     clusters = components(met, scratch, "clusters")
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("many")).where("many > 1")
+    sizes = scratch.save(clusters.groupBy("component").agg(F.count("*").alias("many")).where("many > 1"), "sizes")
     clusters = scratch.save(clusters.join(sizes, "component"), "members")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +475,6 @@ def similar_rows(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 1
         loaded = packed.join(seats.withColumnRenamed("id", "node").hint("merge"), "node")
         return loaded.groupBy("block", "at").applyInArrow(links, "a long, b long")
 
-    found = small
     if large.limit(1).count():
         few = large.groupBy("block").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(F.lit(5), "id"), F.col("spread") * LEADERS) == 0, F.col("id")))), 1, 4 * LEADERS).alias("some"), F.min("id").alias("least"), F.min("spread").alias("spread"))
         few = few.select("block", "spread", F.explode(F.array_union("some", F.array("least"))).alias("id"))
@@ -471,11 +485,11 @@ def similar_rows(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 1
         main = counts.groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
         rest = label.join(main, "block").where("label != main").select("id", "block", "spread")
         rest = scratch.save(rest, "rest")
-        second = search(placed.unionByName(asked_everywhere(rest))) if rest.limit(1).count() else first.limit(0)
-        found = scratch.save(first.unionByName(second), "links")
+        if rest.limit(1).count():
+            second = scratch.save(search(placed.unionByName(asked_everywhere(rest))), "links-2")
+            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), scratch, "linked")
     else:
-        found = scratch.save(search(small), "links")
-    joined = components(found, scratch, "linked")
+        joined = components(scratch.save(search(small), "links"), scratch, "linked")
     joined = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
     out = sets.join(joined, (F.col("n") > 0) & (F.col("mark") == F.col("node")), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "mark"))
