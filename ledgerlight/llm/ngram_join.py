@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm import text as T
 from ledgerlight.llm.graph import components
+from ledgerlight.llm.mail import MAIL, Mail, columns, opened
 from ledgerlight.llm.store import Scratch, homes, shuffle_width
 
 #: Documents in a block; documents of a large cluster that are searched in all its blocks at first.
@@ -202,55 +203,12 @@ def _once(*columns: np.ndarray) -> list[np.ndarray]:
     return [c[new] for c in columns]
 
 
-class _Mail:
-    """Blobs for the partitions of a shuffle: rows of several arrays, dealt by one of them."""
-
-    def __init__(self, home: list[int]):
-        self.home, self.sent = home, ([], [], [])
-
-    def send(self, kind: int, by: np.ndarray, *arrays: np.ndarray) -> None:
-        to = (by.view(T.U) % T.U(len(self.home))).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        to, arrays = to[order], [a[order] for a in arrays]
-        cuts = np.r_[np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)]), len(to)]
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            self.put(self.home[to[i]], kind, b"".join(a[i:j].tobytes() for a in arrays))
-
-    def put(self, home: int, kind: int, blob: bytes) -> None:
-        for column, value in zip(self.sent, (home, kind, blob)):
-            column.append(value)
-
-    def batch(self) -> pa.RecordBatch:
-        columns, self.sent = self.sent, ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], _MAIL)
-
-
-_MAIL = ["home", "kind", "blob"]
-_MAIL_TYPE = "home int, kind int, blob binary"
-
-
-def _opened(batches: Iterator[pa.RecordBatch], mail: _Mail | None, **wanted: tuple[int, int]) -> dict[str, np.ndarray]:
-    """Blobs by kind, given as name=(kind, columns): an array with a row for each column. Others are sent on."""
-    held: dict[int, list[bytes]] = {kind: [] for kind, _ in wanted.values()}
-    for batch in batches:
-        for home, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
-            if kind in held:
-                held[kind].append(blob)
-            else:
-                mail.put(home, kind, blob)
-    out = {}
-    for name, (kind, columns) in wanted.items():
-        parts = [np.frombuffer(b, T.U).reshape(columns, -1) for b in held.pop(kind)]
-        out[name] = np.concatenate(parts, axis=1) if parts else np.zeros((columns, 0), T.U)
-    return out
-
-
 def deal(texts: Iterator[tuple[np.ndarray, np.ndarray]], words: int, part: int, whole: int, home: list[int]) -> Iterator[pa.RecordBatch]:
     """Every key of every set goes to the key's partition, and what a set needs to its own. Equal sets of a task go once.
 
     Keys that many sets of a task have are sent there once, and with each set to its partition.
     """
-    mail, seen, keys, docs, needs, size = _Mail(home), set(), [], [], [], 0
+    mail, seen, keys, docs, needs, size = Mail(home), set(), [], [], [], 0
 
     def hand_on() -> pa.RecordBatch:
         every = np.concatenate([np.zeros(0, T.U), *keys])
@@ -287,13 +245,13 @@ def deal(texts: Iterator[tuple[np.ndarray, np.ndarray]], words: int, part: int,
 
 def meet(batches: Iterator[pa.RecordBatch], home: list[int]) -> pa.RecordBatch:
     """Keys that several sets have go to each of them, with the number of sets."""
-    mail = _Mail(home)
-    got = _opened(batches, mail, light=(_LIGHT, 2), often=(_OFTEN, 1))
-    keys, docs = got["light"]
+    mail = Mail(home)
+    got = opened(batches, mail, {_LIGHT, _OFTEN})
+    keys, docs = columns(got[_LIGHT], 2)
     order = np.argsort(keys)
     keys, docs = keys[order], docs[order]
     same = keys[1:] == keys[:-1]
-    often = np.isin(keys, got["often"][0])
+    often = np.isin(keys, columns(got[_OFTEN], 1)[0])
     some = often.copy()
     some[1:] |= same
     some[:-1] |= same
@@ -310,13 +268,15 @@ def meet(batches: Iterator[pa.RecordBatch], home: list[int]) -> pa.RecordBatch:
 
 def choose(batches: Iterator[pa.RecordBatch], home: list[int]) -> pa.RecordBatch:
     """The rarest keys of each set, and edges between sets of this partition that have one in common."""
-    mail = _Mail(home)
-    got = _opened(batches, mail, needs=(_NEEDS, 3), heavy=(_HEAVY, 2), shared=(_SHARED, 3))
-    doc = np.concatenate([got["heavy"][0], got["shared"][0]])
-    keys = np.concatenate([got["heavy"][1], got["shared"][1]])
-    many = np.concatenate([np.full(got["heavy"].shape[1], _ENDLESS, np.int64), got["shared"][2].astype(np.int64)])
-    has = np.isin(got["needs"][0], doc)  # most sets share nothing
-    need_doc, need_tag, need = (c[has] for c in got["needs"])
+    mail = Mail(home)
+    got = opened(batches, mail, {_NEEDS, _HEAVY, _SHARED})
+    need_doc, need_tag, need = columns(got[_NEEDS], 3)
+    heavy_doc, heavy_key = columns(got[_HEAVY], 2)
+    doc, keys, many = columns(got[_SHARED], 3)
+    doc, keys = np.r_[heavy_doc, doc], np.r_[heavy_key, keys]
+    many = np.r_[np.full(len(heavy_doc), _ENDLESS, np.int64), many.astype(np.int64)]
+    has = np.isin(need_doc, doc)  # most sets share nothing
+    need_doc, need_tag, need = need_doc[has], need_tag[has], need[has]
     # a set's need stands before its keys of that tag
     keys, many, tag, doc = _once(np.r_[need, keys], np.r_[np.full(len(need), -1), many], np.r_[need_tag, keys & T.U(255)], np.r_[need_doc, doc])
     head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])][: len(doc)])
@@ -332,9 +292,10 @@ def choose(batches: Iterator[pa.RecordBatch], home: list[int]) -> pa.RecordBatch
 
 def join(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
     """Edges between sets that have a key in common."""
-    got = _opened(batches, None, edge=(_EDGE, 2), star=(_STAR, 2))
-    _, _, other, centre = _stars(got["star"][0], got["star"][1].view(np.int64))
-    a, b = got["edge"].view(np.int64)
+    got = opened(batches, None, {_EDGE, _STAR})
+    key, least = columns(got[_STAR], 2)
+    _, _, other, centre = _stars(key, least.view(np.int64))
+    a, b = columns(got[_EDGE], 2).view(np.int64)
     return _edges(np.r_[a, other], np.r_[b, centre])
 
 
@@ -358,8 +319,9 @@ def similar_documents(docs: DataFrame, words: int = 5, part: int = 80, whole: in
     searched, and the id comes back once for each of their sizes and components. Rows with a null id link others, but come
     back with a null component. No rows: no rows.
     """
-    rows = similar_rows(docs, words, part, whole, id_col, text_col, scratch)
-    least = rows.where("doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    scratch = scratch or Scratch(docs.sparkSession, "ngram-join")
+    rows = scratch.save(similar_rows(docs, words, part, whole, id_col, text_col, scratch), "rows")
+    least = scratch.save(rows.where("doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     out = rows.join(least, "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).distinct()
 
@@ -403,9 +365,9 @@ def similar_rows(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 1
         return T.tidy(run)
 
     # copies are dealt like all others, under one name: no shuffle of texts leaves them out
-    met = rows.select("text").mapInArrow(T.tidy(dealt), _MAIL_TYPE)
+    met = rows.select("text").mapInArrow(T.tidy(dealt), MAIL)
     for work in (meet, choose):
-        met = met.repartition(parts, "home").mapInArrow(each(work, home), _MAIL_TYPE)
+        met = met.repartition(parts, "home").mapInArrow(each(work, home), MAIL)
     met = met.repartition(parts, "home").mapInArrow(each(join), "a long, b long")
     clusters = components(met, scratch, "clusters")
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())

@@ -314,7 +314,10 @@ def test_sum_of_squares_rule():
         gaps[place[i]] = gaps.get(place[i], 32) - n
 
 
-def test_substring(spark, docs, documents):
+@pytest.mark.parametrize("often,hold", [(256, 1 << 21), (2, 500)])
+def test_substring(spark, docs, documents, monkeypatch, often, hold):
+    monkeypatch.setattr(substring, "OFTEN", often)  # 2: most names are frequent ones
+    monkeypatch.setattr(substring, "HOLD", hold)
     got = {r["doc_id"]: r for r in substring.remove_repeats(docs, 10).collect()}
     seen, texts = set(), {i: (t or "").encode().split() for i, t in documents}
     for i, t in sorted(documents):
@@ -343,16 +346,41 @@ def test_substring_repeated_rows(spark):
     assert [r["n_removed"] for r in substring.remove_repeats(alone).collect()] == [0, 0]
 
 
+def test_substring_long_text(spark):
+    """A text of 99,000 words in which one phrase recurs every 11 words: its windows all have one name, or nearly."""
+    rows = []
+    for i, phrase in enumerate(("low phrase of five words", "another phrase of six words here", "yet one more of them")):
+        rows.append((i, " ".join(f"{phrase} " + " ".join(f"r{i}x{k}y{j}" for j in range(11 - len(phrase.split()))) for k in range(9000))))
+    rows.append((9, " ".join(rows[1][1].split()[30_000:30_050])))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (99_000, 0), 1: (99_000, 0), 2: (99_000, 0), 9: (50, 50)}
+
+
+def test_longest_and_greedy():
+    make = lambda rows: np.array(rows, substring._FACTORS)
+    spans = make([(1, 5, 3, 7, 5), (1, 0, 5, 7, 0), (1, 8, 2, 7, 9), (1, 2, 4, 7, 2), (2, 0, 1, 7, 0)])
+    assert substring.longest(spans).tolist() == [(1, 0, 8, 7, 0), (1, 8, 2, 7, 9), (2, 0, 1, 7, 0)]
+    assert substring.greedy([(1, 0, 4, 7, 0), (1, 1, 2, 7, 3), (1, 2, 6, 8, 0), (1, 3, 4, 8, 9), (1, 12, 1, 7, 0)]) == [(1, 0, 4, 7, 0), (1, 2, 6, 8, 0), (1, 12, 1, 7, 0)]
+    for _ in range(200):
+        some = [(0, int(a), int(n), int(s), 0) for a, n, s in zip(RNG.integers(0, 40, 12), RNG.integers(1, 9, 12), RNG.integers(0, 3, 12))]
+        kept = substring.greedy(sorted(some, key=lambda x: x[1]))
+        covered = lambda rows: {x for _, a, n, _, _ in rows for x in range(a, a + n)}
+        assert covered(kept) == covered(some)
+
+
 def test_substring_compares_whole_hashes(monkeypatch):
     """Windows of one name that differ in the high bits of their hash alone are not equal."""
     real = text.runs
     monkeypatch.setattr(text, "runs", lambda h, k: real(h, k) << np.uint64(40) if k == 20 else np.full(max(0, len(h) - k + 1), 7, np.uint64))
-    blobs = []
+    mail = substring.Mail([0])
     for i in range(3):
         data = " ".join(f"{i % 2}x{k}" for k in range(24)).encode()
-        blobs += [b for _, b in substring.parse_local(np.frombuffer(data, np.uint8), np.array([0, len(data)]), np.array([i]), np.array([i]), 20, 1)]
-    assert len(blobs) == 3 and len(substring.parse_shared(blobs[:2], 20)) == 0
-    assert substring.parse_shared(blobs, 20)[["doc", "n", "source"]].tolist() == [(2, 5, 0)]
+        ids = np.array([i])
+        substring.send(mail, ids, ids, substring.parse_local(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ids, ids, 20)[1])
+    sent = mail.batch()
+    found = substring.parse_shared([sent.slice(0, 2)], [0]), substring.parse_shared([sent], [0])
+    assert sent.num_rows == 3 and found[0].num_rows == 0
+    assert np.frombuffer(found[1]["blob"][0].as_py(), substring._FACTORS)[["doc", "n", "source"]].tolist() == [(2, 5, 0)]
 
 
 def test_decontaminate(spark, docs, documents):
