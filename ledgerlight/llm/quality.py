@@ -164,18 +164,21 @@ def fit_quality(docs: DataFrame, positives: DataFrame, rows: int = FIT_ROWS, id_
     return pickle.dumps((model.low, model.high, model.mean, model.scale, model.parts, model.prior))
 
 
-def score_quality(docs: DataFrame, model: bytes, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: bytes, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
     """For each row of docs: all its columns, then score and predicted (score >= threshold); columns of those names are replaced.
 
+    prefix: put before the names of the new columns.
+
     A null text counts as empty. Repeated rows and null ids are kept. Whole texts are read, in one pass without a shuffle.
     """
-    rest = docs.drop("score", "predicted")
-    schema = StructType([*rest.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    added = [f"{prefix}score", f"{prefix}predicted"]
+    rest = docs.drop(*added)
+    schema = StructType([*rest.schema.fields, StructField(added[0], DoubleType()), StructField(added[1], IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Model(*pickle.loads(model))
         for batch in batches:
             p = judge.scores(features(*T.column(batch, text_col)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, *added])
 
     return rest.mapInArrow(T.tidy(score), schema)

@@ -105,3 +105,18 @@ def test_run_cuts_lineage(spark):
     files = out.inputFiles()
     assert files and all("/pipeline-" in f and f"/stage-{len(p.STAGES) - 1}/" in f for f in files)
     assert out.count()
+
+
+def test_other_columns(spark):
+    """Columns named like an operator's are kept as they were, and n_chars may be missing."""
+    text = " ".join(f"word{i}" for i in range(40))
+    names = ["score", "predicted", "n_words", "n_removed", "kept_text", "factors", "n_items", "items", "key", "home", "blob", "row", "node"]
+    rows = [(1, text), (2, "other words " + text), (3, None), (4, ""), (None, text), (2, "other words " + text), (6, " ".join(f"x{i}" for i in range(30_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in names})
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        assert out.where(" or ".join(f"{c} != 'own'" for c in names)).count() == 0
+    kept = {(r["doc_id"], r["text"]) for r in p.drop_repeated_passages(spark, docs, SMALL).collect()}
+    assert (1, text) not in kept and (None, text) in kept and (2, "other words") in kept and (3, None) in kept
+    assert p.pack_sequences(spark, docs, SMALL).select("length").agg(F.max("length")).head()[0] <= 2048
