@@ -1,7 +1,8 @@
 """Cleaning of a corpus: quality, near copies, repeated passages, benchmark leaks, then packing for training.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
-of documents. Nulls: a null text counts as empty, a null id is kept as it is; empty tables give empty results.
+of documents, whatever else is in them: columns that are named like what an operator adds are kept. Nulls: a null text
+counts as empty, a null id is kept as it is; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from ledgerlight.llm.store import Scratch, table
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from trusted good documents and unlabelled ones; documents scored below one half go."""
     good = table(spark, sf_dir, "labels").where((F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1) & (F.col("quality") == 1))
-    scored = quality.score_quality(docs, quality.fit_quality(docs, good), threshold=0.5)
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.score_quality(docs, quality.fit_quality(docs, good), threshold=0.5, prefix="__")
+    return scored.where("__predicted = 1").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are told apart by id and text: texts that share an id are decided one by one, null ids come before all others, and
     of rows equal in both one stays.
     """
-    rows = Scratch(spark, "near-copies").save(ngram_join.similar_rows(docs, words=5, part=80, whole=100), "rows")
-    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    scratch = Scratch(spark, "near-copies")
+    rows = scratch.save(ngram_join.similar_rows(docs, words=5, part=80, whole=100), "rows")
+    first = scratch.save(rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")), "first")
     gone = rows.join(first, "component").where("key != first.key").select("key")
     again = rows.where("n_rows > 1").select("key")
     keyed = docs.withColumn("__key", ngram_join.row_key())
@@ -39,10 +41,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 20 that occurred before go; so does a document of which nothing is left. Other texts stay as they were."""
-    found = substring.remove_repeats(docs, min_words=20).where("n_removed = 0 or kept_text != ''")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
-    return found.withColumn("text", text).select(*docs.columns)
+    found = substring.remove_repeats(docs, min_words=20, prefix="__").where("__n_removed = 0 or __kept_text != ''")
+    cut = F.col("__n_removed") > 0
+    found = found.withColumn("text", F.when(cut, F.col("__kept_text")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(cut, F.length("__kept_text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
