@@ -75,9 +75,11 @@ def tree(found: DataFrame, scratch: Scratch, name: str) -> list[DataFrame]:
 
 
 def audit(one: DataFrame, other: DataFrame, what: str = "warc") -> DataFrame:
-    """file, ordinal and status (damaged, missing or extra in other) of every record whose leaf differs between the replicas.
+    """file, ordinal and status (damaged, missing or extra in other) of every record that differs between the replicas.
 
-    Both come from records(), or have its columns. Equal roots end the audit. Otherwise each level's nodes are read only
+    Both come from records(), or have its columns. ordinal is the record's place in one, that of extra ones in other. Leaves
+    that differ are aligned: a record that another replica has, with the same id and digest, at another place of the same file
+    has moved and isn't reported; of the rest, those with the same id in both are damaged. Equal roots end the audit. Otherwise each level's nodes are read only
     where their parent differs. Replicas of different heights or with other first files are compared from the level up to
     which both have nodes. No rows on either side: every record of the other is extra or missing.
     """
@@ -103,4 +105,21 @@ def audit(one: DataFrame, other: DataFrame, what: str = "warc") -> DataFrame:
         suspects = scratch.save(both.select(F.coalesce("file", "f2").alias("file"), F.coalesce("place", "p2").cast("long").alias("place"), status.alias("status")), f"suspects-{k}")
         if not suspects.limit(1).count():
             break
-    return suspects.select("file", F.col("place").alias("ordinal"), "status")
+    return _aligned(one, other, suspects.select(F.col("file").alias("sf"), F.col("place").alias("sp"), "status"), scratch)
+
+
+def _aligned(one: DataFrame, other: DataFrame, suspects: DataFrame, scratch: Scratch) -> DataFrame:
+    """Records at the places in question that neither have a like one in the other replica's nor are like any."""
+    at = lambda df, but: df.join(suspects.where(F.col("status") != but), F.col("file").eqNullSafe(F.col("sf")) & (F.col("ordinal") == F.col("sp")), "left_semi")
+    sides = at(one, "extra").select("file", "page_id", "digest", "ordinal", F.lit(1).alias("side")).unionByName(at(other, "missing").select("file", "page_id", "digest", "ordinal", F.lit(2).alias("side")))
+
+    def pair(rows: DataFrame, *by: str) -> DataFrame:
+        """rows with sides: how many of the two replicas have an n-th record of the same kind."""
+        number = F.row_number().over(Window.partitionBy(*by, "side").orderBy("ordinal"))
+        rows = rows.withColumn("nth", number)
+        return rows.withColumn("sides", F.count("*").over(Window.partitionBy(*by, "nth")))
+
+    apart = scratch.save(pair(sides, "file", "page_id", "digest").where("sides = 1").drop("nth", "sides"), "apart")
+    apart = pair(apart, "file", "page_id").where("side = 1 or sides = 1")
+    status = F.when((F.col("sides") == 2) & F.col("page_id").isNotNull(), "damaged").when(F.col("side") == 1, "missing").otherwise("extra")
+    return apart.select("file", F.col("ordinal").cast("long").alias("ordinal"), status.alias("status"))
