@@ -38,20 +38,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     count once, and of rows that share an id each text is compared. Other columns aren't read.
 
     The documents are read once and their words never shuffled: seeds are hashed and looked up in generated code, and only
-    the alignments that were hit, with the few words that they cover, are grouped.
+    the alignments that were hit, with the few words that they cover, are grouped. With more than BROADCAST_SEEDS seeds, the
+    documents' seeds are joined by a shuffle, with a key of their row and no words; the rows that were hit are read again.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.filter(words(F.col(item_text_col)), lambda w: w != "").alias("item")).where(F.size("item") >= WINDOW).distinct()
     least = 1 + min(max(m) for m in MASKS)
     place = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - least)).alias("q"))
     seeds = place.select("item_id", "item", "q", F.explode(_seeds("item", "q")).alias("seed"))
     narrow = seeds.select("seed", "item_id", "q", F.size("item").alias("m"), F.xxhash64("item").alias("version"))
-    if narrow.count() <= BROADCAST_SEEDS:
+    few = narrow.count() <= BROADCAST_SEEDS
+    if few:
         narrow, items = F.broadcast(narrow), F.broadcast(items.withColumn("version", F.xxhash64("item")))
     else:
         items = items.withColumn("version", F.xxhash64("item"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("found")).where(F.size("found") >= least)
-    at = texts.select("doc_id", "found", F.explode(F.sequence(F.lit(0), F.size("found") - least)).alias("p"))
-    hits = at.select("doc_id", "found", "p", F.explode(_seeds("found", "p")).alias("seed")).join(narrow, "seed")
+    place = F.explode(F.sequence(F.lit(0), F.size("found") - least)).alias("p")
+    if few:
+        at = texts.select("doc_id", "found", place)
+        hits = at.select("doc_id", "found", "p", F.explode(_seeds("found", "p")).alias("seed")).join(narrow, "seed")
+    else:
+        texts = texts.withColumn("row", F.xxhash64("doc_id", "found"))
+        at = texts.select("row", "found", place).select("row", "p", F.explode(_seeds("found", "p")).alias("seed"))
+        hits = at.join(narrow, "seed").drop("seed").distinct()
+        hits = hits.join(texts.distinct(), "row")
     first = F.col("p") - F.col("q")
     start = F.greatest(first, F.lit(0))
     hits = hits.select("doc_id", "item_id", "version", first.alias("shift"), F.slice("found", start + 1, F.col("m")).alias("covered"))
