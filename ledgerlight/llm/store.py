@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where it is unset (tests on one machine) a temporary one is made."""
+    """The folder named by spark.checkpoint.dir. Only where it is unset and all runs on one machine a temporary one is made; on a cluster that raises."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or getattr(spark, "_ledgerlight_folder", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='ledgerlight-')}"
         spark._ledgerlight_folder = folder
     return folder.rstrip("/")
