@@ -444,7 +444,7 @@ def similar_rows(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 1
         joined = scratch.save(components(first, scratch, "first"), "first-joined")
         label = large.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
         counts = label.groupBy("block", "label").agg(F.count("*").alias("c"))
-        main = counts.groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+        main = scratch.save(counts.groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("main")), "main")
         rest = label.join(main, "block").where("label != main").select("id", "block", "spread")
         rest = scratch.save(rest, "rest")
         if rest.limit(1).count():

@@ -176,9 +176,11 @@ def parse_shared(batches: Iterator[pa.RecordBatch], home: list[int]) -> pa.Recor
 
 
 def parse_spots(batches: Iterator[pa.RecordBatch], home: list[int]) -> pa.RecordBatch:
-    """Looks up windows of frequent names in the block of their hashes."""
+    """Looks up windows of frequent names in the block of their hashes, and strings together the factors of this partition's documents."""
     mail = Mail(home)
-    window, name, ident, key, start = columns(opened(batches, mail, {_SPOTS})[_SPOTS], 5)
+    got = opened(batches, mail, {_SPOTS, _KNOWN})
+    send_factors(mail, longest(np.concatenate([np.zeros(0, _FACTORS), *(np.frombuffer(b, _FACTORS) for b in got[_KNOWN])])))
+    window, name, ident, key, start = columns(got[_SPOTS], 5)
     ident, key, start = ident.view(np.int64), key.view(np.int64), start.astype(np.int64)
     later, source = _repeats(window, name, ident, start)
     send_factors(mail, _factors(key[later], start[later], ident[source], start[source]))
