@@ -19,15 +19,38 @@ def judged(obs: DataFrame) -> DataFrame:
     return obs.where(F.col("disposition").isin("productive", "unproductive")).select("score", (F.col("disposition") == "productive").alias("y"), F.when((w > 0) & (w < float("inf")), w).otherwise(1.0).alias("w"))
 
 
+def running_totals(rows: DataFrame, order: str, sums: list[str]) -> DataFrame:
+    """rows (each with another value of order) with to_<c> for each c of sums: its total over rows down to this one, highest order first.
+
+    No window takes all rows: rows are sorted into ranges, each range's total is a row, and only those are added up in one
+    task; there are as many as the session has shuffle partitions. Ranges are sampled anew in each run, and equal in one run.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("b")).head()["b"] if parts > 1 else []
+    cuts = sorted(set(bounds or []))
+    part = F.lit(0)
+    for c in reversed(cuts):
+        part = F.when(F.col(order) > c, F.lit(1)).otherwise(0) + part
+    rows = rows.withColumn("_part", part)
+    per = rows.groupBy("_part").agg(*(F.sum(c).alias(c) for c in sums))
+    above = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("_part", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias("_" + c) for c in sums))
+    down = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(before), "_part")
+    return out.select(*(c for c in rows.columns if c != "_part"), *((F.sum(c).over(down) + F.col("_" + c)).alias("to_" + c) for c in sums))
+
+
 def by_score(rows: DataFrame) -> DataFrame:
     """One row for each distinct score: weights and rows of both outcomes, and what scores at or above it hold.
 
-    Ordering all scores takes one sorted sequence; it has a row for each distinct score, not for each observation.
+    i is the score's place from the top, from 0. A score that isn't a number can't be ordered and is left out.
     """
-    each = rows.groupBy("score").agg(F.sum(F.when(F.col("y"), F.col("w")).otherwise(0.0)).alias("p"), F.sum(F.when(~F.col("y"), F.col("w")).otherwise(0.0)).alias("n"), F.count_if("y").alias("cp"), F.count_if(~F.col("y")).alias("cn"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = each.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"), F.sum("cp").alias("all_cp"), F.sum("cn").alias("all_cn"))
-    return each.crossJoin(F.broadcast(total)).select("*", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("cn").over(down).alias("cn_above"))  # one row is joined
+    each = rows.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("score").agg(F.sum(F.when(F.col("y"), F.col("w")).otherwise(0.0)).alias("p"), F.sum(F.when(~F.col("y"), F.col("w")).otherwise(0.0)).alias("n"), F.count_if("y").alias("cp"), F.count_if(~F.col("y")).alias("cn"), F.lit(1).alias("one"))
+    total = each.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"), F.sum("cp").alias("all_cp"), F.sum("cn").alias("all_cn"), F.count("*").alias("scores"))
+    each = running_totals(each, "score", ["p", "n", "cn", "one"])
+    named = each.withColumnsRenamed({"to_p": "tp", "to_n": "fp", "to_cn": "cn_above"}).withColumn("i", F.col("to_one") - 1).drop("one", "to_one")
+    return named.crossJoin(F.broadcast(total))  # one row is joined
 
 
 def confusion(rows: DataFrame, threshold: float) -> DataFrame:
@@ -55,8 +78,7 @@ def average_precision(rows: DataFrame) -> DataFrame:
 def curve(rows: DataFrame, miss: float = 0.0, alarm: float = 0.0, points: int = 1000) -> DataFrame:
     """score, tpr, fpr, precision and cost at each distinct score, evenly thinned to points at most."""
     s = by_score(rows)
-    n = Window.orderBy(F.desc("score"))
-    s = s.withColumn("i", F.row_number().over(n) - 1).withColumn("last", F.count("*").over(Window.partitionBy()) - 1)
+    s = s.withColumn("last", F.col("scores") - 1)
     kept = (F.col("last") < points) | (F.floor(F.floor(F.col("i") * (points - 1) / F.col("last")) * F.col("last") / (points - 1)) == F.col("i")) | (F.floor(F.ceil(F.col("i") * (points - 1) / F.col("last")) * F.col("last") / (points - 1)) == F.col("i"))
     cost = (F.col("all_p") - F.col("tp")) * miss + F.col("fp") * alarm
     return s.where(kept).select("score", round6(F.try_divide("tp", "all_p")).alias("tpr"), round6(F.try_divide("fp", "all_n")).alias("fpr"), round6(F.try_divide("tp", F.col("tp") + F.col("fp"))).alias("precision"), cost.alias("cost"))
@@ -69,15 +91,36 @@ def cheapest(rows: DataFrame, miss: float, alarm: float) -> DataFrame:
     return best.select(F.when(F.col("best.cost") < F.col("nothing"), -F.col("best.s")).alias("threshold"), F.least("best.cost", "nothing").alias("cost"))
 
 
-def metrics(obs: DataFrame, threshold: float) -> DataFrame:
-    """One row: prevalence, AUC, average precision, precision, recall, F1, alarm rate and lift. Nothing measured is null, never 0."""
+def metrics(obs: DataFrame, threshold: float, probability: Column | None = None, miss: float | None = None, alarm: float | None = None) -> DataFrame:
+    """One row: prevalence, AUC, average precision, precision, recall, F1, alarm rate and lift. Nothing measured is null, never 0.
+
+    With a probability also the Brier score; with the costs of a miss and an alarm also what the threshold costs, and the
+    threshold of least cost with its cost; with either, refused says why there is no verdict (null if there is one).
+    """
     rows = judged(obs)
     c = confusion(rows, threshold)
     all_w = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     precision, recall = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     prevalence = F.try_divide(F.col("tp") + F.col("fn"), all_w)
     out = c.select("*", round6(prevalence).alias("prevalence"), round6(precision).alias("precision"), round6(recall).alias("recall"), round6(F.try_divide(2 * precision * recall, precision + recall)).alias("f1"), round6(F.try_divide(F.col("tp") + F.col("fp"), all_w)).alias("alarm_rate"), round6(F.try_divide(precision, prevalence)).alias("lift"))
-    return out.crossJoin(roc_auc(rows)).crossJoin(average_precision(rows))  # single rows
+    out = out.crossJoin(roc_auc(rows)).crossJoin(average_precision(rows))  # single rows
+    if probability is not None:
+        out = out.crossJoin(brier(obs_rows(obs), probability))  # a single row
+    if miss is not None and alarm is not None:
+        best = cheapest(rows, miss, alarm).select(F.col("threshold").alias("best_threshold"), F.col("cost").alias("best_cost"))
+        out = out.withColumn("cost", F.col("fn") * miss + F.col("fp") * alarm).crossJoin(best)  # a single row
+    if probability is not None or miss is not None:
+        positives, negatives = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
+        why = F.when(positives + negatives == 0, "nothing was judged").when(positives == 0, "no productive case").when(negatives == 0, "no unproductive case")
+        out = out.withColumn("refused", why)
+    return out
+
+
+def obs_rows(obs: DataFrame) -> DataFrame:
+    """judged(), with the other columns of the observations kept for a probability to read."""
+    rest = [c for c in obs.columns if c not in ("score", "y", "w")]
+    w = F.coalesce("weight", F.lit(1.0)) if "weight" in obs.columns else F.lit(1.0)
+    return obs.where(F.col("disposition").isin("productive", "unproductive")).select("score", *rest, (F.col("disposition") == "productive").alias("y"), F.when((w > 0) & (w < float("inf")), w).otherwise(1.0).alias("w"))
 
 
 def brier(rows: DataFrame, probability: Column) -> DataFrame:

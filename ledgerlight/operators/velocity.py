@@ -54,19 +54,24 @@ def structuring(observations: DataFrame, least: int, threshold: float = THRESHOL
 def running(tx: DataFrame, kind: str, key: Column, windows=WINDOWS, threshold: float = THRESHOLD, band: float = BAND) -> DataFrame:
     """Each transaction with its key's aggregates as of itself: columns <kind>_<window>_count, _sum, _near, _near_sum and _days.
 
-    Frames are ranges over bucket numbers, so every transaction of the newest bucket up to this one counts. All windows of
-    a key share one shuffle and sort.
+    What counts are the transactions of the window's buckets, the newest of which is the transaction's own, up to its
+    instant; those of the same instant count too. So a frame is a range over the numbers of older buckets, and to it comes
+    the own bucket so far. All frames of a key share one shuffle.
     """
     near = is_near(F.col("usd"), threshold, band)
     safe = F.when(blank(key), F.concat(F.lit("\0"), F.col("tx_id"))).otherwise(key)
+    day = F.floor(F.col("us") / DAY_US)
+    by = Window.partitionBy("org_id", "_key")
+    rows = tx.withColumns({"_key": safe, "_near": near.cast("int"), "_near_usd": F.when(near, F.col("usd")).otherwise(0.0), "_day": F.dense_rank().over(Window.partitionBy("org_id", safe).orderBy(day))})
     named = {}
     for window, span, buckets in windows:
-        step = span // buckets
-        # in microseconds, so that one ordering serves all windows: back to the start of the oldest bucket in the frame
-        w = Window.partitionBy("org_id", safe).orderBy("us").rangeBetween(-(span - step), 0)
+        bucket = F.floor(F.col("us") / (span // buckets))
+        older, frame = by.orderBy(bucket).rangeBetween(-(buckets - 1), -1), by.orderBy(bucket).rangeBetween(-(buckets - 1), 0)
+        own = Window.partitionBy("org_id", "_key", bucket).orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+        upto = lambda c, older=older, own=own: F.coalesce(F.sum(c).over(older), F.lit(0)) + F.sum(c).over(own)
         p = f"{kind}_{window}_"
-        named |= {p + "count": F.count(F.lit(1)).over(w), p + "sum": F.sum("usd").over(w), p + "near": F.count_if(near).over(w), p + "near_sum": F.sum(F.when(near, F.col("usd")).otherwise(0.0)).over(w), p + "days": F.size(F.collect_set(F.floor(F.col("us") / DAY_US)).over(w))}
-    return tx.select("*", *(c.alias(n) for n, c in named.items()))
+        named |= {p + "count": upto(F.lit(1)), p + "sum": upto(F.col("usd")), p + "near": upto(F.col("_near")), p + "near_sum": upto(F.col("_near_usd")), p + "days": F.col("_day") - F.min("_day").over(frame) + 1}
+    return rows.select("*", *(c.alias(n) for n, c in named.items())).drop("_key", "_near", "_near_usd", "_day")
 
 
 #: Name, window and neutral value of the features.

@@ -166,16 +166,21 @@ def velocity_features(spark, sf_dir):
     return found.select("tx_id", *(F.round("x_" + n, 6).alias("x_" + n) for n, _, _ in velocity.FEATURES))
 
 
-def _f(key: str, span: int, step: int) -> str:
-    return f"(PARTITION BY {key} ORDER BY us RANGE BETWEEN {span - step} PRECEDING AND CURRENT ROW)"
-
-
-FEATURES_SQL = f"""WITH {TX_SQL}, s AS (SELECT tx_id, usd,
-  count(*) OVER h AS hc, count(*) OVER d AS dc, sum(usd) OVER d AS ds, count(*) OVER w AS wc, sum(usd) OVER w AS ws,
-  count(*) FILTER (usd >= 9000 AND usd < 10000) OVER w AS wn, coalesce(sum(usd) FILTER (usd >= 9000 AND usd < 10000) OVER w, 0) AS wns,
-  count(*) OVER m AS mc, sum(usd) OVER m AS ms, count(DISTINCT us // {DAY}) OVER m AS md, count(*) OVER p AS pc, count(*) OVER v AS vc
-  FROM tx WINDOW h AS {_f("account", 3600000000, 60000000)}, d AS {_f("account", DAY, 900000000)}, w AS {_f("account", WEEK, 3600000000)}, m AS {_f("account", MONTH, 21600000000)},
-  p AS {_f("account, counterparty", MONTH, 21600000000)}, v AS {_f("device", DAY, 900000000)}),
+def _to_date(key: str, names: dict[str, str], span: int, step: int) -> str:
+    """Aggregates over the buckets of a window that ends with each row's own, up to its instant, in a table of their own."""
+    return f"""(SELECT t.tx_id, {", ".join(f"{sql} AS {name}" for name, sql in names.items())} FROM tx t JOIN tx p ON {" AND ".join(f"p.{k} = t.{k}" for k in key.split(", "))}
+  AND p.us <= t.us AND p.us // {step} > t.us // {step} - {span // step} GROUP BY t.tx_id)"""
+
+
+NEAR = "p.usd >= 9000 AND p.usd < 10000"
+FEATURES_SQL = f"""WITH {TX_SQL},
+h AS {_to_date("account", {"hc": "count(*)"}, 3600000000, 60000000)},
+d AS {_to_date("account", {"dc": "count(*)", "ds": "sum(p.usd)"}, DAY, 900000000)},
+w AS {_to_date("account", {"wc": "count(*)", "ws": "sum(p.usd)", "wn": f"count(*) FILTER ({NEAR})", "wns": f"coalesce(sum(p.usd) FILTER ({NEAR}), 0)"}, WEEK, 3600000000)},
+m AS {_to_date("account", {"mc": "count(*)", "ms": "sum(p.usd)", "md": f"count(DISTINCT p.us // {DAY})"}, MONTH, 21600000000)},
+p AS {_to_date("account, counterparty", {"pc": "count(*)"}, MONTH, 21600000000)},
+v AS {_to_date("device", {"vc": "count(*)"}, DAY, 900000000)},
+s AS (SELECT * FROM tx JOIN h USING (tx_id) JOIN d USING (tx_id) JOIN w USING (tx_id) JOIN m USING (tx_id) JOIN p USING (tx_id) JOIN v USING (tx_id)),
 k AS (SELECT *, CASE WHEN mc > 1 AND ms - usd > 0 THEN (ms - usd) / (mc - 1) ELSE 0 END AS per, CASE WHEN mc > 1 THEN (mc - 1) / md ELSE 0 END AS rate, CASE WHEN ms - usd > 0 THEN (ms - usd) / md ELSE 0 END AS flow FROM s)
 SELECT tx_id, round(CASE WHEN per > 0 THEN (usd / per) / (1 + usd / per) ELSE 0.5 END, 6) AS x_amount, round(CASE WHEN rate > 0 THEN (dc / rate) / (1 + dc / rate) ELSE 0.5 END, 6) AS x_count,
   round(CASE WHEN flow > 0 THEN (ds / flow) / (1 + ds / flow) ELSE 0.5 END, 6) AS x_volume, round(CASE WHEN dc < 2 THEN 0 ELSE least(1, hc / dc) END, 6) AS x_burst,

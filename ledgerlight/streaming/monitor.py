@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerlight.operators.velocity import BAND, THRESHOLD
 from ledgerlight.plans.engine import RuleSet
-from ledgerlight.plans.terms import DAY_US
+from ledgerlight.plans.terms import DAY_US, SUBJECTS, blank
 
 
 def once(stream: DataFrame, lateness: str = "24 hours", keys: tuple[str, ...] = ("org_id", "tx_id")) -> DataFrame:
@@ -64,22 +65,41 @@ def velocity(stream: DataFrame, span: int = DAY_US, buckets: int = 96, threshold
     return stream.groupBy("org_id", "account").applyInPandasWithState(update, OBSERVED, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def of_subjects(known: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of known that share a subject (kind and value, within an organisation) with a row of new.
+
+    Subjects of new are a table of distinct values; each kind is a semi-join on them, and a row that several kinds find
+    counts once. Whatever shares no subject can be in no window of new.
+    """
+    found = None
+    for kind in SUBJECTS:
+        asked = new.where(~blank(F.col(kind))).select("org_id", kind).distinct()
+        ids = known.join(asked, ["org_id", kind], "left_semi").select("org_id", "tx_id")
+        found = ids if found is None else found.unionByName(ids)
+    found = found.unionByName(new.select("org_id", "tx_id")).distinct()
+    return known.join(found, ["org_id", "tx_id"], "left_semi")
+
+
 def rules_on_batches(rules: RuleSet, history: str, alerts: str, widest_us: int) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends a batch to the history and its alerts to a table, once for each batch.
 
-    A batch is judged with the part of the history that its subjects' windows reach back to. Both tables are partitioned by
-    batch and written by replacing that partition, so a batch that is run again after a failure leaves no second copy.
+    A batch is judged with the part of the history that its subjects' windows reach back to: rows that share a subject of any
+    kind with the batch, of the days from the oldest window on. The history is partitioned by day within a batch, so that
+    older days aren't read. Both tables are written by replacing the batch's partition, so a batch that is run again after a
+    failure leaves no second copy.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        rows = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        rows.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        new = spark.read.parquet(f"{history}/batch={number}")
+        rows = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("day", F.floor(F.col("us") / DAY_US).cast("int"))
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{history}/batch={number}")
+        new = spark.read.schema(rows.schema).parquet(f"{history}/batch={number}")
         bounds = new.agg(F.min("us"), F.max("us")).head()
         if bounds[0] is None:
             return
-        known = spark.read.option("basePath", history).parquet(history).where((F.col("batch") <= number) & F.col("us").between(bounds[0] - widest_us, bounds[1]))
+        first = (bounds[0] - widest_us) // DAY_US
+        known = spark.read.schema(StructType([*rows.schema.fields, StructField("batch", IntegerType())])).option("basePath", history).parquet(history).where((F.col("batch") <= number) & (F.col("day") >= first) & F.col("us").between(bounds[0] - widest_us, bounds[1]))
+        known = of_subjects(known, new)
         found = rules.alerts(known)
         found.join(new.select("org_id", "tx_id"), ["org_id", "tx_id"], "left_semi").write.mode("overwrite").parquet(f"{alerts}/batch={number}")
 

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ledgerlight.adapters import transactions
+from ledgerlight.operators import velocity
 from ledgerlight.plans.engine import RuleSet
 from ledgerlight.plans.library import Rule
 from ledgerlight.streaming import monitor, webhook
@@ -49,6 +50,22 @@ def test_velocity_on_a_stream(spark, tmp_path):
     assert (got["t2"]["count"], got["t3"]["late"], got["t3"]["count"]) == (1, True, 2)
 
 
+def test_velocity_batch_is_stream(spark, tmp_path):
+    """Events in order have the same aggregates in a batch as on a stream, bucket by bucket."""
+    tx = transactions(spark, SMALL).where("user in ('u1', 'u2', 'u3', 'u4', 'u5', 'u6')").select("org_id", "account", "tx_id", F.col("ts").cast("timestamp").alias("ts"), "us", "usd")
+    rows = tx.orderBy("us").toPandas()
+    for i in range(3):
+        spark.createDataFrame(rows.iloc[len(rows) * i // 3 : len(rows) * (i + 1) // 3], tx.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in").withWatermark("ts", "60 days")
+    q = monitor.velocity(stream).writeStream.format("memory").queryName("twins").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    fields = ("count", "sum", "near", "near_sum", "days")
+    got = {r["tx_id"]: tuple(round(float(r[c]), 6) for c in fields) for r in spark.table("twins").collect()}
+    batch = velocity.running(tx, "a", F.col("account"), [w for w in velocity.WINDOWS if w[0] == "24h"])
+    assert got == {r["tx_id"]: tuple(round(float(r["a_24h_" + c]), 6) for c in fields) for r in batch.collect()} and len(got) == len(rows)
+
+
 def test_webhook(spark):
     tried = []
 
