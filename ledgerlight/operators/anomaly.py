@@ -15,10 +15,10 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.crypto import fnv1a
+from ledgerlight.functions.crypto import below_line, fnv1a
 from ledgerlight.operators.velocity import FEATURES
 
 NAMES = [f[0] for f in FEATURES]
@@ -272,3 +272,33 @@ def reasons(scored: DataFrame, top: int = 3) -> DataFrame:
     low = F.col("c.feature").isin([n for n, _, neutral in FEATURES if neutral > 0])
     each = scored.where("alert").select("org_id", "tx_id", F.posexplode(F.slice("causes", 1, top)).alias("rank", "c"))
     return each.select("org_id", "tx_id", (F.col("rank") + 1).alias("rank"), F.concat("c.feature", F.when(low & (F.col("c.share") == 0), ".below").otherwise(".above")).alias("code"), "c.share")
+
+
+#: Fixed value: unremarkable transactions that are kept for review, for each organisation.
+BELOW_LINE = 256
+
+
+def below_line_kept(scored: DataFrame, rate: float, most: int = BELOW_LINE) -> DataFrame:
+    """The newest unremarkable events of the sample that their ids decide: what a review looks at besides alerts.
+
+    A window over an organisation's sample would take it all in one task; so each day keeps its newest first, and the newest
+    of those are what is left.
+    """
+    some = scored.where("not coalesce(alert, false)").where(below_line(F.col("tx_id"), F.lit(rate)))
+    newest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("us"), F.desc("tx_id")))
+    day = some.withColumn("_day", F.floor(F.col("us") / 86_400_000_000)).withColumn("_n", newest("org_id", "_day")).where(F.col("_n") <= most)
+    return day.withColumn("_n", newest("org_id")).where(F.col("_n") <= most).drop("_n", "_day")
+
+
+def fit(points: DataFrame, shape: Shape = Shape()) -> DataFrame:
+    """org_id, digest and state (a snapshot as JSON) of a forest that has learned each organisation's events in time order."""
+
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Forest] = {}
+        for pdf in frames:
+            for org, part in pdf.groupby("org_id", sort=False):
+                held.setdefault(org, Forest(shape, org)).feed(part[["x_" + n for n in NAMES]].to_numpy(float))
+        yield pd.DataFrame([(org, shape.digest(), json.dumps(forest.snapshot())) for org, forest in held.items()], columns=["org_id", "digest", "state"])
+
+    rows = points.select("org_id", "us", "tx_id", *("x_" + n for n in NAMES)).repartition("org_id").sortWithinPartitions("org_id", "us", "tx_id")
+    return rows.mapInPandas(learn, "org_id string, digest string, state string")

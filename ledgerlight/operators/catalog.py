@@ -57,6 +57,31 @@ def expired_cases(states: DataFrame, now_us: Column, keep_us: int) -> DataFrame:
     return states.where((F.col("status") == "closed") & (F.col("updated_us") < now_us - F.lit(keep_us)))
 
 
+def fits(changes: DataFrame) -> DataFrame:
+    """Fitted states, each with its first adoption. changes: op (fit or adopt), org_id, id, at_us, who, why, digest, state.
+
+    What counts as an adoption has a decider and is of a fit of the same organisation that was there before.
+    """
+    made = changes.where("op = 'fit' and trim(coalesce(who, '')) != ''").groupBy("org_id", "id").agg(F.min_by(F.struct("at_us", "who", "digest", "state"), "at_us").alias("x")).select("org_id", "id", "x.*")
+    asked = changes.where("op = 'adopt' and trim(coalesce(who, '')) != ''").select("org_id", "id", F.struct(F.col("at_us").alias("adopted_us"), F.col("who").alias("adopted_by"), F.trim("why").alias("why")).alias("a"))
+    first = asked.join(made.select("org_id", "id", F.col("at_us").alias("_made")), ["org_id", "id"]).where("a.adopted_us >= _made").groupBy("org_id", "id").agg(F.min("a").alias("a"))
+    return made.join(first, ["org_id", "id"], "left").select("org_id", "id", "at_us", "who", "digest", "state", "a.adopted_us", "a.adopted_by", "a.why")
+
+
+def adoptions(changes: DataFrame, digest: str) -> DataFrame:
+    """Every wish to adopt with what kept it from being followed: no decider, no such fit, adopted before, or another shape than digest's."""
+    made = fits(changes).select("org_id", "id", F.col("digest").alias("_digest"), F.col("adopted_us").alias("_first"), F.lit(True).alias("_there"))
+    out = changes.where("op = 'adopt'").select("org_id", "id", "at_us", "who").join(made, ["org_id", "id"], "left")
+    nth = F.row_number().over(Window.partitionBy("org_id", "id", F.col("at_us") == F.col("_first")).orderBy("who"))
+    why = F.when(F.trim(F.coalesce("who", F.lit(""))) == "", "no decider").when(F.col("_there").isNull() | F.col("_first").isNull(), "no such fit").when((F.col("at_us") != F.col("_first")) | (nth > 1), "adopted before").when(F.col("_digest") != digest, "another shape")
+    return out.withColumn("refused", why).select("org_id", "id", "at_us", "who", "refused")
+
+
+def adopted(found: DataFrame) -> DataFrame:
+    """Each organisation's most recently adopted fit: what its model is restored from. Ties go to the larger id."""
+    return found.where("adopted_us is not null").groupBy("org_id").agg(F.max_by(F.struct("id", "digest", "state", "adopted_us"), F.struct("adopted_us", "id")).alias("x")).select("org_id", "x.*")
+
+
 def page(df: DataFrame, order: list[str], limit: int = PAGE) -> tuple[DataFrame, bool]:
     """The first rows, and whether there are more."""
     rows = df.orderBy(*order).limit(min(limit, PAGE) + 1)

@@ -26,6 +26,12 @@ def bag(df: DataFrame, column: str, most: int = BAG_KEYS) -> DataFrame:
     return each.select("org_id", "us", F.concat(F.lit("raw."), "key").alias("field"), F.try_variant_get(F.try_parse_json("j"), F.concat(F.lit("$['"), "key", F.lit("']")), "string").alias("value"))
 
 
+def skipped(df: DataFrame, column: str, most: int = BAG_KEYS) -> DataFrame:
+    """For each organisation the keys that bag() leaves out, counted in every row."""
+    over = F.greatest(F.lit(0), F.size(F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))) - most)
+    return df.groupBy("org_id").agg(F.sum(over).alias("skipped"))
+
+
 @F.pandas_udf(IntegerType())
 def bucket(org: pd.Series, field: pd.Series, value: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else fnv1a(f"{o}\0{f}\0{v}".encode()) % SKETCH_BITS for o, f, v in zip(org, field, value)], dtype="Int32")
@@ -65,3 +71,24 @@ def estimated(bits: DataFrame) -> DataFrame:
 
 def merge(sketches: DataFrame) -> DataFrame:
     return estimated(sketches.groupBy("org_id", "field").agg(F.bitmap_or_agg("sketch").alias("sketch")))
+
+
+def partial(cells: DataFrame) -> DataFrame:
+    """What a batch of cells adds to a profile: sums and a sketch for each organisation and field, to be put together by published()."""
+    filled, number = F.col("value").isNotNull(), F.col("number") if "number" in cells.columns else F.lit(None).cast("double")
+    sums = cells.groupBy("org_id", "field").agg(
+        F.count("*").alias("seen"), F.count_if(filled).alias("filled"), F.min(number).alias("min"), F.max(number).alias("max"), F.count(number).alias("numbers"), F.sum(number).alias("total"), F.sum(number * number).alias("squares"),
+        F.min(F.when(filled, F.col("us"))).alias("first_us"), F.max(F.when(filled, F.col("us"))).alias("last_us"),
+    )
+    return sums.join(sketch(cells).select("org_id", "field", "sketch"), ["org_id", "field"], "left")
+
+
+def published(partials: DataFrame) -> DataFrame:
+    """The profile of all batches: as profile() has it."""
+    out = partials.groupBy("org_id", "field").agg(
+        F.sum("seen").alias("seen"), F.sum("filled").alias("filled"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("numbers").alias("_n"), F.sum("total").alias("_t"), F.sum("squares").alias("_s"),
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.bitmap_or_agg("sketch").alias("sketch"),
+    )
+    mean = F.try_divide("_t", "_n")
+    out = out.withColumns({"fill": F.try_divide("filled", "seen"), "mean": mean, "deviation": F.when(F.col("_n") > 0, F.sqrt(F.greatest(F.lit(0.0), F.try_divide("_s", "_n") - mean * mean)))})
+    return estimated(out.drop("_n", "_t", "_s"))

@@ -57,6 +57,25 @@ def close_relationships(records: DataFrame, closed: DataFrame) -> DataFrame:
     return out.withColumn("start", F.coalesce("start", "ended")).drop("ended")
 
 
+def extend(records: DataFrame, extensions: DataFrame) -> DataFrame:
+    """records with the longest extension that any of extensions (org_id, id, days, reason) gives; one without days or a reason gives none."""
+    longer = extensions.where("days > 0 and trim(coalesce(reason, '')) != ''").groupBy("org_id", "id").agg(F.max("days").cast("int").alias("_days"))
+    out = records.join(longer, ["org_id", "id"], "left")
+    return out.withColumn("extended_days", F.greatest("extended_days", "_days")).drop("_days")
+
+
+def disposal_proof(kept: DataFrame, index: DataFrame, now: Column) -> DataFrame:
+    """One row that proves a disposal: records past their time that are still there, and index rows without a record. Both must be 0."""
+    late = kept.where(F.col("expiry").isNotNull() & (F.col("expiry") <= now)).agg(F.count("*").alias("overdue"))
+    lost = index.join(kept.select("org_id", F.col("id").alias("record_id")), ["org_id", "record_id"], "left_anti").agg(F.count("*").alias("orphans"))
+    return late.crossJoin(lost)  # one row each
+
+
+def live_receipts(receipts: DataFrame, now_us: Column, keep_us: int) -> DataFrame:
+    """Receipts (answered_us) that still bind an offer; older ones may go."""
+    return receipts.where(F.col("answered_us") > now_us - F.lit(keep_us))
+
+
 def dispose(records: DataFrame, parties: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records that stay, those that go, and index rows left without a record."""
     dated = with_expiry(records)

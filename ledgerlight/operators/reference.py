@@ -15,6 +15,20 @@ def rates_from_env(name: str = "RATES") -> dict:
     return json.loads(os.environ.get(name, '{"rates": {}}'))
 
 
+def jurisdictions_from_env(name: str = "JURISDICTIONS") -> dict:
+    """as_of, action and monitoring from a JSON environment variable; an absent or broken one is undated and lists nothing, which tiers() refuses."""
+    try:
+        found = json.loads(os.environ.get(name) or "{}")
+    except ValueError:
+        found = {}
+    return {"as_of": found.get("as_of"), "action": list(found.get("action") or []), "monitoring": list(found.get("monitoring") or [])}
+
+
+def history_jurisdiction(entity: Column, tx: Column) -> Column:
+    """The jurisdiction of a history row: the customer's, or else the transaction's."""
+    return F.when(F.trim(F.coalesce(entity, F.lit(""))) != "", entity).otherwise(tx)
+
+
 def usd(amount: Column, currency: Column, rates: dict[str, float], fresh: bool = True) -> tuple[Column, Column]:
     """Dollar value and error. A blank currency and USD are dollars; a missing, non-positive or stale rate is an error."""
     code = F.upper(F.trim(F.coalesce(currency, F.lit(""))))

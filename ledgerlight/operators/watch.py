@@ -138,3 +138,17 @@ def feed(acts: DataFrame, since: tuple[int, str] | None = None, limit: int = 200
     if since:
         acts = acts.where((F.col("us") > since[0]) | ((F.col("us") == since[0]) & (F.col("id") > since[1])))
     return acts.orderBy("us", "id").limit(limit + 1)
+
+
+def feed_page(acts: DataFrame, since: tuple[int, str] | None = None, limit: int = 200, most: int = 5000) -> tuple[DataFrame, bool, tuple[int, str] | None]:
+    """The next page, whether it was cut, and the cursor that it reaches to (the one given if it is empty)."""
+    limit = min(max(1, limit), most)
+    keys = [(r["us"], r["id"]) for r in feed(acts, since, limit, most).select("us", "id").collect()]  # a page
+    page = feed(acts, since, limit, most).limit(limit)
+    return page, len(keys) > limit, keys[:limit][-1] if keys else since
+
+
+def responses(acts: DataFrame) -> DataFrame:
+    """Each transaction's response: the strongest one of its activations."""
+    rank = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))
+    return acts.groupBy("org_id", "tx").agg(F.max_by("response", F.element_at(rank, F.col("response"))).alias("response"))

@@ -186,6 +186,31 @@ def breakdown_column() -> Column:
     return F.map_from_entries(F.transform(F.filter("hits", lambda h: h["error"].isNull()), lambda h: F.struct(h["rule_id"], _part(h))))
 
 
+#: Fixed value: the strongest action that a statistical judgement may ask for.
+CEILING = "review"
+
+
+def contain(judgement: Column) -> Column:
+    """A scorer's hit (rule_id, severity, weight, action) as it may count: null if its weight is negative or no finite number, its action review at most."""
+    weight = judgement["weight"]
+    sound = judgement.isNotNull() & weight.isNotNull() & ~F.isnan(weight) & (weight >= 0) & (weight < float("inf"))
+    rank = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))
+    action = F.when(F.element_at(rank, judgement["action"]) > ACTIONS[CEILING], CEILING).otherwise(judgement["action"])
+    return F.when(sound, F.struct(judgement["rule_id"].alias("rule_id"), judgement["severity"].alias("severity"), weight.cast("double").alias("weight"), action.alias("action"), F.lit(None).cast("string").alias("error")))
+
+
+def with_scorer(decisions: DataFrame, judgements: DataFrame) -> DataFrame:
+    """decisions of RuleSet.evaluate() with a scorer's judgement added to their hits, and score, action and breakdown made anew.
+
+    judgements: org_id, tx_id, rule_id, severity, weight, action; one for a transaction at most. What a scorer may not say
+    is left out, and the rules' verdict stands; so it does where there is none. Since weights aren't negative, it only grows.
+    """
+    told = judgements.select("org_id", "tx_id", contain(F.struct("rule_id", "severity", "weight", "action")).alias("_said")).where("_said is not null")
+    out = decisions.drop("score", "action", "breakdown").join(told, ["org_id", "tx_id"], "left")
+    out = out.withColumn("hits", F.when(F.col("_said").isNotNull(), F.concat("hits", F.array("_said"))).otherwise(F.col("hits"))).drop("_said")
+    return out.select("*", score_column().alias("score"), action_column().alias("action"), breakdown_column().alias("breakdown"))
+
+
 def with_entities(tx: DataFrame, entities: DataFrame) -> DataFrame:
     """Transactions with the struct entity of their user; without one, an entity that has the user's id and no name."""
     e = entities.select(F.col("org_id").alias("e_org"), F.col("id").alias("e_id"), F.struct(*(F.col(c) for c in ENTITY_FIELDS)).alias("found"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.adapters import OBS_SQL, TX_SQL, entities, observations, order_history, table, transactions
 from ledgerlight.operators import evaluate, lists, reference, velocity, watch
-from ledgerlight.plans import queries_records
+from ledgerlight.plans import queries_more, queries_records
 from ledgerlight.plans.engine import Providers, RuleSet, with_entities
 from ledgerlight.plans.library import LIBRARY, Rule
 
@@ -311,5 +311,7 @@ for _query, _sql in (
     QUERIES[_query.__name__] = _query
     if _sql:
         ORACLE[_query.__name__] = _sql
-QUERIES |= queries_records.QUERIES
-ORACLE |= queries_records.ORACLE
+QUERIES |= queries_records.QUERIES | queries_more.QUERIES
+ORACLE |= queries_records.ORACLE | queries_more.ORACLE
+ORACLE["structuring_found"] = f"""SELECT account, "window", near, near_sum FROM ({VELOCITY_SQL}) WHERE near >= 3 AND near_sum >= 10000"""
+ORACLE["field_profile_streamed"] = queries_records.PROFILE_SQL

@@ -36,6 +36,12 @@ def _texts(c: Column) -> Column:
     return F.filter(F.transform(_array(c, "string"), _clean), lambda v: v != "")
 
 
+def _distinct(c: Column) -> Column:
+    """Texts that differ in more than case, each as it comes first."""
+    low = F.transform(c, F.lower)
+    return F.filter(c, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+
+
 def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").option("ignoreNamespace", True).schema(schema).load(path)
 
@@ -199,5 +205,5 @@ def ofsi(spark: SparkSession, path: str) -> DataFrame:
     group = F.lower(F.col("r")[0]["gt"])
     return _entries(
         per, "ofsi", ref_id=F.col("g"), kind=F.when(group == "individual", "individual").when(group == "ship", "vessel").otherwise("entity"), names=promoted, births=births,
-        nationalities=F.array_distinct(_texts(F.col("r.nation"))), documents=papers, addresses=F.array_distinct(_texts(F.col("r.home"))), programs=_texts(F.array(F.col("r")[0]["regime"])), remarks=F.coalesce(F.get(_texts(F.col("r.other")), F.lit(0)), F.lit("")),
+        nationalities=_distinct(_texts(F.col("r.nation"))), documents=papers, addresses=_distinct(_texts(F.col("r.home"))), programs=_texts(F.array(F.col("r")[0]["regime"])), remarks=F.coalesce(F.get(_texts(F.col("r.other")), F.lit(0)), F.lit("")),
     )

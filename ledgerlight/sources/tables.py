@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,25 @@ def require_ready(state: DataFrame) -> None:
         raise RuntimeError(f"lists not fit for screening: {', '.join(sorted(unfit))}")
 
 
+def judgements(spark: SparkSession, alerts: DataFrame, path: str) -> None:
+    """Adds the alerts of transactions that have none yet: the first judgement of a transaction stands, with all its alerts."""
+    new = alerts.dropDuplicates(["org_id", "tx_id", "rule_id"])
+    if _exists(spark, path):
+        new = new.join(spark.read.parquet(path).select("org_id", "tx_id").distinct(), ["org_id", "tx_id"], "left_anti")
+    new.write.mode("append").parquet(path)
+
+
+def workspace(spark: SparkSession, what: str) -> str:
+    """A new folder for tables that a run needs, in the one that spark.checkpoint.dir names; in a temporary one where all runs on one machine."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}"
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

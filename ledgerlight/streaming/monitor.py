@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ledgerlight.operators import profile
 from ledgerlight.operators.velocity import BAND, THRESHOLD
 from ledgerlight.plans.engine import RuleSet
 from ledgerlight.plans.terms import DAY_US, SUBJECTS, blank
@@ -112,6 +113,22 @@ def run(spark: SparkSession, stream: DataFrame, rules: RuleSet, folder: str, wid
     return once(stream, lateness).writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").start()
 
 
+def profile_on_batches(path: str, cells: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writes what a batch adds to the field profile; published_profile() puts all batches together.
+
+    cells makes profile cells of a batch. A batch that is run again replaces what it wrote before, so nothing counts twice.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        profile.partial(cells(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return step
+
+
+def published_profile(spark: SparkSession, path: str) -> DataFrame:
+    return profile.published(spark.read.option("basePath", path).parquet(path).drop("batch"))
+
+
 def pressure(query) -> dict:
     """How a running query keeps up: rows read and processed a second, rows and bytes of state, rows dropped as too late, and the watermark."""
     p = query.lastProgress or {}
