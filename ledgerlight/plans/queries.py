@@ -314,4 +314,5 @@ for _query, _sql in (
 QUERIES |= queries_records.QUERIES | queries_more.QUERIES
 ORACLE |= queries_records.ORACLE | queries_more.ORACLE
 ORACLE["structuring_found"] = f"""SELECT account, "window", near, near_sum FROM ({VELOCITY_SQL}) WHERE near >= 3 AND near_sum >= 10000"""
+ORACLE["stream_rules"] = ORACLE["rule_structuring_day"]
 ORACLE["field_profile_streamed"] = queries_records.PROFILE_SQL

@@ -511,3 +511,99 @@ def anomaly_fit(spark, sf_dir):
 
 QUERIES["anomaly_fit"] = anomaly_fit
 ORACLE["anomaly_fit"] = f"SELECT '{ORG}' AS org_id, true AS own, count(*) AS learned FROM events"
+
+
+#: Isotonic regression by its min-max form, knots at the blocks' means, and a line between neighbouring knots.
+ORACLE["calibration_reliability"] = f"""WITH {OBS_SQL}, g AS (SELECT round(score, 5) AS s, CAST(count(*) AS DOUBLE) AS w, CAST(count(*) FILTER (productive) AS DOUBLE) AS p FROM obs GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY s) AS i, sum(w) OVER (ORDER BY s) AS cw, sum(p) OVER (ORDER BY s) AS cp FROM g),
+m AS (SELECT a.i AS j, b.i AS k, (b.cp - a.cp + a.p) / (b.cw - a.cw + a.w) AS mean FROM o a JOIN o b ON a.i <= b.i),
+lo AS (SELECT o.i, m.j, min(m.mean) AS v FROM o JOIN m ON m.j <= o.i AND m.k >= o.i GROUP BY o.i, m.j), iso AS (SELECT i, max(v) AS v FROM lo GROUP BY i),
+knots AS (SELECT round(sum(w * s) / sum(w), 6) AS x, round(sum(p) / sum(w), 6) AS y FROM iso JOIN o USING (i) GROUP BY v), line AS (SELECT x, y, lag(x) OVER (ORDER BY x) AS x0, lag(y) OVER (ORDER BY x) AS y0 FROM knots),
+fitted AS (SELECT score, productive, CASE WHEN x IS NULL THEN (SELECT arg_max(y, x) FROM knots) WHEN x0 IS NULL THEN y ELSE y0 + (score - x0) / (x - x0) * (y - y0) END AS f FROM obs ASOF LEFT JOIN line ON obs.score <= line.x),
+b AS (SELECT least(CAST(floor(f * 10) AS INT), 9) AS bin, count(*) AS n, round(avg(f), 6) AS predicted, round(avg(CASE WHEN productive THEN 1.0 ELSE 0 END), 6) AS observed FROM fitted GROUP BY 1)
+SELECT CAST(r AS INT) AS bin, coalesce(n, 0) AS "rows", predicted, observed FROM range(10) t(r) LEFT JOIN b ON b.bin = r"""
+
+
+@_registered(f"""WITH {TX_SQL}, c AS (SELECT *, event_id % 3 AS k FROM tx WHERE usd > 20000), e AS (SELECT unnest(['amount', 'count', 'burst'][1:k + 1]) AS feature, unnest([0.5, 0.3, 0.2][1:k + 1]) AS share FROM c)
+SELECT feature, count(*) AS alerts, round(avg(share), 6) AS share FROM e GROUP BY feature""")
+def anomaly_contributions(spark, sf_dir):
+    """The alerts that each feature took part in, and its mean share."""
+    return replay.contributions(_alerted(spark, sf_dir)).select("feature", "alerts", "share")
+
+
+@_registered(f"""WITH {TX_SQL}, c AS (SELECT *, event_id % 3 AS k FROM tx WHERE usd > 20000), e AS (SELECT tx_id, unnest(range(1, k + 2)) AS rank, unnest(['amount.above', 'count.above', 'burst.above'][1:k + 1]) AS code, unnest([0.5, 0.3, 0.2][1:k + 1]) AS share FROM c)
+SELECT tx_id, CAST(rank AS INT) AS rank, code, CAST(share AS DOUBLE) AS share FROM e WHERE rank <= 2""")
+def anomaly_reasons(spark, sf_dir):
+    """The two leading causes of each alert, as codes."""
+    return anomaly.reasons(_alerted(spark, sf_dir), top=2).select("tx_id", "rank", "code", "share")
+
+
+def _alerted(spark, sf_dir):
+    k = (F.col("tx_id").cast("long") % 3).cast("int")
+    causes = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(s).alias("share"), F.lit(0.1).alias("without")) for f, s in (("amount", 0.5), ("count", 0.3), ("burst", 0.2))))
+    return transactions(spark, sf_dir).select("org_id", "tx_id", (F.col("usd") > 20000).alias("alert"), F.slice(causes, F.lit(1), k + 1).alias("causes"))
+
+
+@_registered(f"""WITH {TX_SQL}, f AS (SELECT event_id % 4 = 0 AS unusable, event_id % 4 = 1 AS warming, event_id % 4 > 1 AS warm, event_id % 8 = 3 AS alert, counterparty = 'cp-7' AS blind FROM tx)
+SELECT count(*) FILTER (unusable) AS unusable, count(*) FILTER (warming) AS warming, count(*) FILTER (warm) AS scored, count(*) FILTER (alert) AS alerted, count(*) FILTER (blind) AS blind_counterparty FROM f""")
+def anomaly_refusals(spark, sf_dir):
+    """Events that weren't scored, by reason, and how often a feature had nothing to go by."""
+    tx = transactions(spark, sf_dir)
+    k = F.col("tx_id").cast("long")
+    scored = tx.select(F.when(k % 4 != 0, 0.5).alias("score"), (k % 4 > 1).alias("warm"), (k % 8 == 3).alias("alert"))
+    return replay.refusals(scored, tx.select((F.col("counterparty") == "cp-7").alias("blind_counterparty")), ["counterparty"])
+
+
+@_registered("""WITH t AS (SELECT o_orderkey AS trial, round(o_totalprice / 1e6, 2) AS separation, o_custkey % 7 / 10.0 AS drift, o_orderkey % 5 AS nodes FROM orders WHERE o_orderstatus <> 'F')
+SELECT trial, row_number() OVER (ORDER BY separation DESC, drift, nodes, trial) AS place FROM t""")
+def trials_ranked(spark, sf_dir):
+    """Trials in order of separation, drift and nodes; refused ones have no place."""
+    o = table(spark, sf_dir, "orders")
+    trials = o.select(F.col("o_orderkey").alias("trial"), F.round(F.col("o_totalprice") / 1e6, 2).alias("separation"), (F.col("o_custkey") % 7 / 10.0).alias("drift"), (F.col("o_orderkey") % 5).alias("nodes"), F.when(F.col("o_orderstatus") == "F", "warming").alias("refused"))
+    placed = anomaly.ranked(trials).coalesce(1).select("trial", (F.monotonically_increasing_id() + 1).alias("place"))
+    return placed
+
+
+# --- streams -----------------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark, sf_dir, twice: bool = False):
+    """All transactions as a stream of one micro-batch for each file; the second file offers the first one's rows again."""
+    path = tables.workspace(spark, "stream")
+    tx = transactions(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    for i in range(1 + twice):
+        tx.coalesce(1).write.parquet(f"{path}/{i}")
+    return spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def _drained(query) -> None:
+    query.processAllAvailable()
+    query.stop()
+
+
+@_registered(f"WITH {TX_SQL} SELECT tx_id, usd FROM tx")
+def stream_once(spark, sf_dir):
+    """Every transaction once, though the stream has each twice."""
+    path = tables.workspace(spark, "once")
+    stream = monitor.once(_streamed(spark, sf_dir, twice=True), "60 days").select("tx_id", "usd")
+    _drained(stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").start())
+    return spark.read.parquet(f"{path}/out")
+
+
+@_registered(f"""WITH {TX_SQL} SELECT t.tx_id, count(*) AS "count", round(sum(p.usd), 4) AS "sum", count(*) FILTER (p.usd >= 9000 AND p.usd < 10000) AS near, count(DISTINCT p.us // {DAY}) AS days
+FROM tx t JOIN tx p ON p.account = t.account AND (p.us, p.tx_id) <= (t.us, t.tx_id) AND p.us // 900000000 > t.us // 900000000 - 96 GROUP BY t.tx_id""")
+def stream_velocity(spark, sf_dir):
+    """The stateful form of the day's sliding aggregates."""
+    path = tables.workspace(spark, "velocity")
+    stream = monitor.velocity(_streamed(spark, sf_dir).withWatermark("ts", "60 days"))
+    _drained(stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").start())
+    return spark.read.schema(monitor.OBSERVED).parquet(f"{path}/out").select("tx_id", "count", F.round("sum", 4).alias("sum"), "near", F.col("days").cast("long").alias("days"))
+
+
+@_registered("SELECT 1")
+def stream_rules(spark, sf_dir):
+    """Structuring over a day, judged micro-batch by micro-batch on a stream that offers each transaction twice."""
+    path = tables.workspace(spark, "rules")
+    rules = RuleSet([Rule("structuring-day", 'Structured("user", "24h", 10000, 3)', "high", 0.35, "review")])
+    _drained(monitor.run(spark, _streamed(spark, sf_dir, twice=True), rules, path, DAY, lateness="60 days"))
+    return spark.read.parquet(f"{path}/alerts").select("tx_id", "rule_id", "severity", F.round("tx_score", 6).alias("score"), F.col("tx_action").alias("action"))
