@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.store import Scratch
 
-#: Vectors that the trees are grown over, trees, the recall aimed at and the queries that it is measured with, rows of a leaf in one task, and least number of bins of leaves.
-SAMPLE, TREES, RECALL, PROBES, TASK_ROWS, BINS = 20_000, 4, 0.96, 200, 20_000, 16
+#: Vectors that the trees are grown over, trees, the recall aimed at and the queries that it is measured with, rows of a leaf and queries in one task, and least number of bins of leaves.
+SAMPLE, TREES, RECALL, PROBES, TASK_ROWS, TASK_ASKS, BINS = 20_000, 4, 0.96, 200, 20_000, 20_000, 16
 #: Budgets that are tried, as shares of all vectors; those seen in several trees count in each.
 SHARES = (0.01, 0.02, 0.04, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0, 3.0)
 
@@ -233,7 +233,11 @@ def nearest(vectors: DataFrame, asks, k: int = 20, trees: int = TREES, recall: f
         return pa.table({"query_id": q[number < k], "vec_id": near[number < k], "score": worth[number < k]})
 
     bin_of = F.pmod(F.xxhash64("tree", "leaf", "part"), F.lit(bins)).cast("int").alias("bin")
-    found = seats.unionByName(walks).select("*", bin_of).groupBy("bin").applyInArrow(rank, "query_id long, vec_id long, score double")
+    # a bin meets its queries slice by slice: no task holds more than TASK_ASKS of them, however many reach a leaf
+    slices = max(1, math.ceil(one.where("asks").count() / TASK_ASKS))
+    seats = seats.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    walks = walks.withColumn("slice", F.pmod(F.xxhash64(F.lit(3), "query_id", "v"), F.lit(slices)).cast("int"))
+    found = seats.unionByName(walks).select("*", bin_of).groupBy("bin", "slice").applyInArrow(rank, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

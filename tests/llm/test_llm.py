@@ -508,7 +508,9 @@ def test_sharding_keeps_groups(spark, size):
     assert (fits & (groups.n > 1)).any() and set(groups[fits].shards) == {1}
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("asks", [20_000, 30])
+def test_nearest(spark, monkeypatch, asks):
+    monkeypatch.setattr(ann, "TASK_ASKS", asks)  # 30: a bin meets its queries in several slices
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(6, 16))
     v = (centres[rng.integers(0, 6, 3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
