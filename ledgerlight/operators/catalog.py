@@ -98,5 +98,94 @@ def coverage(spark, rules=LIBRARY) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, typology string, severity string, action string, weight double, terms array<string>, providers array<string>")
 
 
-#: What the starter rules don't look for.
-GAPS = ("beneficial ownership behind an account", "trade documents and prices of goods", "transfers between customers of different organisations", "cash deposits without a customer's reference", "the origin of crypto assets before the first transfer seen")
+#: Documents that requirements stand in.
+_FATF = "FATF, International Standards on Combating Money Laundering and the Financing of Terrorism & Proliferation — The FATF Recommendations (2012-2026, updated June 2026)"
+_AMLD = "Directive (EU) 2015/849 on the prevention of the use of the financial system for the purposes of money laundering or terrorist financing"
+_UK = "The Money Laundering, Terrorist Financing and Transfer of Funds (Information on the Payer) Regulations 2017 (S.I. 2017/692)"
+#: The requirements that the starter rules serve: authority, document, place.
+REQUIREMENTS = {
+    "aggregation": ("FinCEN", "31 CFR 1010.313", "§ 1010.313(b)"),
+    "currency": ("FinCEN", "31 CFR 1010.311", "§ 1010.311"),
+    "evasion": ("FinCEN", "31 U.S.C. 5324 — Structuring transactions to evade reporting requirement prohibited", "§ 5324(a)(1)-(3)"),
+    "exposure": ("FATF", _FATF, "Recommendation 12, measures (a)-(d)"),
+    "exposure (EU)": ("EU", _AMLD, "Article 20(b)(iii)"),
+    "higher risk": ("FATF", _FATF, "Recommendation 19; INR.19 paragraphs 1-2"),
+    "monitoring": ("FATF", _FATF, "Recommendation 10, measure (d)"),
+    "monitoring (EU)": ("EU", _AMLD, "Article 13(1)(d)"),
+    "monitoring (UK)": ("UK", _UK, "regulation 28(11)"),
+    "monitoring (Wolfsberg)": ("Wolfsberg", "The Wolfsberg Group Statement on Effective Monitoring for Suspicious Activity — Part I: Moving Beyond Automated Transaction Monitoring", "Part I, whole statement"),
+    "new technologies": ("FATF", _FATF, "Recommendation 15; INR.15 paragraph 7(a)-(b)"),
+    "no purpose": ("FinCEN", "31 CFR 1020.320", "§ 1020.320(a)(2)(iii)"),
+    "payment": ("FATF", _FATF, "Recommendation 16 (Payment transparency); INR.16 paragraph 8"),
+    "programme": ("FinCEN", "31 CFR 1020.210", "§ 1020.210"),
+    "risk-based approach": ("FATF", _FATF, "Recommendation 1"),
+    "structuring": ("FinCEN", "31 CFR 1010.314", "§ 1010.314(a)-(c)"),
+    "transfers (EU)": ("EU", "Regulation (EU) 2023/1113 on information accompanying transfers of funds and certain crypto-assets (recast)", "Article 14; recital 30"),
+    "transmittal, kept": ("FinCEN", "31 CFR 1010.410", "§ 1010.410(e)(1)"),
+    "transmittal, sent": ("FinCEN", "31 CFR 1010.410", "§ 1010.410(f)(1)"),
+}
+#: Which of them each starter rule serves.
+SERVES = {
+    "currency-day": ("currency", "aggregation"),
+    "structuring-day": ("structuring", "evasion"),
+    "structuring-week": ("structuring", "evasion"),
+    "structuring-accounts": ("aggregation", "structuring"),
+    "structuring-near-threshold": ("structuring",),
+    "transmittal-recordkeeping": ("transmittal, sent", "transmittal, kept"),
+    "transmittal-payment-transparency": ("payment",),
+    "transmittal-crypto": ("transfers (EU)", "new technologies"),
+    "sanctions-customer": ("programme", "risk-based approach"),
+    "sanctions-counterparty": ("programme", "risk-based approach"),
+    "exposure-political": ("exposure", "exposure (EU)"),
+    "geography-countermeasures": ("higher risk",),
+    "geography-monitoring": ("higher risk",),
+    "layering-pass-through": ("no purpose", "monitoring"),
+    "velocity-count": ("no purpose", "monitoring"),
+    "behaviour-deviation": ("no purpose", "monitoring", "monitoring (EU)", "monitoring (UK)", "monitoring (Wolfsberg)"),
+    "dormancy-reactivation": ("no purpose", "monitoring", "monitoring (EU)", "monitoring (UK)"),
+    "concentration-counterparties": ("no purpose", "monitoring"),
+    "concentration-device": ("no purpose", "monitoring (Wolfsberg)"),
+    "round-amounts": ("no purpose",),
+}
+
+
+def typologies(rules=LIBRARY) -> list[str]:
+    """The distinct typologies of rules, in their order."""
+    return list(dict.fromkeys(r.typology for r in rules))
+
+
+def obligations(spark, rules=LIBRARY) -> DataFrame:
+    """The distinct requirements that rules serve, in their order (place), with the rules of each."""
+    held: dict[tuple, list[str]] = {}
+    for r in rules:
+        for name in SERVES.get(r.id, ()):
+            held.setdefault(REQUIREMENTS[name], []).append(r.id)
+    return spark.createDataFrame([(i, *k, v) for i, (k, v) in enumerate(held.items())], "place int, authority string, document string, locator string, rules array<string>")
+
+
+#: Requirements that nothing here meets: authority, document, place, why, and what it would take. The citations are fixed values.
+GAPS = (
+    ("FATF", _FATF, "Recommendation 20; INR.20 paragraph 3", "drafts are made, but no report is approved or sent, and attempts that never became transactions aren't seen", "a workflow of reports, and a feed of attempts"),
+    ("FinCEN", "31 CFR 1020.320", "§ 1020.320(a)(2)", "an alert has a rule and a score, not one of the bases of suspicion", "a finding on each case, and its transactions added up against the threshold"),
+    ("FinCEN", "31 CFR 1020.320", "§ 1020.320(b)(3)", "cases have deadlines by severity, not by the day of detection", "that day on the case, and a clock that begins with it"),
+    ("FATF", _FATF, "Recommendation 21, (a)-(b)", "tables know no confidential columns", "a mark on cases, and readers told apart by role"),
+    ("FATF", _FATF, "Recommendation 13, measures (a)-(e)", "a transaction has one customer, not the customer of a respondent bank", "relationships between institutions in the data"),
+    ("FATF", _FATF, "Recommendation 10, measures (a)-(d)", "customers come as they are; nobody is identified here", "the part of a system for taking on customers"),
+)
+
+
+def gaps(spark) -> DataFrame:
+    return spark.createDataFrame(list(GAPS), "authority string, document string, locator string, why string, needs string")
+
+
+def declared(changes: DataFrame) -> DataFrame:
+    """Lists that were declared, each as it was first: changes: op (declare), org_id, list, class, who, why, at. A list has a name, a class and a decider."""
+    ok = changes.where("op = 'declare' and trim(coalesce(list, '')) != '' and trim(coalesce(class, '')) != '' and trim(coalesce(who, '')) != ''")
+    return ok.groupBy("org_id", "list").agg(F.min_by(F.struct("class", "who", "why", "at"), "at").alias("x")).select("org_id", "list", "x.*")
+
+
+def escalate_stale(found: DataFrame, now_us: Column) -> DataFrame:
+    """The change of status that each breached or stale case gets: events for cases(). found: records.due() with org_id and case_id."""
+    some = found.where("(breached or stale) and status in ('open', 'in_review')")
+    why = F.when(F.col("breached"), "deadline passed").otherwise("left alone")
+    return some.select("org_id", "case_id", F.lit("status_change").alias("kind"), F.lit("escalated").alias("body"), F.concat(F.lit("escalation: "), why).alias("author"), now_us.alias("at_us"))

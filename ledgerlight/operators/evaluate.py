@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import math
@@ -236,6 +237,41 @@ def replay_policy(recorded: DataFrame, calibration: Calibration, policy: Policy)
     return out.withColumns({"tightened": will > was, "loosened": will < was})
 
 
+def score_at(calibration: Calibration, probability: float) -> float:
+    """The least score from 0 to 1 whose probability reaches this one, to six places; above 1 if none does. Found by halving, so for any rising map."""
+
+    def p(score: float) -> float:
+        if calibration.method == "platt":
+            return 1 / (1 + math.exp(max(-500.0, min(500.0, calibration.a * score + calibration.b))))
+        x, y = zip(*calibration.knots)
+        i = bisect.bisect_left(x, score)
+        if i == 0 or i == len(x):
+            return y[min(i, len(x) - 1)]
+        return y[i - 1] + (score - x[i - 1]) / (x[i] - x[i - 1]) * (y[i] - y[i - 1])
+
+    if p(1.0) < probability:
+        return 1.0000001
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (low, middle) if p(middle) >= probability else (middle, high)
+    return round(high, 6)
+
+
+def policy_report(recorded: DataFrame, calibration: Calibration, policy: Policy) -> DataFrame:
+    """One row: rows, changed, tightened and loosened by the policy, the share of judged ones that come from the sample below the line (explore), and the metrics at the score where the policy begins to act.
+
+    recorded: id, score, action, disposition, and optionally weight and source (sample for those below the line).
+    """
+    told = replay_policy(recorded, calibration, policy)
+    known = F.col("disposition").isin("productive", "unproductive")
+    sampled = F.col("source") == "sample" if "source" in recorded.columns else F.lit(False)
+    counts = told.agg(F.count("*").alias("rows"), F.count_if(F.col("would") != F.col("action")).alias("changed"), F.count_if("tightened").alias("tightened"), F.count_if("loosened").alias("loosened"), round6(F.try_divide(F.count_if(known & sampled), F.count_if(known))).alias("explore"))
+    at = score_at(calibration, policy.rungs[0][0])
+    measured = metrics(recorded, at, calibration.column(F.col("score"), calibration.shape))
+    return counts.withColumn("at", F.lit(at)).crossJoin(measured)  # one row each
+
+
 def tally(replayed: DataFrame) -> DataFrame:
     """Rows per action, as it was and as it would be."""
     each = replayed.select(F.explode(F.array(F.struct(F.col("action").alias("action"), F.lit(1).alias("was"), F.lit(0).alias("would")), F.struct(F.col("would").alias("action"), F.lit(0).alias("was"), F.lit(1).alias("would")))).alias("x"))

@@ -61,6 +61,15 @@ def chain_risk(tx: DataFrame, risks: DataFrame, address: str = "address") -> Dat
     return out.withColumns({"high_risk": high_risk(F.col("risk"), F.col("category")), "blocked": F.coalesce(F.col("category") == "sanctions", F.lit(False))})
 
 
+def transfer_risk(tx: DataFrame, risks: DataFrame, key: str = "tx_hash") -> DataFrame:
+    """tx with the risk of its transfer: the highest of what is known of it (risks: key, risk, category), and high_risk and blocked as for addresses."""
+    k = F.lower(F.trim(F.col(key)))
+    r = risks.groupBy(F.lower(F.trim(key)).alias("_k")).agg(F.max("risk").alias("risk"), F.array_sort(F.collect_set("category")).alias("categories"))
+    out = tx.join(r, k == F.col("_k"), "left").drop("_k")
+    bad = F.coalesce(F.arrays_overlap("categories", F.array(*map(F.lit, BAD))), F.lit(False))
+    return out.withColumns({"high_risk": F.coalesce(F.col("risk") >= HIGH_RISK, F.lit(False)) | bad, "blocked": F.coalesce(F.array_contains("categories", "sanctions"), F.lit(False))})
+
+
 #: The least high risk, and categories that are high whatever the risk.
 HIGH_RISK, BAD = 0.7, ("mixer", "darknet", "sanctions", "scam", "ransomware", "stolen_funds")
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.dates import overlap
@@ -143,6 +143,12 @@ def screen(queries: DataFrame, entries: DataFrame, threshold: float = THRESHOLD)
     return kept.select("query_id", "list", "ref_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "raw")).alias("score"), "agree", "conflict")
 
 
+def hits(found: DataFrame) -> DataFrame:
+    """The best match of each query of screen(): the highest score, then the least list and reference."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "list", "ref_id")
+    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def hit_names(names: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The distinct names that match an entry, for Providers.screened."""
     once = names.select("name").where("name != ''").distinct().withColumn("query_id", F.col("name"))

@@ -1,7 +1,8 @@
 """The rule language: text to tree, and tree to a pair of columns, value and error.
 
-Expressions are literals, fields (Tx.usd, Entity.name), lists, calls, arithmetic, comparison, boolean logic, membership
-and string tests, and the ternary. Errors are values: a rule that cannot be evaluated for a row yields an error there,
+Expressions are literals, fields (Tx.usd, Entity.name, Entity?.name), lists, ranges of whole numbers (1..5), calls, arithmetic,
+comparison, boolean logic, membership and string tests, the ternary, a default for nothing (??), named parts (let x = ...;
+...), pipes (x | f(y) is f(x, y)), and any, all, none, one and count of a list or range with a test of its items (#). Errors are values: a rule that cannot be evaluated for a row yields an error there,
 never an exception. As `&&` and `||` don't look at their right side when the left one decides, neither does its error.
 """
 
@@ -15,9 +16,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LONGEST_RULE = 2048
-_TOKEN = re.compile(r"""\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?)|("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|([A-Za-z_][A-Za-z_0-9]*)|(\*\*|==|!=|<=|>=|&&|\|\||\?\?|[-+*/%<>!()\[\],.?:^]))""")
+_TOKEN = re.compile(r"""\s*(?:(\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|([A-Za-z_][A-Za-z_0-9]*)|(\*\*|==|!=|<=|>=|&&|\|\||\?\?|\?\.|\.\.|[-+*/%<>!()\[\]{},.?:^|;=#]))""")
 _WORDS = {"and": "&&", "or": "||", "not": "!"}
-_TIGHT = {"?": 1, "||": 2, "&&": 3, "==": 4, "!=": 4, "<": 4, "<=": 4, ">": 4, ">=": 4, "in": 4, "contains": 4, "startsWith": 4, "endsWith": 4, "matches": 4, "+": 5, "-": 5, "*": 6, "/": 6, "%": 6, "**": 8, "^": 8}
+_TIGHT = {"|": 1, "..": 4.5, "??": 9, "?": 1, "||": 2, "&&": 3, "==": 4, "!=": 4, "<": 4, "<=": 4, ">": 4, ">=": 4, "in": 4, "contains": 4, "startsWith": 4, "endsWith": 4, "matches": 4, "+": 5, "-": 5, "*": 6, "/": 6, "%": 6, "**": 8, "^": 8}
 
 
 class RuleError(ValueError):
@@ -41,15 +42,27 @@ def parse(text: str) -> Node:
             raise RuleError(f"unexpected {text[at:].strip()[:10]!r}")
         kind = ("number", "text", "name", "sign")[m.lastindex - 1]
         word = m[m.lastindex]
-        tokens.append(("sign", _WORDS[word]) if word in _WORDS else (kind, word))
+        tokens.append(("sign", _WORDS[word]) if word in _WORDS else ("sign", ".") if word == "?." else (kind, word))
         at = m.end()
+    while tokens[:1] == [("name", "let")]:
+        tokens = _let(tokens[1:])
     tree, rest = _binary(tokens, 0)
     if rest:
         raise RuleError(f"unexpected {rest[0][1]!r}")
     return tree
 
 
-def _binary(tokens: list, least: int) -> tuple[Node, list]:
+def _let(tokens: list) -> list:
+    """The tokens after a named part, with its tree in the place of its name."""
+    if len(tokens) < 2 or tokens[0][0] != "name" or tokens[0][1] in ("Tx", "Entity", "let"):
+        raise RuleError("let takes a name")
+    name, (tree, rest) = tokens[0][1], _binary(_expect(tokens[1:], "="), 1)
+    rest = _expect(rest, ";")
+    alone = lambda i: rest[i - 1 : i] != [("sign", ".")] and rest[i + 1 : i + 2] != [("sign", "(")]
+    return [("tree", tree) if t == ("name", name) and alone(i) else t for i, t in enumerate(rest)]
+
+
+def _binary(tokens: list, least: float) -> tuple[Node, list]:
     left, tokens = _unary(tokens)
     while tokens:
         sign = tokens[0][1]
@@ -63,8 +76,13 @@ def _binary(tokens: list, least: int) -> tuple[Node, list]:
             yes, tokens = _binary(tokens[1:], 1)
             no, tokens = _binary(_expect(tokens, ":"), 1)
             left = Node("choice", None, (left, yes, no))
+        elif sign == "|":
+            call, tokens = _unary(tokens[1:])
+            if call.kind != "call":
+                raise RuleError("| takes a call")
+            left = Node("call", call.value, (left, *call.parts))
         else:
-            right, tokens = _binary(tokens[1:], tight + (sign not in ("**", "^")))
+            right, tokens = _binary(tokens[1:], tight + (0.25 if sign not in ("**", "^") else 0))
             left = Node("binary", sign, (left, right))
             if negated:
                 left = Node("unary", "!", (left,))
@@ -81,6 +99,13 @@ def _unary(tokens: list) -> tuple[Node, list]:
     if not tokens:
         raise RuleError("the rule ends too early")
     (kind, word), rest = tokens[0], tokens[1:]
+    if kind == "tree":
+        return word, rest
+    if (kind, word) == ("sign", "#"):
+        return Node("item"), rest
+    if (kind, word) == ("sign", "{"):
+        inner, rest = _binary(rest, 1)
+        return inner, _expect(rest, "}")
     if kind == "sign" and word in "!-+":
         inner, rest = _binary(rest, 7)
         return Node("unary", word, (inner,)), rest
@@ -122,6 +147,44 @@ def _several(tokens: list, end: str) -> tuple[tuple, list]:
     return tuple(parts), _expect(tokens, end)
 
 
+#: Whole numbers in a range at most.
+LONGEST_RANGE = 1000
+_TESTS = ("any", "all", "none", "one", "count")
+
+
+def _put(node: Node, item: Node) -> Node:
+    """node with item in the place of #; tests within it have items of their own."""
+    if node.kind == "item":
+        return item
+    if node.kind == "call" and node.value in _TESTS and len(node.parts) == 2:
+        return Node(node.kind, node.value, (_put(node.parts[0], item), node.parts[1]))
+    return Node(node.kind, node.value, tuple(_put(p, item) for p in node.parts))
+
+
+def _whole(node: Node) -> int | None:
+    """The value of a constant whole number, sums and products of some included."""
+    if node.kind == "number":
+        return node.value if isinstance(node.value, int) else None
+    parts = [_whole(p) for p in node.parts] if node.kind in ("unary", "binary") else [None]
+    if None in parts or node.value not in ("+", "-", "*"):
+        return None
+    if node.kind == "unary":
+        return -parts[0] if node.value == "-" else parts[0]
+    return {"+": parts[0] + parts[1], "-": parts[0] - parts[1], "*": parts[0] * parts[1]}[node.value]
+
+
+def _listed(node: Node) -> tuple | None:
+    """The items of a list or range, as nodes."""
+    if node.kind == "list":
+        return node.parts
+    if node.kind == "binary" and node.value == "..":
+        low, high = map(_whole, node.parts)
+        if low is None or high is None or high - low >= LONGEST_RANGE:
+            raise RuleError(f"a range has whole numbers at both ends, {LONGEST_RANGE} of them at most")
+        return tuple(Node("number", i) for i in range(low, high + 1))
+    return None
+
+
 def walk(node: Node):
     yield node
     for part in node.parts:
@@ -198,8 +261,34 @@ class Compiler:
         side = F.when(test.column, yes.error if yes.error is not None else none).otherwise(no.error if no.error is not None else none)
         return Value(F.when(test.column, yes.column).otherwise(no.column), yes.kind, _first(test.error, side if yes.error is not None or no.error is not None else None))
 
+    def _item(self, node: Node) -> Value:
+        raise RuleError("# stands for an item of a list")
+
+    def _test(self, node: Node) -> Value:
+        """any, all, none, one or count of the items that a test holds for."""
+        items = _listed(node.parts[0])
+        if items is None:
+            raise RuleError(f"{node.value} takes a list or a range")
+        found = [self.compile(_put(node.parts[1], item)) for item in items]
+        for f in found:
+            self._need(f, "flag", node.value)
+        error, n = _first(*(f.error for f in found)), F.lit(0)
+        for f in found:
+            n = n + F.coalesce(f.column, F.lit(False)).cast("int")
+        if node.value == "count":
+            return Value(n, "number", error)
+        return Value({"any": n > 0, "all": n == len(found), "none": n == 0, "one": n == 1}[node.value], "flag", error)
+
     def _binary(self, node: Node) -> Value:
+        if node.value == "..":
+            return self._list(Node("list", None, _listed(node)))
         sign, (a, b) = node.value, map(self.compile, node.parts)
+        if sign == "??":
+            if a.kind == "nothing":
+                return b
+            if b.kind not in (a.kind, "nothing"):
+                raise RuleError("both sides of ?? have one kind")
+            return Value(F.coalesce(a.column, b.column), a.kind, _first(a.error, F.when(a.column.isNull(), b.error) if b.error is not None else None))
         if sign in ("&&", "||"):
             self._need(a, "flag", sign)
             self._need(b, "flag", sign)
@@ -239,6 +328,8 @@ class Compiler:
         return Value({"+": x + y, "-": x - y, "*": x * y, "**": F.pow(x, y), "^": F.pow(x, y)}[sign], "number", error)
 
     def _call(self, node: Node) -> Value:
+        if node.value in _TESTS and len(node.parts) == 2:
+            return self._test(node)
         args = [self.compile(p) for p in node.parts]
         if node.value in self.terms:
             return self.terms[node.value](list(node.parts), args)

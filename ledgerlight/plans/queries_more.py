@@ -564,6 +564,50 @@ def trials_ranked(spark, sf_dir):
     return placed
 
 
+def _obligations_sql() -> str:
+    """What each rule serves, spelled out, grouped in the order of the rules."""
+    rows = ", ".join("(" + ", ".join([str(i), f"'{r.id}'", *("'" + x.replace("'", "''") + "'" for x in catalog.REQUIREMENTS[name])]) + ")" for i, (r, name) in enumerate((r, n) for r in LIBRARY for n in catalog.SERVES[r.id]))
+    return f"""WITH s(i, rule, authority, document, locator) AS (VALUES {rows}), g AS (SELECT authority, document, locator, min(i) AS i, string_agg(rule, ',' ORDER BY i) AS rules FROM s GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY i) - 1 AS place, authority, document, locator, rules FROM g"""
+
+
+@_registered(_obligations_sql())
+def coverage_obligations(spark, sf_dir):
+    return catalog.obligations(spark).select(F.col("place").cast("long").alias("place"), "authority", "document", "locator", F.array_join("rules", ",").alias("rules"))
+
+
+@_registered(f"""WITH {TX_SQL}, c AS (SELECT tx_id, us, event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 24 ELSE 72 END * CAST(3600000000 AS BIGINT) AS sla FROM tx WHERE usd > 20000),
+d AS (SELECT tx_id, us + sla <= 1706400000000000 AS breached, us < 1706400000000000 - CAST(2592000000000 AS BIGINT) AS stale FROM c WHERE event_id % 7 <> 0)
+SELECT tx_id AS case_id, 'escalated' AS body, 'escalation: ' || CASE WHEN breached THEN 'deadline passed' ELSE 'left alone' END AS author FROM d WHERE breached OR stale""")
+def cases_escalated(spark, sf_dir):
+    """Open cases past their deadline, or left alone, are escalated."""
+    now = F.lit(1706400000000000)
+    k = F.col("tx_id").cast("long")
+    severity = F.element_at(F.array(*map(F.lit, ("critical", "high", "medium", "low"))), (k % 4 + 1).cast("int"))
+    cases = transactions(spark, sf_dir).where("usd > 20000").select("org_id", F.col("tx_id").alias("case_id"), severity.alias("severity"), F.when(k % 7 == 0, "closed").otherwise("open").alias("status"), F.col("us").alias("opened_us"), F.col("us").alias("updated_us"))
+    return catalog.escalate_stale(records.due(cases, now), now).select("case_id", "body", "author")
+
+
+@_registered(f"""WITH r AS (SELECT round(least(n_chars, 5000) / 5000.0, 3) AS s, toxic, doc_id FROM documents LEFT JOIN labels USING (doc_id)), a AS (SELECT *, CASE WHEN s > 0.8 THEN 2 ELSE 0 END AS was, CASE WHEN s >= 0.9 THEN 4 WHEN s >= 0.6 THEN 2 WHEN s >= 0.3 THEN 1 ELSE 0 END AS would FROM r),
+{OBS_SQL}, c AS (SELECT count(*) FILTER (score >= 0.3 AND productive) AS tp, count(*) FILTER (score >= 0.3 AND NOT productive) AS fp FROM obs)
+SELECT count(*) AS rows, count(*) FILTER (was <> would) AS changed, count(*) FILTER (would > was) AS tightened, count(*) FILTER (would < was) AS loosened, round(count(*) FILTER (toxic IS NOT NULL AND doc_id % 5 = 0) / count(toxic), 6) AS explore, 0.3 AS at,
+  any_value(round(tp / (tp + fp), 6)) AS precision, (SELECT round(avg(power(score - CASE WHEN productive THEN 1 ELSE 0 END, 2)), 6) FROM obs) AS brier FROM a, c""".replace(" AS at,", ' AS "at",').replace(" AS rows,", ' AS "rows",'))
+def policy_reported(spark, sf_dir):
+    """What a policy changes, and how it does where it begins to act."""
+    obs = observations(spark, sf_dir).withColumns({"action": F.when(F.col("score") > 0.8, "review").otherwise("allow"), "source": F.when(F.col("id").cast("long") % 5 == 0, "sample").otherwise("alert")})
+    flat = evaluate.Calibration("isotonic", "identity", ((0.0, 0.0), (1.0, 1.0)))
+    found = evaluate.policy_report(obs, flat, evaluate.Policy(((0.3, "flag"), (0.6, "review"), (0.9, "block"))))
+    return found.select("rows", "changed", "tightened", "loosened", "explore", "at", "precision", "brier")
+
+
+@_registered(f"SELECT query_id, arg_max(ref_id, (score, -CAST(ref_id AS BIGINT))) AS ref_id, max(score) AS score FROM ({SCREEN_SQL}) GROUP BY query_id")
+def screen_hits(spark, sf_dir):
+    """The best match of each name."""
+    q = _people(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "name", F.concat(F.lit("nation_"), (F.col("doc_id") % 2).cast("string")).alias("nationality"))
+    listed = sanctions_entries(spark, sf_dir).withColumn("ref_id", F.lpad("ref_id", 9, "0"))
+    return screening.hits(screening.screen(q, listed)).select("query_id", F.col("ref_id").cast("long").cast("string").alias("ref_id"), F.round("score", 6).alias("score"))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 

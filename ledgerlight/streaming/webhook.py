@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from ledgerlight.functions.crypto import sign, valid_webhook
 
@@ -26,13 +26,16 @@ def deliver(body: dict, secret: str, send: Callable[[bytes, dict], int], tries:
 
 
 def sink(url: str, secret: str, send: Callable[[bytes, dict], int], event: str = "alert") -> Callable[[DataFrame, int], None]:
-    """Rows go out one by one as they come; the driver holds one at a time."""
+    """Rows go out from the tasks that hold them, one after another; send is carried there. A row that isn't accepted fails its task, which Spark tries again."""
     if not valid_webhook(url):
         raise ValueError("not a public https address")
 
     def step(batch: DataFrame, number: int) -> None:
-        for row in batch.toLocalIterator():
-            if not deliver({"event": event, "batch": number, "data": row.asDict(True)}, secret, send):
-                raise OSError(f"{url} accepts nothing; the batch will be run again")
+        def hand_on(rows: Iterator[Row]) -> None:
+            for row in rows:
+                if not deliver({"event": event, "batch": number, "data": row.asDict(True)}, secret, send):
+                    raise OSError(f"{url} accepts nothing; the batch will be run again")
+
+        batch.foreachPartition(hand_on)
 
     return step

@@ -156,3 +156,39 @@ def test_windows_share_their_shuffle(spark):
     rs = RuleSet([Rule(f"r{i}", f'Sum("user", "{i}h") > {i}') for i in range(1, 6)])
     plan = rs.evaluate(tx(spark, [(0, 5.0)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_language_forms(spark):
+    """Named parts, defaults, ranges, pipes and tests of lists."""
+    rows = [(0, 50.0), (1, 150.0, {"currency": "EUR"}), (2, 3.0, {"symbol": "BUY"})]
+    cases = {
+        "let limit = 100; USD() > limit": ["t001"],
+        "let a = USD(); let b = a * 2; b > 90 && b < 110": ["t000"],
+        "Tx.usd in 1..5": ["t002"],
+        "Tx.usd in 1..2 + 1": ["t002"],
+        'Tx.currency | lower() == "eur"': ["t001"],
+        '(nil ?? "EUR") == Tx.currency': ["t001"],
+        'any(["EUR", "GBP"], # == Tx.currency)': ["t001"],
+        'none(["EUR", "GBP"], {# == Tx.currency})': ["t000", "t002"],
+        "all(1..3, # < Tx.usd)": ["t000", "t001"],
+        "one([100, 200], # < Tx.usd)": ["t001"],
+        "count(1..5, # < Tx.usd) == 2": ["t002"],
+        "any([1, 2], any([3], # == Tx.usd))": ["t002"],
+        'Tx?.symbol == "BUY"': ["t002"],
+        "ceil(Tx.usd / 100) == 2 && floor(Tx.usd / 100) == 1": ["t001"],
+    }
+    for dsl, wanted in cases.items():
+        assert fired(spark, dsl, rows) == wanted, dsl
+    for broken in ("let = 3; true", "let x = 3 x > 2", "# > 2", "1..2.5 == 3", "any(Tx.usd, # > 1)", "Tx.usd | 3", "Tx.usd in 1..5000", "count([1], #) == 1", '(3 ?? "a") == 3'):
+        with pytest.raises(RuleError):
+            RuleSet([Rule("r", broken)])
+
+
+def test_scorer_is_contained(spark):
+    from ledgerlight.plans.engine import with_scorer
+
+    rows = tx(spark, [(0, 50.0), (1, 150.0)])
+    decided = RuleSet([Rule("r", "USD() > 100", "high", 0.4, "report")]).evaluate(rows)
+    said = spark.createDataFrame([("o", "t000", "m", "medium", 0.3, "block"), ("o", "t001", "m", "medium", -0.3, "block"), ("o", "t009", "m", "medium", 0.3, "block")], "org_id string, tx_id string, rule_id string, severity string, weight double, action string")
+    got = {r["tx_id"]: (r["action"], round(r["score"], 6), len(r["hits"])) for r in with_scorer(decided, said).collect()}
+    assert got == {"t000": ("review", 0.3, 1), "t001": ("report", 0.6, 1)}
