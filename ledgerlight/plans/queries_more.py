@@ -338,7 +338,7 @@ def models_adopted(spark, sf_dir):
 
 
 @_registered(f"""WITH {TX_SQL}, j AS (SELECT tx_id, usd, event_id % 5 AS k FROM tx), s AS (SELECT *, CASE WHEN usd >= 20000 THEN 0.3 ELSE 0 END AS own, CASE k WHEN 0 THEN 0.2 WHEN 4 THEN 0.5 ELSE 0 END AS said FROM j)
-SELECT tx_id, CAST((own > 0)::INT + (said > 0)::INT AS BIGINT) AS n_hits, round(least(1, own * 1.5 + said), 6) AS score, CASE WHEN own > 0 THEN 'report' WHEN said > 0 THEN 'review' ELSE 'allow' END AS action FROM s""")
+SELECT tx_id, CAST((own > 0)::INT + (said > 0)::INT AS BIGINT) AS n_hits, CAST(round(least(1, own * 1.5 + said), 6) AS DOUBLE) AS score, CASE WHEN own > 0 THEN 'report' WHEN said > 0 THEN 'review' ELSE 'allow' END AS action FROM s""")
 def scorer_contained(spark, sf_dir):
     """A scorer that asks for blocks, and gives negative, missing or infinite weights at times."""
     tx = transactions(spark, sf_dir)
@@ -590,7 +590,7 @@ def cases_escalated(spark, sf_dir):
 
 @_registered(f"""WITH r AS (SELECT round(least(n_chars, 5000) / 5000.0, 3) AS s, toxic, doc_id FROM documents LEFT JOIN labels USING (doc_id)), a AS (SELECT *, CASE WHEN s > 0.8 THEN 2 ELSE 0 END AS was, CASE WHEN s >= 0.9 THEN 4 WHEN s >= 0.6 THEN 2 WHEN s >= 0.3 THEN 1 ELSE 0 END AS would FROM r),
 {OBS_SQL}, c AS (SELECT count(*) FILTER (score >= 0.3 AND productive) AS tp, count(*) FILTER (score >= 0.3 AND NOT productive) AS fp FROM obs)
-SELECT count(*) AS rows, count(*) FILTER (was <> would) AS changed, count(*) FILTER (would > was) AS tightened, count(*) FILTER (would < was) AS loosened, round(count(*) FILTER (toxic IS NOT NULL AND doc_id % 5 = 0) / count(toxic), 6) AS explore, 0.3 AS at,
+SELECT count(*) AS rows, count(*) FILTER (was <> would) AS changed, count(*) FILTER (would > was) AS tightened, count(*) FILTER (would < was) AS loosened, round(count(*) FILTER (toxic IS NOT NULL AND doc_id % 5 = 0) / count(toxic), 6) AS explore, CAST(0.3 AS DOUBLE) AS at,
   any_value(round(tp / (tp + fp), 6)) AS precision, (SELECT round(avg(power(score - CASE WHEN productive THEN 1 ELSE 0 END, 2)), 6) FROM obs) AS brier FROM a, c""".replace(" AS at,", ' AS "at",').replace(" AS rows,", ' AS "rows",'))
 def policy_reported(spark, sf_dir):
     """What a policy changes, and how it does where it begins to act."""
