@@ -31,19 +31,13 @@ def deviation(value: Column, baseline: Column) -> Column:
 def observe(tx: DataFrame, key: Column, name: str = "key", threshold: float = THRESHOLD, band: float = BAND, windows=WINDOWS, usd: str = "usd") -> DataFrame:
     """For each key and window: count, sum, near, near_sum and days of the buckets that end with the key's newest one."""
     near = is_near(F.col(usd), threshold, band)
-    outs = []
-    for window, span, buckets in windows:
-        step = span // buckets
-        b = F.floor(F.col("us") / step).cast("long")
-        base = tx.where(~blank(key)).select("org_id", key.alias(name), b.alias("b"), F.floor(F.col("us") / DAY_US).alias("d"), F.col(usd).alias("usd"), near.alias("near"))
-        per = base.groupBy("org_id", name, "b").agg(F.count("*").alias("n"), F.sum("usd").alias("s"), F.count_if("near").alias("near"), F.sum(F.when(F.col("near"), F.col("usd")).otherwise(0.0)).alias("near_sum"), F.collect_set("d").alias("ds"))
-        lead = per.groupBy("org_id", name).agg(F.max("b").alias("lead"))
-        held = per.join(lead, ["org_id", name]).where(F.col("b") > F.col("lead") - buckets)
-        outs.append(held.groupBy("org_id", name).agg(F.sum("n").alias("count"), F.sum("s").alias("sum"), F.sum("near").alias("near"), F.sum("near_sum").alias("near_sum"), F.size(F.array_distinct(F.flatten(F.collect_list("ds")))).alias("days")).withColumn("window", F.lit(window)))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    each = F.explode(F.array(*(F.struct(F.lit(window).alias("window"), F.lit(buckets).alias("buckets"), F.floor(F.col("us") / (span // buckets)).cast("long").alias("b")) for window, span, buckets in windows)))
+    base = tx.where(~blank(key)).select("org_id", key.alias(name), F.floor(F.col("us") / DAY_US).alias("d"), F.col(usd).alias("usd"), near.alias("near"), each.alias("w")).select("*", "w.*")
+    # one scan and one partly aggregated shuffle for all windows, and one more for the buckets of each key and window
+    per = base.groupBy("org_id", name, "window", "buckets", "b").agg(F.count("*").alias("n"), F.sum("usd").alias("s"), F.count_if("near").alias("near"), F.sum(F.when(F.col("near"), F.col("usd")).otherwise(0.0)).alias("near_sum"), F.collect_set("d").alias("ds"))
+    lead = F.max("b").over(Window.partitionBy("org_id", name, "window"))
+    held = per.withColumn("lead", lead).where(F.col("b") > F.col("lead") - F.col("buckets"))
+    return held.groupBy("org_id", name, "window").agg(F.sum("n").alias("count"), F.sum("s").alias("sum"), F.sum("near").alias("near"), F.sum("near_sum").alias("near_sum"), F.size(F.array_distinct(F.flatten(F.collect_list("ds")))).alias("days"))
 
 
 def structuring(observations: DataFrame, least: int, threshold: float = THRESHOLD) -> DataFrame:

@@ -432,7 +432,7 @@ def relationships_closed(spark, sf_dir):
     return records.close_relationships(_retained(spark, sf_dir).drop("ended"), closed).select("id", F.col("start").cast("string").alias("start"))
 
 
-@_registered("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN greatest(coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 2500 END, 0), 3000 + o_orderkey % 2) WHEN o_orderkey % 4 = 0 THEN 2500 END AS extended_days, 0 AS overdue, 0 AS orphans FROM orders""")
+@_registered("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN greatest(coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 2500 END, 0), 3000 + o_orderkey % 2) WHEN o_orderkey % 4 = 0 THEN 2500 END::INT AS extended_days, CAST(0 AS BIGINT) AS overdue, CAST(0 AS BIGINT) AS orphans FROM orders""")
 def retention_extended(spark, sf_dir):
     """Extensions, of which the longest with a reason counts, and the proof of a disposal."""
     r = _retained(spark, sf_dir)
