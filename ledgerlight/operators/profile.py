@@ -37,10 +37,14 @@ def bucket(org: pd.Series, field: pd.Series, value: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else fnv1a(f"{o}\0{f}\0{v}".encode()) % SKETCH_BITS for o, f, v in zip(org, field, value)], dtype="Int32")
 
 
-def long_form(df: DataFrame, texts: list[str], numbers: list[str]) -> DataFrame:
-    """org_id, us, field, value (null where blank) and number of every declared field, in one pass."""
+def long_form(df: DataFrame, texts: list[str], numbers: list[str], zeros: bool = False) -> DataFrame:
+    """org_id, us, field, value (null where blank) and number of every declared field, in one pass.
+
+    A number of zero is blank, as where a missing one is read as zero. With zeros it is a value: in tables, what is missing is null.
+    """
+    told = lambda c: F.col(c).isNotNull() if zeros else F.col(c) != 0
     cells = [F.struct(F.lit(c).alias("field"), F.when(F.col(c) != "", F.col(c)).alias("value"), F.lit(None).cast("double").alias("number")) for c in texts]
-    cells += [F.struct(F.lit(c).alias("field"), F.when(F.col(c) != 0, F.col(c).cast("string")).alias("value"), F.when(F.col(c) != 0, F.col(c).cast("double")).alias("number")) for c in numbers]
+    cells += [F.struct(F.lit(c).alias("field"), F.when(told(c), F.col(c).cast("string")).alias("value"), F.when(told(c), F.col(c).cast("double")).alias("number")) for c in numbers]
     return df.select("org_id", "us", F.explode(F.array(*cells)).alias("c")).select("org_id", "us", "c.*")
 
 

@@ -486,7 +486,7 @@ def field_profile_streamed(spark, sf_dir):
 
     path = tables.workspace(spark, "profile")
     step = monitor.profile_on_batches(path, lambda df: df)
-    cells = _cells(spark, sf_dir)
+    cells = _cells(spark, sf_dir, zeros=True)
     for n in (0, 1, 2, 1):
         step(cells.where(F.pmod(F.floor(F.col("us") / 1000), F.lit(3)) == n), n)
     found = monitor.published_profile(spark, path)
