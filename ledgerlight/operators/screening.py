@@ -2,14 +2,14 @@
 
 Names are compared in two steps that lose nothing. Every identifying part of the shorter name must have a partner of at
 least 0.80, so a name can only match an entry with which it shares such a pair of parts, or whose folded form equals its
-own. The list's vocabulary and names go to the tasks in blocks of a fixed size; queries are read in place and never
-shuffled. A longer list takes more passes, not more memory.
+own. The list's vocabulary and names go to the tasks in blocks of a fixed size; a name that many queries have is searched
+once. A longer list takes more passes, not more memory.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.dates import overlap
-from ledgerlight.functions.names import PART_FLOOR, fold, folded_similarity, identifies, similar
+from ledgerlight.functions.names import FRAGMENT, PART_FLOOR, fold, identifies, jaro_many
 
 #: The least score of a match, and what weak names, agreement and conflict change.
 THRESHOLD, WEAK, CONFLICT, AGREES = 0.85, 0.12, 0.30, 0.05
@@ -26,110 +26,196 @@ THRESHOLD, WEAK, CONFLICT, AGREES = 0.85, 0.12, 0.30, 0.05
 BLOCK_NAMES = 100_000
 
 
-class NameIndex:
-    """A block of list names, by part. Names: (entry, position, full, script)."""
+class ListIndex:
+    """A block of distinct lists of names: for each list, its names as (full, script, strong), in order.
 
-    def __init__(self, names: list[tuple]):
-        self.forms: list[tuple[int, str]] = []
-        self.names = names
-        self.by_part: dict[str, set[int]] = defaultdict(set)
-        self.by_fold: dict[str, set[int]] = defaultdict(set)
-        for i, (_, _, full, script) in enumerate(names):
-            for text in (full, script):
-                f = fold(text)
-                if f:
-                    self.by_fold[f].add(len(self.forms))
-                    for part in set(f.split()):
-                        self.by_part[part].add(len(self.forms))
-                    self.forms.append((i, f))
-        self.parts = sorted(self.by_part)
-        self.counts = np.array([self._letters(p) for p in self.parts], np.int16).reshape(len(self.parts), -1)
-        self.sizes = np.array([len(p) for p in self.parts], float)
-        self.near: dict[str, list[int]] = {}
+    Everything is worked out for distinct words first: a form scores only if words of 0.80 or more meet, so the similar words
+    of a query's words are all that its score is made of.
+    """
+
+    def __init__(self, lists: list[list[tuple]], octets: bool = False):
+        self.octets = octets
+        at: dict[str, int] = {}
+        held = [(at.setdefault(f, len(at)), k, i, bool(strong)) for k, names in enumerate(lists) for i, (full, script, strong) in enumerate(names) if full for f in dict.fromkeys((fold(full), fold(script))) if f]
+        held.sort()
+        self.at, self.holders = at, np.array([h[1:] for h in held], np.int64).reshape(-1, 3)
+        self.holders_from = np.searchsorted(np.array([h[0] for h in held], np.int64), np.arange(len(at) + 1))
+        split = [f.split() for f in at]
+        self.words = sorted({w for f in split for w in f})
+        place = {w: i for i, w in enumerate(self.words)}
+        self.n_words = np.array([len(f) for f in split], np.int64)
+        # a form's words, filled up with one that is similar to nothing
+        self.form_words = np.full((len(split), max(map(len, split), default=1)), len(self.words))
+        for i, f in enumerate(split):
+            self.form_words[i, : len(f)] = [place[w] for w in f]
+        self.identifies = np.array([*map(identifies, self.words), False])
+        pairs = sorted({(place[w], i) for i, f in enumerate(split) for w in f})
+        self.forms_of = np.array([i for _, i in pairs], np.int64)
+        self.forms_from = np.searchsorted(np.array([w for w, _ in pairs], np.int64), np.arange(len(self.words) + 1))
+        units = [*map(self._units, self.words)]
+        self.sizes = np.array([*map(len, units)], np.int64)
+        self.codes = np.full((len(units), self.sizes.max(initial=1)), -2)
+        for i, u in enumerate(units):
+            self.codes[i, : len(u)] = u
+        self.counts = np.zeros((48, len(units)), np.int32)
+        np.add.at(self.counts, (self.codes[self.codes >= 0] % 48, np.repeat(np.arange(len(units)), self.sizes)), 1)
+        self.starts = np.array([self._start(w) for w in self.words], np.int64).reshape(len(self.words), -1)
+        self.near: dict[str, tuple] = {}
+        self.dense = np.zeros(len(self.words) + 1)
+
+    def _units(self, part: str) -> list[int]:
+        return list(part.encode() if self.octets else map(ord, part))
 
     @staticmethod
-    def _letters(part: str) -> list[int]:
-        out = [0] * 48
-        for ch in part:
-            out[ord(ch) % 48] += 1
-        return out
-
-    def partners(self, part: str) -> list[int]:
-        """Forms that have a part similar enough to this one."""
+    def _start(part: str) -> list[int]:
+        return [*map(ord, part[:4]), -1, -1, -1, -1][:4]
+
+    def partners(self, part: str) -> tuple:
+        """Words similar enough to this one, both ways, with the forms that they are in."""
         if part not in self.near:
-            if len(self.near) > 50_000:
+            if len(self.near) > 20_000:
                 self.near.clear()
-            found: set[int] = set()
-            if self.parts:
-                # a Jaro similarity of two thirds, without which no prefix raises it to 0.8, needs this many common letters
-                common = np.minimum(self.counts, np.array(self._letters(part), np.int16)).sum(1)
-                may = np.flatnonzero(common / len(part) + common / self.sizes >= 0.999)
-                for i in may.tolist():
-                    if similar(part, self.parts[i]) >= PART_FLOOR or similar(self.parts[i], part) >= PART_FLOOR:
-                        found |= self.by_part[self.parts[i]]
-            self.near[part] = list(found)
+            # equal first letters raise a Jaro similarity; what it must be before needs this many common letters
+            p = np.cumprod((self.starts == self._start(part)) & (self.starts >= 0), axis=1).sum(1)
+            least = (PART_FLOOR - 0.1 * p) / (1 - 0.1 * p)
+            units = self._units(part)
+            common = sum(np.minimum(self.counts[k], n) for k, n in Counter(u % 48 for u in units).items())
+            may = np.flatnonzero(common / len(units) + common / self.sizes >= 3 * least - 1 - 1e-6)
+            mine, n, sizes, p = np.broadcast_to(units, (len(may), len(units))), np.full(len(may), len(units)), self.sizes[may], p[may]
+            codes = self.codes[may, : sizes.max(initial=1)]
+            more, same = p / 10 if self.octets else p * 0.1, np.array([self.words[i] == part for i in may.tolist()], bool)
+            there, back = (np.where(same, 1.0, j + more * (1 - j)) for j in (jaro_many(mine, n, codes, sizes, self.octets), jaro_many(np.where(codes < 0, -1, codes), sizes, mine, n, self.octets)))
+            ok = np.maximum(there, back) >= PART_FLOOR
+            ids, there, back = may[ok], there[ok], back[ok]
+            forms = np.unique(np.concatenate([self.forms_of[self.forms_from[i] : self.forms_from[i + 1]] for i in ids])) if len(ids) else ids
+            self.near[part] = ids, there, back, forms
         return self.near[part]
 
+    def forms(self, folded: str) -> tuple[np.ndarray, np.ndarray]:
+        """Forms that score against a folded name, and their scores: folded_similarity() of all at once."""
+        parts = folded.split()
+        near = {p: self.partners(p) for p in parts}
+        may = np.unique(np.concatenate([n[3] for n in near.values()])) if near else np.zeros(0, np.int64)
+        # the list's name is at least as long
+        long, asked = may[self.n_words[may] >= len(parts)], [p for p in parts if identifies(p)]
+        total = np.zeros(len(long))
+        for p in asked:
+            ids, there, _, _ = near[p]
+            self.dense[ids] = there
+            best = self.dense[self.form_words[long]].max(1)
+            self.dense[ids] = 0
+            ok = best >= PART_FLOOR
+            long, total = long[ok], total[ok] + best[ok]
+        long, total = (long, total / len(asked)) if asked else (long[:0], total[:0])
+        if len(asked) == 1:
+            ok = (self.n_words[long] == 1) | (total >= FRAGMENT)
+            long, total = long[ok], total[ok]
+        # it is shorter
+        short = may[self.n_words[may] < len(parts)]
+        for ids, _, back, _ in near.values():
+            self.dense[ids] = np.maximum(self.dense[ids], back)
+        words = self.form_words[short]
+        best, asks = self.dense[words], self.identifies[words]
+        self.dense[:] = 0
+        n = asks.sum(1)
+        ok = (n > 0) & (~asks | (best >= PART_FLOOR)).all(1)
+        mean = sum(np.where(asks[:, k], best[:, k], 0.0) for k in range(words.shape[1])) / np.maximum(n, 1)
+        ok &= (n > 1) | (mean >= FRAGMENT)
+        found, scores = np.concatenate([long, short[ok]]), np.concatenate([total, mean[ok]])
+        if folded in self.at:
+            same = self.at[folded]
+            found, scores = np.append(found[found != same], same), np.append(scores[found != same], 1.0)
+        return found, scores
+
+    def search(self, folded: str, least: float) -> tuple[np.ndarray, ...]:
+        """List, position, similarity and strength of the most similar name of each list that scores at least so much, the first of ties."""
+        found, scores = self.forms(folded) if folded else (np.zeros(0, np.int64), np.zeros(0))
+        ok = scores >= least
+        found, scores = found[ok], scores[ok]
+        first, n = self.holders_from[found], self.holders_from[found + 1] - self.holders_from[found]
+        held = self.holders[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        scores = np.repeat(scores, n)
+        order = np.lexsort((held[:, 1], -scores, held[:, 0]))
+        held, scores = held[order], scores[order]
+        best = np.append(True, held[1:, 0] != held[:-1, 0])[: len(held)]
+        return held[best, 0], held[best, 1], scores[best], held[best, 2].astype(bool)
+
+
+class NameIndex(ListIndex):
+    """Names one by one: (entry, position, full, script)."""
+
+    def __init__(self, names: list[tuple], octets: bool = False):
+        super().__init__([[(full, script, True)] for _, _, full, script in names], octets)
+        self.names = names
+
     def search(self, name: str, least: float) -> list[tuple]:
         """(entry, position, similarity) of each list name that scores at least so much, by its better form."""
-        f = fold(name)
-        forms = set(self.by_fold.get(f, ()))
-        for part in set(f.split()):
-            forms.update(self.partners(part))
-        best: dict[int, float] = {}
-        for k in forms:
-            i, other = self.forms[k]
-            s = folded_similarity(f, other)
-            if s >= least and s > best.get(i, 0):
-                best[i] = s
-        return [(self.names[i][0], self.names[i][1], s) for i, s in best.items()]
-
-
-def name_matches(queries: DataFrame, entries: DataFrame, least: float = THRESHOLD - 2 * AGREES) -> DataFrame:
-    """query_id, entry (list and ref_id joined by a colon), position of its best name, similarity, and whether the name is strong.
+        at, _, scores, _ = super().search(fold(name), least)
+        return [(*self.names[i][:2], s) for i, s in zip(at.tolist(), scores.tolist())]
 
-    queries: query_id and name. Of an entry's names the most similar counts, the first of ties.
+
+_FOUND = ("_names", "position", "similarity", "strong")
+
+
+def _matched(queries: DataFrame, entries: DataFrame, least: float, octets: bool) -> DataFrame:
+    """Rows of queries (with a name) beside each entry that they match, with position, similarity and strong.
+
+    A distinct name is searched once, for distinct lists of names; queries and entries meet by what was found.
     """
     spark = queries.sparkSession
-    key = F.concat_ws(":", "list", "ref_id")
-    names = entries.select(key.alias("entry"), F.posexplode("names").alias("position", "n")).where("n.full != ''").select("entry", "position", "n.full", F.coalesce("n.script", F.lit("")).alias("script"), "n.strong")
-    passes = max(1, math.ceil(names.count() / BLOCK_NAMES))
-    out = None
+    entries = entries.withColumn("_key", F.md5(F.to_json(F.struct("names"))))
+    lists = entries.groupBy("_key").agg(F.first("names").alias("names"))
+    passes, out = max(1, math.ceil((entries.agg(F.sum(F.size("names"))).head()[0] or 0) / BLOCK_NAMES)), None
     for k in range(passes):
-        block = [tuple(r) for r in names.where(F.pmod(F.xxhash64("entry"), F.lit(passes)) == k).select("entry", "position", "full", "script").collect()]  # about BLOCK_NAMES rows
-        held = spark.sparkContext.broadcast(block)
+        block = lambda df, k=k: df.where(F.pmod(F.xxhash64("_key"), F.lit(passes)) == k)
+        rows = block(lists).collect()  # the names of about BLOCK_NAMES
+        if not rows:
+            continue
+        held = spark.sparkContext.broadcast([[(n["full"], n["script"], n["strong"]) for n in r["names"] or ()] for r in rows])
+        numbers = spark.createDataFrame([(r["_key"], i) for i, r in enumerate(rows)], "_key string, _names int")
+        listed = F.broadcast(block(entries).join(F.broadcast(numbers), "_key").drop("_key", "names"))  # of one block
 
         def match(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = NameIndex(held.value)
-            seen: dict[str, list[tuple]] = {}
+            index = ListIndex(held.value, octets)
             for pdf in frames:
-                rows = []
-                for q, name in zip(pdf["query_id"], pdf["name"]):
-                    if name not in seen:
-                        if len(seen) > 100_000:
-                            seen.clear()
-                        seen[name] = index.search(name or "", least)
-                    rows += [(q, e, p, s) for e, p, s in seen[name]]
-                yield pd.DataFrame(rows, columns=["query_id", "entry", "position", "similarity"])
-
-        found = queries.select(F.col("query_id").cast("string"), "name").mapInPandas(match, "query_id string, entry string, position int, similarity double")
-        out = found if out is None else out.unionByName(found)
-    best = out.groupBy("query_id", "entry").agg(F.max_by(F.struct("position", "similarity"), F.struct("similarity", (-F.col("position")).alias("p"))).alias("b")).select("query_id", "entry", "b.*")
-    return best.join(names.select("entry", "position", "strong"), ["entry", "position"])
-
-
-def screen(queries: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+                for at in range(0, len(pdf), 500):
+                    found = [(name, *hit) for name in pdf["name"][at : at + 500] if len((hit := index.search(fold(name), least))[0])]
+                    yield pd.DataFrame(found, columns=["name", *_FOUND])
+
+        # names of the same first word go to one task, which compares that word once; a given number of tasks isn't reduced to a few by their size
+        names = queries.select("name").where("name is not null").distinct()
+        names = names.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.lower(F.substring_index("name", " ", 1)))
+        found = names.mapInPandas(match, "name string, _names array<int>, position array<int>, similarity array<double>, strong array<boolean>")
+        each = queries.join(found, "name").withColumn("_hit", F.explode(F.arrays_zip(*_FOUND))).drop(*_FOUND).select("*", "_hit.*").drop("_hit")
+        each = each.join(listed, "_names").drop("_names")
+        out = each if out is None else out.unionByName(each)
+    if out is None:
+        return queries.crossJoin(entries.drop("_key", "names").withColumns({"position": F.lit(0), "similarity": F.lit(0.0), "strong": F.lit(False)}).where("false"))
+    return out
+
+
+def name_matches(queries: DataFrame, entries: DataFrame, least: float = THRESHOLD - 2 * AGREES, octets: bool = False) -> DataFrame:
+    """query_id, entry (list and ref_id joined by a colon), position of its best name, similarity, and whether the name is strong.
+
+    queries: query_id and name. Of an entry's names the most similar counts, the first of ties.
+    """
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "name")
+    found = _matched(asked, entries.select("list", "ref_id", "names"), least, octets)
+    return found.select("query_id", F.concat_ws(":", "list", "ref_id").alias("entry"), "position", "similarity", "strong")
+
+
+def screen(queries: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, octets: bool = False) -> DataFrame:
     """query_id, list, ref_id, score, agree and conflict of each match.
 
-    queries: query_id and name, and optionally kind, birth (from_s, to_s, circa) and nationality.
+    queries: query_id and name, and optionally kind, birth (from_s, to_s, circa) and nationality. With octets words are
+    compared as DuckDB's jaro_similarity does.
     """
     for name, kind in (("kind", "string"), ("birth", "struct<from_s:string,to_s:string,circa:boolean>"), ("nationality", "string")):
         if name not in queries.columns:
             queries = queries.withColumn(name, F.lit(None).cast(kind))
-    found = name_matches(queries, entries, min(threshold, 1.0) - 2 * AGREES)
-    q = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("kind").alias("q_kind"), "birth", "nationality")
-    e = entries.select(F.concat_ws(":", "list", "ref_id").alias("entry"), "list", "ref_id", "kind", "births", "nationalities", "citizenships")
-    both = found.join(q, "query_id").join(e, "entry").where("coalesce(q_kind, '') = '' or q_kind = kind")
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "name", F.col("kind").alias("q_kind"), "birth", "nationality")
+    e = entries.select("list", "ref_id", "kind", "names", "births", "nationalities", "citizenships")
+    both = _matched(q, e, min(threshold, 1.0) - 2 * AGREES, octets).where("coalesce(q_kind, '') = '' or q_kind = kind")
     dated = F.col("birth.from_s").isNotNull() & (F.col("birth.from_s") != "") & (F.size("births") > 0)
     same_birth = F.exists("births", lambda b: overlap(b, F.col("birth")))
     homes = F.transform(F.concat("nationalities", "citizenships"), lambda n: F.lower(F.trim(n)))
@@ -149,10 +235,10 @@ def hits(found: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def hit_names(names: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def hit_names(names: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, octets: bool = False) -> DataFrame:
     """The distinct names that match an entry, for Providers.screened."""
     once = names.select("name").where("name != ''").distinct().withColumn("query_id", F.col("name"))
-    return screen(once, entries, threshold).select(F.col("query_id").alias("name")).distinct()
+    return screen(once, entries, threshold, octets).select(F.col("query_id").alias("name")).distinct()
 
 
 def address_key(address: Column) -> Column:
@@ -173,9 +259,9 @@ def by_document(queries: DataFrame, entries: DataFrame, column: str, chain: bool
     return queries.withColumn("k", key(F.col(column))).join(papers, "k").drop("k")
 
 
-def rescreen(entities: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, high_risk: float | None = None) -> DataFrame:
+def rescreen(entities: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, high_risk: float | None = None, octets: bool = False) -> DataFrame:
     """All customers, or those above a risk and the politically exposed, against the list: best score and number of matches, with an alert id."""
     some = entities if high_risk is None else entities.where((F.col("risk_score") > high_risk) | F.col("pep"))
     asked = some.select(F.concat_ws("|", "org_id", "id").alias("query_id"), "name", F.col("jurisdiction").alias("nationality"))
-    found = screen(asked, entries, threshold).groupBy("query_id").agg(F.max("score").alias("score"), F.count("*").alias("matches"))
+    found = screen(asked, entries, threshold, octets).groupBy("query_id").agg(F.max("score").alias("score"), F.count("*").alias("matches"))
     return found.withColumn("alert_id", F.substring(F.sha2(F.concat_ws("|", F.lit("rescreen"), "query_id"), 256), 1, 32))

@@ -76,7 +76,7 @@ def rules_screened(spark, sf_dir):
     """The three starter rules that look names up in screened lists."""
     people = _people(spark, sf_dir).select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("id"), F.col("name").alias("person"))
     customers = entities(spark, sf_dir).join(people, "id").withColumn("name", F.col("person")).drop("person")
-    names = screening.hit_names(_people(spark, sf_dir), sanctions_entries(spark, sf_dir))
+    names = screening.hit_names(_people(spark, sf_dir), sanctions_entries(spark, sf_dir), octets=True)
     held = names.unionByName(spark.createDataFrame([("cp-7",), ("cp-8",)], "name string"))
     rules = [r for r in LIBRARY if r.id in ("sanctions-customer", "sanctions-counterparty", "exposure-political")]
     found = RuleSet(rules, Providers(entities=True, screened={"sanctions": held, "pep": held})).alerts(with_entities(transactions(spark, sf_dir), customers))
@@ -605,7 +605,7 @@ def screen_hits(spark, sf_dir):
     """The best match of each name."""
     q = _people(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "name", F.concat(F.lit("nation_"), (F.col("doc_id") % 2).cast("string")).alias("nationality"))
     listed = sanctions_entries(spark, sf_dir).withColumn("ref_id", F.lpad("ref_id", 9, "0"))
-    return screening.hits(screening.screen(q, listed)).select("query_id", F.col("ref_id").cast("long").cast("string").alias("ref_id"), F.round("score", 6).alias("score"))
+    return screening.hits(screening.screen(q, listed, octets=True)).select("query_id", F.col("ref_id").cast("long").cast("string").alias("ref_id"), F.round("score", 6).alias("score"))
 
 
 # --- streams -----------------------------------------------------------------------------------------------------------

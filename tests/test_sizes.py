@@ -1,8 +1,10 @@
 """What only larger tables or odd rows showed."""
 
-from pyspark.sql import functions as F
+import duckdb
+import numpy as np
 
-from ledgerlight.operators import profile
+from ledgerlight.functions import names
+from ledgerlight.operators import profile, screening
 
 
 def _usds(spark, usds):
@@ -19,3 +21,31 @@ def test_zeros_of_a_table_are_values(spark):
 def test_zeros_are_blank_where_missing_ones_are_zero(spark):
     r = profile.profile(profile.long_form(_usds(spark, [0.0, 2.0, 4.0, None]), [], ["usd"])).first()
     assert (r["seen"], r["filled"], r["min"], r["mean"], r["first_us"]) == (4, 2, 2.0, 3.0, 1)
+
+
+def test_octets_compare_as_duckdb():
+    rng = np.random.default_rng(3)
+    words = ["ththouwh", "ththheou", *{"".join(rng.choice(list("abcß"), rng.integers(1, 9))) for _ in range(60)}]
+    pairs = [(a, b) for a in words for b in words]
+    con = duckdb.connect()
+    con.execute("create table p(i int, a text, b text)")
+    con.executemany("insert into p values (?, ?, ?)", [(i, a, b) for i, (a, b) in enumerate(pairs)])
+    wanted = [r[0] for r in con.execute("select jaro_similarity(a, b) from p order by i").fetchall()]
+    assert [names.jaro(a, b, True) for a, b in pairs] == wanted
+    assert names.jaro("ththouwh", "ththheou") < names.jaro("ththouwh", "ththheou", True)
+    # three equal first letters add three tenths of the rest, not a double beside it
+    assert names.similar("abcx", "abcy", True) == names.jaro("abcx", "abcy", True) + 0.3 * (1 - names.jaro("abcx", "abcy", True))
+
+
+def test_list_index_equals_comparing_all():
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdß"), rng.integers(1, 9)))
+    people = [" ".join(word() for _ in range(rng.integers(1, 4))) for _ in range(160)]
+    index = screening.ListIndex([[(n, "", True)] for n in people[:80]])
+    found = 0
+    for q in people[80:]:
+        at, _, scores, _ = index.search(q, 0.01)
+        wanted = {i: names.similarity(q, n) for i, n in enumerate(people[:80]) if names.similarity(q, n) > 0}
+        assert set(at.tolist()) == set(wanted) and all(abs(wanted[i] - s) < 1e-12 for i, s in zip(at.tolist(), scores))
+        found += len(wanted)
+    assert found > 40
