@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.crypto import below_line, fnv1a
+from ledgerlight.operators.evaluate import running_totals
 from ledgerlight.operators.velocity import FEATURES
 
 NAMES = [f[0] for f in FEATURES]
@@ -262,6 +263,25 @@ def ranked(trials: DataFrame) -> DataFrame:
     return trials.where("refused is null").orderBy(F.desc("separation"), "drift", "nodes", "trial")
 
 
+def placed(trials: DataFrame) -> DataFrame:
+    """ranked() trials with their place, from 1.
+
+    Trials of one separation, drift and nodes are placed among themselves, behind all that such groups before them hold. Only
+    groups are added up across the table, each separation's in a window of its own and the separations by ranges.
+    """
+    some = trials.where("refused is null")
+    groups = some.groupBy("separation", "drift", "nodes").agg(F.count("*").alias("_n"))
+    totals = groups.groupBy("separation").agg(F.sum("_n").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = running_totals(totals, "separation", ["_n"]).select("separation", (F.col("to__n") - F.col("_n")).alias("_above"))
+    ahead = groups.select("separation", "drift", "nodes", before(Window.partitionBy("separation").orderBy("drift", "nodes")).alias("_ahead"))
+    same = lambda *cs: [F.col("a." + c).eqNullSafe(F.col("b." + c)) for c in cs]
+    offset = ahead.alias("a").join(above.alias("b"), same("separation")).select("a.*", (F.col("_above") + F.col("_ahead")).alias("_offset")).drop("_ahead")
+    keys = ("separation", "drift", "nodes")
+    out = some.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("trial"))).alias("a").join(offset.alias("b"), same(*keys))
+    return out.select("a.*", (F.col("_i") + F.col("_offset")).alias("place")).drop("_i")
+
+
 def reason(feature: str, observed: float, baseline: float, neutral: float) -> str:
     """The code of a cause: below only where the feature has a middle and the value is under its baseline."""
     return f"{feature}.{'below' if neutral > 0 and observed < baseline else 'above'}"

@@ -559,9 +559,8 @@ SELECT trial, row_number() OVER (ORDER BY separation DESC, drift, nodes, trial)
 def trials_ranked(spark, sf_dir):
     """Trials in order of separation, drift and nodes; refused ones have no place."""
     o = table(spark, sf_dir, "orders")
-    trials = o.select(F.col("o_orderkey").alias("trial"), F.round(F.col("o_totalprice") / 1e6, 2).alias("separation"), (F.col("o_custkey") % 7 / 10.0).alias("drift"), (F.col("o_orderkey") % 5).alias("nodes"), F.when(F.col("o_orderstatus") == "F", "warming").alias("refused"))
-    placed = anomaly.ranked(trials).coalesce(1).select("trial", (F.monotonically_increasing_id() + 1).alias("place"))
-    return placed
+    trials = o.select(F.col("o_orderkey").alias("trial"), (F.round(F.col("o_totalprice") / 1e6 * 100) / 100).alias("separation"), (F.col("o_custkey") % 7 / 10.0).alias("drift"), (F.col("o_orderkey") % 5).alias("nodes"), F.when(F.col("o_orderstatus") == "F", "warming").alias("refused"))
+    return anomaly.placed(trials).select("trial", "place")
 
 
 def _obligations_sql() -> str:

@@ -4,7 +4,8 @@ import duckdb
 import numpy as np
 
 from ledgerlight.functions import names
-from ledgerlight.operators import profile, screening
+from ledgerlight.operators import anomaly, profile, screening
+from ledgerlight.plans.queries import ORACLE, QUERIES
 
 
 def _usds(spark, usds):
@@ -49,3 +50,20 @@ def test_list_index_equals_comparing_all():
         assert set(at.tolist()) == set(wanted) and all(abs(wanted[i] - s) < 1e-12 for i, s in zip(at.tolist(), scores))
         found += len(wanted)
     assert found > 40
+
+
+def test_trials_have_the_places_of_their_sql(spark, tmp_path):
+    con = duckdb.connect()
+    # prices that halve a hundredth of a million, many rows of one place in the order but for their key
+    con.execute("create table orders as select i as o_orderkey, i % 9 as o_custkey, 'O' as o_orderstatus, (i % 50) * 10000.0 + 5000 as o_totalprice from range(4000) r(i)")
+    con.execute(f"copy orders to '{tmp_path}/orders.parquet'")
+    wanted = con.execute(ORACLE["trials_ranked"]).fetchall()
+    assert sorted(map(tuple, QUERIES["trials_ranked"](spark, str(tmp_path)).collect())) == sorted(wanted)
+
+
+def test_places_do_not_hang_on_partitions(spark):
+    rows = [(i, i % 7 / 2, float(i % 3), i % 2, "warming" if i % 11 == 0 else None) for i in range(300)]
+    trials = spark.createDataFrame(rows, "trial long, separation double, drift double, nodes long, refused string").repartition(9)
+    found = {r["trial"]: r["place"] for r in anomaly.placed(trials).collect()}
+    order = sorted((r for r in rows if r[4] is None), key=lambda r: (-r[1], r[2], r[3], r[0]))
+    assert found == {r[0]: i + 1 for i, r in enumerate(order)}
