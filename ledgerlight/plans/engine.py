@@ -42,7 +42,7 @@ class RuleSet:
     def __init__(self, rules: Iterable[Rule], providers: Providers | None = None):
         self.providers = providers or Providers()
         self.rules = tuple(rules)
-        self.history = History(self.providers.zone, self.providers.compat)
+        self.history = History(self.providers.zone, self.providers.compat, layered=True)
         self.joins: dict[str, tuple[Column, DataFrame, str]] = {}
         if len({r.id for r in self.rules}) < len(self.rules):
             raise RuleError("two rules have one id")
@@ -134,7 +134,7 @@ class RuleSet:
             found = names.select(F.col(key).alias(hit + "_key"), F.lit(True).alias(hit)).distinct()
             # names and lists are small sides; where they are not, Spark joins by their key
             tx = tx.withColumn(hit + "_at", column).join(found, F.col(hit + "_at") == F.col(hit + "_key"), "left").drop(hit + "_key", hit + "_at")
-        return tx.select("*", *(c.alias(n) for n, c in self.history.named.items()))
+        return self.history.prepared(tx)
 
     def hits_column(self) -> Column:
         """All rules that fired or failed on a row: rule_id, severity, weight, action, error."""

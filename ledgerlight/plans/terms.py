@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.plans.dsl import RuleError
 
 SUBJECTS = ("user", "account", "counterparty", "device", "address")
+#: Subjects that any number of users share, so that windows hold any number of events.
+SHARED = ("counterparty", "device", "address")
 DIMENSIONS = ("counterparty", "account", "device", "address", "jurisdiction", "currency", "symbol")
 _UNITS = {"m": 60, "h": 3600, "d": 86400}
 DAY_US = 86_400_000_000
@@ -35,10 +37,12 @@ def blank(c: Column) -> Column:
 class History:
     """Columns of one history table: org_id, tx_id, us, usd, direction, and subjects and dimensions by name."""
 
-    def __init__(self, zone: str = "UTC", compat: bool = False):
-        self.zone, self.compat = zone, compat
+    def __init__(self, zone: str = "UTC", compat: bool = False, layered: bool = False):
+        self.zone, self.compat, self.layered = zone, compat, layered
         #: Each distinct expression is computed once, under a name of its own.
         self.named: dict[str, Column] = {}
+        #: If layered: by subject kind, what some of them are made of; see prepared().
+        self.under: dict[str, dict[str, Column]] = {}
 
     def key(self, kind: str) -> Column:
         c = F.col(kind)
@@ -61,8 +65,35 @@ class History:
         return self.keep(f"_max_{kind}_{back}", F.greatest(F.lit(0.0), F.max("usd").over(self.frame(kind, back))))
 
     def distinct(self, kind: str, dimension: str, back: int) -> Column:
+        if self.layered and kind in SHARED:
+            return self.keep(f"_distinct_{kind}_{dimension}_{back}", self._runs(kind, dimension, back))
         return self.keep(f"_distinct_{kind}_{dimension}_{back}", F.size(F.collect_set(F.when(F.col(dimension) != "", F.col(dimension))).over(self.frame(kind, back))))
 
+    def _runs(self, kind: str, dimension: str, back: int) -> Column:
+        """Distinct values of a window without collecting them: runs that have begun, less those that ended before the window.
+
+        A value's run goes on as long as it comes again within the lookback. Both sums only grow with time, so that a subject
+        costs as much as it has events.
+        """
+        told = F.coalesce(F.col(dimension) != "", F.lit(False)) & F.col("us").isNotNull()
+        each = Window.partitionBy("org_id", self.key(kind), dimension).orderBy("us")
+        flag = lambda c: F.when(told & c, 1).otherwise(0)
+        before, after = F.lag("us").over(each), F.lead("us").over(each)
+        begins, ends = (f"_{n}_{kind}_{dimension}_{back}" for n in ("begins", "ends"))
+        self.under.setdefault(kind, {}).update({begins: flag(before.isNull() | (before < F.col("us") - back)), ends: flag(after.isNull() | (after > F.col("us") + back))})
+        all_of = Window.partitionBy("org_id", self.key(kind)).orderBy("us")
+        over = F.sum(ends).over(all_of.rangeBetween(Window.unboundedPreceding, -back - 1))
+        return (F.sum(begins).over(all_of.rangeBetween(Window.unboundedPreceding, 0)) - F.coalesce(over, F.lit(0))).cast("int")
+
+    def prepared(self, tx: DataFrame) -> DataFrame:
+        """tx with all columns that the terms need; what others are made of comes from the shuffle of the same subject."""
+        under = []
+        for kind, columns in self.under.items():
+            tx = tx.repartition("org_id", self.key(kind)).select("*", *(c.alias(n) for n, c in columns.items()))
+            mine = [n for n in self.named if n.startswith(f"_distinct_{kind}_")]
+            tx, under = tx.select("*", *(self.named[n].alias(n) for n in mine)), [*under, *mine]
+        return tx.select("*", *(c.alias(n) for n, c in self.named.items() if n not in under))
+
     def seen(self, kind: str, dimension: str, value: Column, back: int) -> Column:
         held = self.keep(f"_seen_{kind}_{dimension}_{back}", F.collect_set(F.lower(F.col(dimension))).over(self.frame(kind, back)))
         return F.array_contains(held, F.lower(value))

@@ -5,6 +5,8 @@ import numpy as np
 
 from ledgerlight.functions import names
 from ledgerlight.operators import anomaly, profile, screening
+from ledgerlight.plans.engine import RuleSet
+from ledgerlight.plans.library import Rule
 from ledgerlight.plans.queries import ORACLE, QUERIES
 
 
@@ -67,3 +69,18 @@ def test_places_do_not_hang_on_partitions(spark):
     found = {r["trial"]: r["place"] for r in anomaly.placed(trials).collect()}
     order = sorted((r for r in rows if r[4] is None), key=lambda r: (-r[1], r[2], r[3], r[0]))
     assert found == {r[0]: i + 1 for i, r in enumerate(order)}
+
+
+def test_users_of_a_device_are_counted_without_collecting_them(spark):
+    rng, day = np.random.default_rng(2), 86_400_000_000
+    rows = [("o", str(i), int(rng.integers(0, 60)) * day // 2, str(rng.choice(["a", "b", "c", "d", "", "e"])), str(rng.choice(["x", "y", ""])), 1.0) for i in range(250)]
+    tx = spark.createDataFrame([(*r[:3], None if i % 29 == 0 else r[3], *r[4:]) for i, r in enumerate(rows)], "org_id string, tx_id string, us long, user string, device string, usd double")
+    rs = RuleSet([Rule(f"n{n}", f'Distinct("device", "user", "7d") > {n}') for n in range(5)])
+    prepared = rs.prepare(tx)
+    plan = prepared._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+    got = {r["tx_id"]: r["_distinct_device_user_" + str(7 * day)] for r in prepared.collect()}
+    held = tx.collect()
+    for r in held:
+        same = [o for o in held if o["device"] == r["device"] != "" or o["tx_id"] == r["tx_id"]]
+        assert got[r["tx_id"]] == len({o["user"] for o in same if r["us"] - 7 * day <= o["us"] <= r["us"] and o["user"]})
