@@ -133,9 +133,9 @@ class History:
     def deviation(self, kind: str, back: int, least: int) -> Column:
         """Distance from the window's median in robust standard deviations; 0 without spread or with fewer events."""
         w = self.frame(kind, back)
-        held = self.keep(f"_usds_{kind}_{back}", F.collect_list("usd").over(w))
-        median = self.keep(f"_median_{kind}_{back}", F.percentile("usd", 0.5).over(w))
+        held = self.keep(f"_usds_{kind}_{back}", F.sort_array(F.collect_list("usd").over(w)))
         middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
-        # through an array of one, so that the distances are sorted once
-        mad = F.get(F.transform(F.array(F.array_sort(F.transform(held, lambda x: F.abs(x - median)))), middle), F.lit(0))
+        median = middle(held)
+        # through an array of one, so that the median is looked up and the distances are sorted once
+        mad = F.get(F.transform(F.array(median), lambda m: F.get(F.transform(F.array(F.sort_array(F.transform(held, lambda x: F.abs(x - m)))), middle), F.lit(0))), F.lit(0))
         return F.when((F.size(held) >= max(least, 4)) & (mad > 0), 0.6745 * (F.col("usd") - median) / mad).otherwise(0.0)
