@@ -9,6 +9,7 @@ import json
 import unicodedata
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,6 +101,27 @@ def fnv1a(data: bytes, bits: int = 64) -> int:
     return h
 
 
+def fnv1a_many(texts: list[bytes], few: int = 32) -> np.ndarray:
+    """fnv1a() of each, a byte of all of them at a time; the last few that are longer than the others one by one."""
+    sizes = np.array([*map(len, texts)], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    data, starts, sizes = np.frombuffer(b"".join(texts), np.uint8), (np.cumsum(sizes) - sizes)[order], sizes[order]
+    h, prime = np.full(len(texts), 0xCBF29CE484222325, np.uint64), 0x100000001B3
+    i, n = 0, int(np.count_nonzero(sizes))
+    while n > few:
+        h[:n] = (h[:n] ^ data[starts[:n] + i]) * np.uint64(prime)
+        i += 1
+        n = int(np.searchsorted(-sizes, -i, "left"))
+    for k in range(n):
+        one = int(h[k])
+        for b in data[starts[k] + i : starts[k] + sizes[k]].tobytes():
+            one = ((one ^ b) * prime) & 0xFFFFFFFFFFFFFFFF
+        h[k] = one
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 @F.pandas_udf(BooleanType())
 def below_line(tx_id: pd.Series, rate: pd.Series) -> pd.Series:
     """Whether a transaction is in the sample of unremarkable ones."""

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ledgerlight.functions.crypto import fnv1a
+from ledgerlight.functions.crypto import fnv1a_many
 
 #: Bits of a sketch, and keys of a bag that are profiled.
 SKETCH_BITS, BAG_KEYS, SATURATED = 4096, 256, 0.95
@@ -34,7 +34,10 @@ def skipped(df: DataFrame, column: str, most: int = BAG_KEYS) -> DataFrame:
 
 @F.pandas_udf(IntegerType())
 def bucket(org: pd.Series, field: pd.Series, value: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else fnv1a(f"{o}\0{f}\0{v}".encode()) % SKETCH_BITS for o, f, v in zip(org, field, value)], dtype="Int32")
+    told = value.notna().to_numpy()
+    out = pd.Series(pd.NA, index=value.index, dtype="Int32")
+    out[told] = (fnv1a_many([f"{o}\0{f}\0{v}".encode() for o, f, v in zip(org[told], field[told], value[told])]) % SKETCH_BITS).astype("int32")
+    return out
 
 
 def long_form(df: DataFrame, texts: list[str], numbers: list[str], zeros: bool = False) -> DataFrame:
@@ -78,21 +81,27 @@ def merge(sketches: DataFrame) -> DataFrame:
 
 
 def partial(cells: DataFrame) -> DataFrame:
-    """What a batch of cells adds to a profile: sums and a sketch for each organisation and field, to be put together by published()."""
+    """What a batch of cells adds to a profile: counts, sums, squares of deviations and a sketch for each organisation and field, to be put together by published().
+
+    One pass makes all of it. Squares are those of deviations from the batch's own mean, as sums of squares of large numbers
+    leave nothing of a small deviation.
+    """
     filled, number = F.col("value").isNotNull(), F.col("number") if "number" in cells.columns else F.lit(None).cast("double")
-    sums = cells.groupBy("org_id", "field").agg(
-        F.count("*").alias("seen"), F.count_if(filled).alias("filled"), F.min(number).alias("min"), F.max(number).alias("max"), F.count(number).alias("numbers"), F.sum(number).alias("total"), F.sum(number * number).alias("squares"),
-        F.min(F.when(filled, F.col("us"))).alias("first_us"), F.max(F.when(filled, F.col("us"))).alias("last_us"),
+    bits = cells.withColumn("b", bucket("org_id", "field", "value"))
+    return bits.groupBy("org_id", "field").agg(
+        F.count("*").alias("seen"), F.count_if(filled).alias("filled"), F.min(number).alias("min"), F.max(number).alias("max"), F.count(number).alias("numbers"), F.sum(number).alias("total"), (F.var_pop(number) * F.count(number)).alias("spread"),
+        F.min(F.when(filled, F.col("us"))).alias("first_us"), F.max(F.when(filled, F.col("us"))).alias("last_us"), F.when(F.count("b") > 0, F.bitmap_construct_agg("b")).alias("sketch"),
     )
-    return sums.join(sketch(cells).select("org_id", "field", "sketch"), ["org_id", "field"], "left")
 
 
 def published(partials: DataFrame) -> DataFrame:
     """The profile of all batches: as profile() has it."""
-    out = partials.groupBy("org_id", "field").agg(
-        F.sum("seen").alias("seen"), F.sum("filled").alias("filled"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("numbers").alias("_n"), F.sum("total").alias("_t"), F.sum("squares").alias("_s"),
+    all_batches = Window.partitionBy("org_id", "field")
+    mean = F.try_divide(F.sum("total").over(all_batches), F.sum("numbers").over(all_batches))
+    apart = F.try_divide("total", "numbers") - F.col("_mean")
+    out = partials.withColumn("_mean", mean).groupBy("org_id", "field").agg(
+        F.sum("seen").alias("seen"), F.sum("filled").alias("filled"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("numbers").alias("_n"), F.first("_mean").alias("mean"), F.sum(F.col("spread") + F.col("numbers") * apart * apart).alias("_s"),
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.bitmap_or_agg("sketch").alias("sketch"),
     )
-    mean = F.try_divide("_t", "_n")
-    out = out.withColumns({"fill": F.try_divide("filled", "seen"), "mean": mean, "deviation": F.when(F.col("_n") > 0, F.sqrt(F.greatest(F.lit(0.0), F.try_divide("_s", "_n") - mean * mean)))})
-    return estimated(out.drop("_n", "_t", "_s"))
+    out = out.withColumns({"fill": F.try_divide("filled", "seen"), "deviation": F.sqrt(F.try_divide("_s", "_n"))})
+    return estimated(out.drop("_n", "_s"))

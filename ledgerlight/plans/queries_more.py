@@ -488,7 +488,7 @@ def field_profile_streamed(spark, sf_dir):
     step = monitor.profile_on_batches(path, lambda df: df)
     cells = _cells(spark, sf_dir, zeros=True)
     for n in (0, 1, 2, 1):
-        step(cells.where(F.pmod(F.floor(F.col("us") / 1000), F.lit(3)) == n), n)
+        step(cells.where(F.coalesce(F.pmod(F.floor(F.col("us") / 1000), F.lit(3)), F.lit(0)) == n), n)
     found = monitor.published_profile(spark, path)
     return found.select("field", "seen", "filled", F.round("fill", 6).alias("fill"), F.round("min", 4).alias("min"), F.round("max", 4).alias("max"), F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), "first_us", "last_us")
 

@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 
-from ledgerlight.functions import names
+from ledgerlight.functions import crypto, names
 from ledgerlight.operators import anomaly, profile, screening
 from ledgerlight.plans.engine import RuleSet
 from ledgerlight.plans.library import Rule
@@ -84,3 +84,24 @@ def test_users_of_a_device_are_counted_without_collecting_them(spark):
     for r in held:
         same = [o for o in held if o["device"] == r["device"] != "" or o["tx_id"] == r["tx_id"]]
         assert got[r["tx_id"]] == len({o["user"] for o in same if r["us"] - 7 * day <= o["us"] <= r["us"] and o["user"]})
+
+
+def test_profile_of_batches_keeps_small_deviations(spark):
+    # a thousand million has a square that leaves no digit for what is between these numbers
+    cells = profile.long_form(_usds(spark, [1e9 + i % 5 for i in range(200)]), [], ["usd"], zeros=True)
+    found = profile.published(profile.partial(cells.where("us < 150")).unionByName(profile.partial(cells.where("us >= 150")))).first()
+    assert abs(found["deviation"] - 2**0.5) < 1e-6 and found["mean"] == 1e9 + 2 and found["seen"] == 200
+    assert found["sketch"] == profile.sketch(cells).first()["sketch"]
+
+
+def test_streamed_profile_has_rows_without_an_instant(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("create table events as select i as event_id, case when i % 10 > 0 then timestamp '2024-01-01' + to_milliseconds(i) end as ts, i % 7 as user_id, 'view' as event_type, i * 1.5 as value, '{\"k\": 3}' as props from range(60) r(i)")
+    con.execute(f"copy events to '{tmp_path}/events.parquet'")
+    wanted = con.execute(ORACLE["field_profile_streamed"]).fetchall()
+    assert sorted(map(tuple, QUERIES["field_profile_streamed"](spark, str(tmp_path)).collect())) == sorted(wanted)
+
+
+def test_hashes_of_many_are_those_of_each():
+    texts = [b"", b"a", b"\xff\0\x80", *(bytes([i % 256]) * (i % 90) for i in range(300)), b"long" * 3000]
+    assert crypto.fnv1a_many(texts).tolist() == crypto.fnv1a_many(texts, 0).tolist() == [crypto.fnv1a(t) for t in texts]
