@@ -3,7 +3,7 @@
 Links are decided by T-occurrence search: in a block of documents an inverted list holds, for each n-gram, the documents
 that have it. A document's near copies are those that occur at least T times in the lists of its own n-grams. DivideSkip
 finds them: the longest lists are set aside; the short ones are merged with a heap that skips what cannot reach the
-threshold any more, and the long ones are probed by binary search for the survivors only.
+threshold any more, and the long ones are probed for the survivors only: by binary search, or all at once for many of them.
 
 Which documents meet in a block is decided so that no pair is missed and unrelated documents don't meet. The n-grams of
 documents of like size are dealt, by hash, to half as many cells again as two similar sets may differ in n-grams, and one.
@@ -25,8 +25,10 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,9 @@ BLOCK_ROWS, LEADERS = 400, 12
 BAND, HOLD, HEAVY = 1.5, 1 << 21, 64
 #: DivideSkip's constant: low, as probing is cheap against merging.
 _MU = 0.001
-#: Candidates from which on a long list is probed for all of them at once.
+#: Occurrences from which on skipping pays.
+_SKIPS = 4
+#: Candidates from which on the long lists are probed for all of them at once.
 _MANY = 16
 #: Kinds of blobs: keys and sets, frequent keys, what sets need, frequent keys of sets, shared keys of sets, edges, keys and least sets.
 _LIGHT, _OFTEN, _NEEDS, _HEAVY, _SHARED, _EDGE, _STAR = range(7)
@@ -110,6 +114,7 @@ def similar_in_block(grams: list[np.ndarray], asked: list[int], part: int, whole
     number[order] = np.repeat(np.arange(len(head)), length)
     begins = np.r_[0, np.cumsum(sizes)]
     kept: dict[int, list[int]] = {}
+    long = np.zeros(len(head), bool)
     for q in asked:
         n = sizes[q]
         need = -(-part * n // whole)  # any set similar to this one has so many of its n-grams
@@ -125,7 +130,7 @@ def similar_in_block(grams: list[np.ndarray], asked: list[int], part: int, whole
             lists.append(kept[i])
         longest = len(lists[-1])
         apart = min(need - 1, int(need / (_MU * math.log2(max(2, longest)) + 1)))
-        found, longer = [], mine[len(lists) - apart :][::-1].tolist()
+        found, longer = [], mine[len(lists) - apart :]
         some = [(d, c) for d, c in _merge_skip(lists[: len(lists) - apart], need - apart) if d != q]
         if len(some) < _MANY:
             for d, c in some:
@@ -139,24 +144,28 @@ def similar_in_block(grams: list[np.ndarray], asked: list[int], part: int, whole
                     found.append(d)
         else:
             d, c = np.array(some).T
-            wanted = -(-part * (n + np.array(sizes)[d]) // (part + whole))
-            for left, i in zip(range(apart - 1, -1, -1), longer):
-                one = owner[head[i] : head[i] + length[i]]
-                at = np.searchsorted(one, d)
-                at[at == len(one)] = 0
-                c = c + (one[at] == d)
-                stay = c + left >= wanted
-                if not stay.all():
-                    d, c, wanted = d[stay], c[stay], wanted[stay]
-                    if not len(d):
-                        break
-            found = d[c >= wanted].tolist()
+            size = np.diff(begins)[d]
+            wanted = -(-part * (n + size) // (part + whole))
+            stay = c + apart >= wanted
+            d, c, size, wanted = d[stay], c[stay], size[stay], wanted[stay]
+            # which of the candidates' n-grams have a long list: all probes at once
+            long[longer] = True
+            ends = np.cumsum(size)
+            hit = np.r_[0, np.cumsum(long[number[np.repeat(begins[d] - ends + size, size) + np.arange(size.sum())]])]
+            long[longer] = False
+            found = d[c + hit[ends] - hit[ends - size] >= wanted].tolist()
         yield q, found
 
 
 def _merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
-    """Elements that occur in at least need of the ascending lists, and in how many."""
+    """Elements that occur in at least need of the ascending lists, and in how many.
+
+    Where need is so low that hardly an element can be skipped, a heap would only take all of them one by one: they are counted.
+    """
     need = max(1, need)
+    if need < _SKIPS:
+        yield from ((d, c) for d, c in Counter(chain.from_iterable(lists)).items() if c >= need)
+        return
     heap = [(one[0], i, 0) for i, one in enumerate(lists)]
     heapq.heapify(heap)
     while len(heap) >= need:
@@ -371,8 +380,9 @@ def similar_rows(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 1
     met = met.repartition(parts, "home").mapInArrow(each(join), "a long, b long")
     clusters = components(met, scratch, "clusters")
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
-    sizes = scratch.save(clusters.groupBy("component").agg(F.count("*").alias("many")).where("many > 1"), "sizes")
-    clusters = scratch.save(clusters.join(sizes, "component"), "members")
+    nodes = clusters.count()
+    sizes = scratch.save(clusters.groupBy("component").agg(F.count("*").alias("many")).where("many > 1"), "sizes", nodes)
+    clusters = scratch.save(clusters.join(sizes, "component"), "members", nodes)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -437,17 +447,17 @@ def similar_rows(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 1
         loaded = packed.join(seats.withColumnRenamed("id", "node").hint("merge"), "node")
         return loaded.groupBy("block", "at").applyInArrow(links, "a long, b long")
 
-    if large.limit(1).count():
+    if not large.isEmpty():
         few = large.groupBy("block").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(F.lit(5), "id"), F.col("spread") * LEADERS) == 0, F.col("id")))), 1, 4 * LEADERS).alias("some"), F.min("id").alias("least"), F.min("spread").alias("spread"))
         few = few.select("block", "spread", F.explode(F.array_union("some", F.array("least"))).alias("id"))
         first = scratch.save(search(small.unionByName(placed).unionByName(asked_everywhere(few))), "links-1")
         joined = scratch.save(components(first, scratch, "first"), "first-joined")
         label = large.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
         counts = label.groupBy("block", "label").agg(F.count("*").alias("c"))
-        main = scratch.save(counts.groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("main")), "main")
+        main = scratch.save(counts.groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("main")), "main", nodes)
         rest = label.join(main, "block").where("label != main").select("id", "block", "spread")
-        rest = scratch.save(rest, "rest")
-        if rest.limit(1).count():
+        rest = scratch.save(rest, "rest", nodes)
+        if not rest.isEmpty():
             second = scratch.save(search(placed.unionByName(asked_everywhere(rest))), "links-2")
             joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), scratch, "linked")
     else:

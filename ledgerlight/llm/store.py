@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Short rows of numbers that a task takes before more tasks do better.
+TASK_ROWS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,8 +39,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """A table of df. If at most so many short rows are to be expected, no more tasks than they need write it, however many partitions shuffles have."""
+        some = df if rows is None else gathered(df, rows)
+        some.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:
@@ -55,6 +61,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as so many short rows need, and every core one at least; unchanged if those aren't fewer than shuffles have."""
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
+    return df.coalesce(wanted) if wanted < shuffle_width(df.sparkSession) else df
+
+
 def _murmur_of_int(x: int) -> int:
     """Spark's hash of an int, by which it deals rows to partitions."""
     full = 0xFFFFFFFF

@@ -4,6 +4,8 @@ import duckdb
 import numpy as np
 
 from ledgerlight.functions import crypto, names
+from ledgerlight.llm import graph, ngram_join
+from ledgerlight.llm.store import Scratch
 from ledgerlight.operators import anomaly, profile, screening
 from ledgerlight.plans.engine import RuleSet
 from ledgerlight.plans.library import Rule
@@ -105,3 +107,25 @@ def test_streamed_profile_has_rows_without_an_instant(spark, tmp_path):
 def test_hashes_of_many_are_those_of_each():
     texts = [b"", b"a", b"\xff\0\x80", *(bytes([i % 256]) * (i % 90) for i in range(300)), b"long" * 3000]
     assert crypto.fnv1a_many(texts).tolist() == crypto.fnv1a_many(texts, 0).tolist() == [crypto.fnv1a(t) for t in texts]
+
+
+def test_few_edges_take_few_tasks(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300) if i % 10 < 9], "a long, b long")
+        found = graph.components(edges, Scratch(spark, "few"), "c")
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert {(r["node"], r["component"]) for r in found.collect()} == {(i, i // 10 * 10) for i in range(300) if i % 10}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_many_candidates_of_a_block_are_those_of_comparing_all():
+    rng = np.random.default_rng(5)
+    whole = np.sort(rng.choice(1 << 40, 300, False)).astype(np.uint64)
+    sets = [np.unique(np.r_[np.delete(whole, rng.integers(0, 300, k)), rng.choice(1 << 40, k).astype(np.uint64)]) for k in rng.integers(0, 30, 90)] + [whole[:0], whole[:40]]
+    similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
+    wanted = {q: {d for d in range(len(sets)) if d != q and len(sets[q]) and similar(sets[q], sets[d])} for q in range(len(sets))}
+    found = {q: set(d) for q, d in ngram_join.similar_in_block(sets, list(range(len(sets))), 90, 100)}
+    assert all(found.get(q, set()) == d for q, d in wanted.items()) and max(map(len, wanted.values())) > 16
