@@ -9,6 +9,7 @@ once. A longer list takes more passes, not more memory.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.dates import overlap
-from ledgerlight.functions.names import FRAGMENT, PART_FLOOR, fold, identifies, jaro_many
+from ledgerlight.functions.names import FRAGMENT, PART_FLOOR, fold, identifies, jaro_bits, jaro_many
 
 #: The least score of a match, and what weak names, agreement and conflict change.
 THRESHOLD, WEAK, CONFLICT, AGREES = 0.85, 0.12, 0.30, 0.05
 #: Names of the list in one pass.
 BLOCK_NAMES = 100_000
+#: Words searched at once, and the largest table of the places of letters in words.
+_AT_ONCE, _PLACES = 64, 1 << 24
 
 
 class ListIndex:
@@ -42,7 +45,7 @@ class ListIndex:
         self.holders_from = np.searchsorted(np.array([h[0] for h in held], np.int64), np.arange(len(at) + 1))
         split = [f.split() for f in at]
         self.words = sorted({w for f in split for w in f})
-        place = {w: i for i, w in enumerate(self.words)}
+        self.place = place = {w: i for i, w in enumerate(self.words)}
         self.n_words = np.array([len(f) for f in split], np.int64)
         # a form's words, filled up with one that is similar to nothing
         self.form_words = np.full((len(split), max(map(len, split), default=1)), len(self.words))
@@ -59,6 +62,14 @@ class ListIndex:
             self.codes[i, : len(u)] = u
         self.counts = np.zeros((48, len(units)), np.int32)
         np.add.at(self.counts, (self.codes[self.codes >= 0] % 48, np.repeat(np.arange(len(units)), self.sizes)), 1)
+        self.counts = np.minimum(self.counts, 32_767).astype(np.int16)
+        self.needs: dict[int, list[np.ndarray]] = {}
+        self.letters = np.unique(self.codes[self.codes >= 0])
+        # where each letter is in each word, and each word's letters by number; the last one is in none
+        self.places = None
+        if self.codes.shape[1] <= 64 and (len(self.letters) + 1) * len(units) <= _PLACES:
+            self.numbers = np.where(self.codes >= 0, np.searchsorted(self.letters, self.codes), len(self.letters))
+            self.places = self._places(self.numbers)
         self.starts = np.array([self._start(w) for w in self.words], np.int64).reshape(len(self.words), -1)
         self.near: dict[str, tuple] = {}
         self.dense = np.zeros(len(self.words) + 1)
@@ -70,25 +81,74 @@ class ListIndex:
     def _start(part: str) -> list[int]:
         return [*map(ord, part[:4]), -1, -1, -1, -1][:4]
 
+    def _places(self, numbers: np.ndarray) -> np.ndarray:
+        """For each letter and word the places of that letter, as bits."""
+        out = np.zeros((len(self.letters) + 1, len(numbers)), np.uint64)
+        for i in range(numbers.shape[1]):
+            out[numbers[:, i], np.arange(len(numbers))] |= np.uint64(1 << i)
+        out[-1] = 0
+        return out
+
+    def _may(self, part: str, units: list[int]) -> np.ndarray:
+        """Words that have enough letters in common with this one to be similar."""
+        n = len(units)
+        if n not in self.needs:
+            # equal first letters raise a Jaro similarity; what it must be before needs this many common letters
+            least = ((PART_FLOOR - 0.1 * p) / (1 - 0.1 * p) for p in range(5))
+            self.needs[n] = [np.ceil((3 * x - 1 - 1e-6) / (1 / n + 1 / np.maximum(self.sizes, 1)) - 1e-6).clip(0, 32_767).astype(np.int16) for x in least]
+        need = self.needs[n][0].copy()
+        low, high = 0, len(self.words)
+        for p in range(1, min(4, len(part)) + 1):  # words are in order, so those with equal first letters follow each other
+            low = bisect_left(self.words, part[:p], low, high)
+            high = bisect_left(self.words, True, low, high, key=lambda w, s=part[:p]: not w.startswith(s))
+            need[low:high] = self.needs[n][p][low:high]
+        common = np.zeros(len(self.words), np.int16)
+        for k, c in Counter(u % 48 for u in units).items():
+            common += np.minimum(self.counts[k], min(c, 32_767))
+        return np.flatnonzero(common >= need)
+
+    def meet(self, parts: list[str]) -> None:
+        """Finds the partners of all these words."""
+        if len(self.near) > 20_000:
+            self.near.clear()
+        new = [p for p in dict.fromkeys(parts) if p not in self.near]
+        for at in range(0, len(new), _AT_ONCE):
+            self._meet(new[at : at + _AT_ONCE])
+
+    def _meet(self, parts: list[str]) -> None:
+        units = [*map(self._units, parts)]
+        may = [*map(self._may, parts, units)]
+        q, w = np.repeat(np.arange(len(parts)), [*map(len, may)]), np.concatenate(may)
+        n, sizes = np.array([*map(len, units)], np.int64), self.sizes[w]
+        codes = np.full((len(parts), n.max()), -1)
+        for i, u in enumerate(units):
+            codes[i, : len(u)] = u
+        if self.places is not None and codes.shape[1] <= 64:
+            at = np.searchsorted(self.letters, codes).clip(0, max(0, len(self.letters) - 1))
+            numbers = np.where(self.letters[at] == codes, at, len(self.letters)) if len(self.letters) else at
+            asked, longest = self._places(numbers), sizes.max(initial=0)
+            there = jaro_bits([self.places[numbers[q, i], w] for i in range(codes.shape[1])], n[q], sizes, self.octets)
+            back = jaro_bits([asked[self.numbers[w, i], q] for i in range(longest)], sizes, n[q], self.octets)
+        else:
+            mine, theirs = codes[q], self.codes[w][:, : sizes.max(initial=1)]
+            there = jaro_many(mine, n[q], theirs, sizes, self.octets)
+            back = jaro_many(np.where(theirs < 0, -1, theirs), sizes, np.where(mine < 0, -2, mine), n[q], self.octets)
+        starts = np.array([*map(self._start, parts)], np.int64)[q]
+        p = np.cumprod((self.starts[w] == starts) & (starts >= 0), axis=1).sum(1)
+        more, same = p / 10 if self.octets else p * 0.1, np.array([self.place.get(x, -1) for x in parts], np.int64)[q] == w
+        there, back = (np.where(same, 1.0, j + more * (1 - j)) for j in (there, back))
+        ok = np.maximum(there, back) >= PART_FLOOR
+        q, w, there, back = q[ok], w[ok], there[ok], back[ok]
+        cuts = np.searchsorted(q, np.arange(len(parts) + 1)).tolist()
+        for part, i, j in zip(parts, cuts, cuts[1:]):
+            first, many = self.forms_from[w[i:j]], self.forms_from[w[i:j] + 1] - self.forms_from[w[i:j]]
+            forms = np.unique(self.forms_of[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())])
+            self.near[part] = w[i:j], there[i:j], back[i:j], forms
+
     def partners(self, part: str) -> tuple:
         """Words similar enough to this one, both ways, with the forms that they are in."""
         if part not in self.near:
-            if len(self.near) > 20_000:
-                self.near.clear()
-            # equal first letters raise a Jaro similarity; what it must be before needs this many common letters
-            p = np.cumprod((self.starts == self._start(part)) & (self.starts >= 0), axis=1).sum(1)
-            least = (PART_FLOOR - 0.1 * p) / (1 - 0.1 * p)
-            units = self._units(part)
-            common = sum(np.minimum(self.counts[k], n) for k, n in Counter(u % 48 for u in units).items())
-            may = np.flatnonzero(common / len(units) + common / self.sizes >= 3 * least - 1 - 1e-6)
-            mine, n, sizes, p = np.broadcast_to(units, (len(may), len(units))), np.full(len(may), len(units)), self.sizes[may], p[may]
-            codes = self.codes[may, : sizes.max(initial=1)]
-            more, same = p / 10 if self.octets else p * 0.1, np.array([self.words[i] == part for i in may.tolist()], bool)
-            there, back = (np.where(same, 1.0, j + more * (1 - j)) for j in (jaro_many(mine, n, codes, sizes, self.octets), jaro_many(np.where(codes < 0, -1, codes), sizes, mine, n, self.octets)))
-            ok = np.maximum(there, back) >= PART_FLOOR
-            ids, there, back = may[ok], there[ok], back[ok]
-            forms = np.unique(np.concatenate([self.forms_of[self.forms_from[i] : self.forms_from[i + 1]] for i in ids])) if len(ids) else ids
-            self.near[part] = ids, there, back, forms
+            self.meet([part])
         return self.near[part]
 
     def forms(self, folded: str) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +239,9 @@ def _matched(queries: DataFrame, entries: DataFrame, least: float, octets: bool)
             index = ListIndex(held.value, octets)
             for pdf in frames:
                 for at in range(0, len(pdf), 500):
-                    found = [(name, *hit) for name in pdf["name"][at : at + 500] if len((hit := index.search(fold(name), least))[0])]
+                    names = [(name, fold(name)) for name in pdf["name"][at : at + 500]]
+                    index.meet([w for _, folded in names for w in folded.split()])
+                    found = [(name, *hit) for name, folded in names if len((hit := index.search(folded, least))[0])]
                     yield pd.DataFrame(found, columns=["name", *_FOUND])
 
         # names of the same first word go to one task, which compares that word once; a given number of tasks isn't reduced to a few by their size

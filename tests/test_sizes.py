@@ -129,3 +129,18 @@ def test_many_candidates_of_a_block_are_those_of_comparing_all():
     wanted = {q: {d for d in range(len(sets)) if d != q and len(sets[q]) and similar(sets[q], sets[d])} for q in range(len(sets))}
     found = {q: set(d) for q, d in ngram_join.similar_in_block(sets, list(range(len(sets))), 90, 100)}
     assert all(found.get(q, set()) == d for q, d in wanted.items()) and max(map(len, wanted.values())) > 16
+
+
+def test_words_met_many_at_a_time():
+    rng = np.random.default_rng(13)
+    words = sorted({"".join(rng.choice(list("abcdß"), rng.integers(1, 12))) for _ in range(300)} | {"x" * 64, "x" * 65, "xy" * 32})
+    for octets in (False, True):
+        for listed in (words[:200], words):  # the second has words that are too long for bits
+            index = screening.ListIndex([[(w, "", True)] for w in listed], octets)
+            index.meet(words)
+            for w in words:
+                ids, there, back, forms = index.near[w]
+                at = {index.words[i]: (a, b) for i, a, b in zip(ids.tolist(), there.tolist(), back.tolist())}
+                floor = names.PART_FLOOR
+                folded = [x for x in index.words if max(names.similar(w, x, octets), names.similar(x, w, octets)) >= floor]
+                assert at == {x: (names.similar(w, x, octets), names.similar(x, w, octets)) for x in folded} and len(forms) == len(ids)
